@@ -1 +1 @@
-"""Brindle: functions."""
+"""Column functions."""
