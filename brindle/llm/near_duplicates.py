@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from brindle.llm.chat import chat_rows, map_rows, messages_of, text_of
 from brindle.plans.materialize import materialize
@@ -26,15 +26,15 @@ from brindle.plans.materialize import materialize
 WORD = re.compile(r"[^\W_]+")
 MIN_WORDS = 5
 #: Registers are grouped into BANDS bands of ROWS. A pair whose weighted similarity is w is a candidate with probability 1 - (1 - w**ROWS)**BANDS.
-ROWS, BANDS = 5, 80
-SPREAD = 3.0
+ROWS, BANDS = 9, 110
+SPREAD = 1.5
 #: Document frequencies are kept in a table of this fixed size; collisions only raise a frequency, that is, move a weight towards 1.
 DF_BUCKETS = 1 << 18
 
 _SETS = StructType(
     [StructField("request_id", LongType()), StructField("set_id", BinaryType()), StructField("words", ArrayType(LongType()))]
 )
-_BAND = StructType([StructField("band", LongType()), StructField("set_id", BinaryType()), StructField("size", LongType())])
+_BAND = StructType([StructField("band", LongType()), StructField("set_no", LongType()), StructField("size", IntegerType())])
 
 
 def words_of(text: str) -> list[str]:
@@ -146,25 +146,25 @@ def _bands(sets: DataFrame, weights: np.ndarray) -> DataFrame:
                     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (b.num_rows, BANDS)).copy()
                     for k in range(ROWS):
                         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
-                ids = b.column("set_id").take(pa.array(np.repeat(np.arange(b.num_rows), BANDS)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), ids, pa.array(np.repeat(sizes, BANDS).astype(np.int64))], ["band", "set_id", "size"])
+                ids = np.repeat(b.column("set_no").to_numpy(), BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(ids), pa.array(np.repeat(sizes, BANDS).astype(np.int32))], ["band", "set_no", "size"])
 
-    return sets.select("set_id", "words").mapInArrow(sign, _BAND)
+    return sets.select("set_no", "words").mapInArrow(sign, _BAND)
 
 
 def similar_sets(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Pairs (a, b) of set_id with a < b whose exact word similarity reaches ``similarity``.
+    """Pairs (a, b) of set_no with a < b whose exact word similarity reaches ``similarity``.
 
-    ``sets`` holds each distinct word set once: set_id binary, words array<long>.
+    ``sets`` holds each distinct word set once: set_no long, words array<long>.
     Candidates meet in a band; pairs whose sizes alone rule them out are not
     emitted. The verification is exact, so the result holds no false pair. A
-    pair at the threshold is missed with probability below 1e-5 for usual word
-    frequencies and 0.7 % in the worst case (all shared words common, all others rare).
+    pair at 0.8 is missed with probability below 1e-5 for usual word
+    frequencies and 0.2 % in the worst case (all shared words common, all others rare).
     """
     table, n = _frequency_table(sets)
     bands = _bands(sets, word_weights(table, n))
-    left = bands.select("band", F.col("set_id").alias("a"), F.col("size").alias("size_a"))
-    right = bands.select("band", F.col("set_id").alias("b"), F.col("size").alias("size_b"))
+    left = bands.select("band", F.col("set_no").alias("a"), F.col("size").alias("size_a"))
+    right = bands.select("band", F.col("set_no").alias("b"), F.col("size").alias("size_b"))
     low = F.least("size_a", "size_b")
     candidates = (
         left.join(right, "band")
@@ -172,8 +172,8 @@ def similar_sets(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
         .select("a", "b")
         .distinct()
     )
-    wa = sets.select(F.col("set_id").alias("a"), F.col("words").alias("words_a"))
-    wb = sets.select(F.col("set_id").alias("b"), F.col("words").alias("words_b"))
+    wa = sets.select(F.col("set_no").alias("a"), F.col("words").alias("words_a"))
+    wb = sets.select(F.col("set_no").alias("b"), F.col("words").alias("words_b"))
     both = F.size(F.array_intersect("words_a", "words_b"))
     either = F.size("words_a") + F.size("words_b") - both
     return candidates.join(wa, "a").join(wb, "b").where(both >= either * F.lit(similarity) - F.lit(1e-9)).select("a", "b")
@@ -186,6 +186,14 @@ def opening_sets(requests: DataFrame) -> DataFrame:
     return materialize(got, "openings")
 
 
+def _members_and_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(request_id, set_no) of every opening, and (set_no, words) of every distinct word set; the numbers are fixed by writing the sets."""
+    firsts = rows.groupBy("set_id").agg(F.first("words").alias("words"))
+    sets = materialize(firsts.withColumn("set_no", F.monotonically_increasing_id()), "sets")
+    members = rows.select("request_id", "set_id").distinct().join(sets.select("set_id", "set_no"), "set_id").select("request_id", "set_no")
+    return materialize(members, "members"), sets.select("set_no", "words")
+
+
 def near_duplicate_openings(requests: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(id_a, id_b), id_a < id_b: openings whose prompts share at least ``similarity`` of their words.
 
@@ -194,13 +202,11 @@ def near_duplicate_openings(requests: DataFrame, similarity: float = 0.8) -> Dat
     table gives no rows. Equal word sets are compared once, as one class, and
     only expanded to request pairs at the end, since the result lists requests.
     """
-    rows = opening_sets(requests)
-    members = rows.select("request_id", "set_id").distinct()
-    sets = materialize(rows.groupBy("set_id").agg(F.first("words").alias("words")), "sets")
+    members, sets = _members_and_sets(opening_sets(requests))
     pairs = materialize(similar_sets(sets, similarity), "set-pairs")
-    own = members.groupBy("set_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("set_id").alias("a"), F.col("set_id").alias("b"))
-    ma = members.select(F.col("set_id").alias("a"), F.col("request_id").alias("x"))
-    mb = members.select(F.col("set_id").alias("b"), F.col("request_id").alias("y"))
+    own = members.groupBy("set_no").agg(F.count("*").alias("n")).where("n > 1").select(F.col("set_no").alias("a"), F.col("set_no").alias("b"))
+    ma = members.select(F.col("set_no").alias("a"), F.col("request_id").alias("x"))
+    mb = members.select(F.col("set_no").alias("b"), F.col("request_id").alias("y"))
     return (
         pairs.unionByName(own)
         .join(ma, "a")
@@ -217,25 +223,23 @@ def duplicate_classes(requests: DataFrame) -> DataFrame:
     taking minima over neighbours and jumping pointers; the tables are cut into
     the shared folder each round, and only a row count reaches the driver.
     """
-    rows = opening_sets(requests)
-    members = rows.select("request_id", "set_id").distinct()
-    sets = materialize(rows.groupBy("set_id").agg(F.first("words").alias("words")), "sets")
+    members, sets = _members_and_sets(opening_sets(requests))
     pairs = materialize(similar_sets(sets), "set-pairs")
     edges = materialize(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "set-edges")
     links = edges.groupBy("a").agg(F.count("*").alias("n_links"))
-    label = sets.select("set_id", F.col("set_id").alias("root"))
+    label = sets.select("set_no", F.col("set_no").alias("root"))
     while True:
-        near = edges.join(label.select(F.col("set_id").alias("b"), F.col("root").alias("seen")), "b").groupBy("a").agg(F.min("seen").alias("seen"))
-        step = label.join(near, label.set_id == near.a, "left").select("set_id", "root", F.least("root", F.coalesce("seen", "root")).alias("next"))
-        hop = step.select(F.col("set_id").alias("next"), F.col("next").alias("far"))
-        moved = materialize(step.join(hop, "next").select("set_id", F.least("next", "far").alias("new"), "root"), "roots")
+        near = edges.join(label.select(F.col("set_no").alias("b"), F.col("root").alias("seen")), "b").groupBy("a").agg(F.min("seen").alias("seen"))
+        step = label.join(near, label.set_no == near.a, "left").select("set_no", "root", F.least("root", F.coalesce("seen", "root")).alias("next"))
+        hop = step.select(F.col("set_no").alias("next"), F.col("next").alias("far"))
+        moved = materialize(step.join(hop, "next").select("set_no", F.least("next", "far").alias("new"), "root"), "roots")
         if moved.where("new <> root").isEmpty():
             break
-        label = moved.select("set_id", F.col("new").alias("root"))
-    named = members.join(label, "set_id")
+        label = moved.select("set_no", F.col("new").alias("root"))
+    named = members.join(label, "set_no")
     names = named.groupBy("root").agg(F.min("request_id").alias("class_id"))
     return (
         named.join(names, "root")
-        .join(links, named.set_id == links.a, "left")
+        .join(links, named.set_no == links.a, "left")
         .select("request_id", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     )
