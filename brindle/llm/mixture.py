@@ -10,6 +10,8 @@ from brindle.plans.materialize import materialize
 
 #: Buckets of one pass over one source, so that running sums of a large source are taken in many tasks.
 BUCKETS = 64
+#: Passes over sources are broadcast up to so many rows; beyond, they are joined by shuffle.
+SMALL_PASSES = 10_000
 #: How strongly weights may drift from start to end, as a share of the weight.
 DRIFT = 0.5
 
@@ -65,10 +67,12 @@ def mixture(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """
     plan = materialize(source_plan(sizes, targets), "plan")
     passes = plan.where("demand > 0").select("source", "demand", "drift", "total", "held", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("demand") / F.col("held")) - 1)).alias("copy"))
+    passes = materialize(passes, "passes")
+    small = passes.limit(SMALL_PASSES + 1).count() <= SMALL_PASSES
     rows = (
         sizes.where("n_tokens > 0 and source is not null")
         .select("doc_id", "source", "n_tokens")
-        .join(F.broadcast(passes), "source")  # at most sources * max_repeats rows
+        .join(F.broadcast(passes) if small else passes, "source")
         .withColumn("order", F.xxhash64("doc_id", "copy"))
         .withColumn("bucket", F.shiftrightunsigned("order", 64 - BUCKETS.bit_length() + 1))
     )

@@ -81,9 +81,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _OPENINGS
         + """, kept AS (SELECT request_id, w FROM words WHERE len(w) >= 5),
 term AS (SELECT request_id, unnest(w) AS t, len(w) AS n FROM kept),
-rare AS (SELECT t FROM term GROUP BY t HAVING count(*) < 1000000),
 both_ AS (SELECT a.request_id AS id_a, b.request_id AS id_b, any_value(a.n) + any_value(b.n) AS total, count(*) AS shared
-          FROM term a JOIN term b ON a.t = b.t AND a.request_id < b.request_id JOIN rare ON rare.t = a.t GROUP BY 1, 2)
+          FROM term a JOIN term b ON a.t = b.t AND a.request_id < b.request_id GROUP BY 1, 2)
 SELECT id_a, id_b FROM both_ WHERE shared * 1.0 / (total - shared) >= 0.8""",
         "p4_found": f"""
 WITH RECURSIVE big AS MATERIALIZED (
