@@ -27,7 +27,7 @@ from brindle.plans.materialize import materialize
 
 DEFECTS = ("empty", "refusal", "echo", "language", "truncated")
 #: Posterior a defect must exceed; the values are checked against labelled pairs in the tests.
-CUTOFFS = {"empty": 0.5, "refusal": 0.5, "echo": 0.5, "language": 0.9, "truncated": 0.5}
+CUTOFFS = {"empty": 0.5, "refusal": 0.5, "echo": 0.5, "language": 0.95, "truncated": 0.5}
 
 _YES, _NO, _SKIP = "1", "0", "-"
 
@@ -113,11 +113,11 @@ def truncated_votes(answer: str, finish: str | None) -> str:
     complete = _complete_tail(answer)
     return (
         _vote(not complete)
-        + _vote(fences % 2 == 1, fences > 0)
-        + _vote(looks_json and not _parses(body), looks_json)
+        + _vote(fences % 2 == 1)
+        + _vote(looks_json and not _parses(body))
         + _vote(finish == "length", finish is not None)
-        + _vote(not _END.search(body) and bool(words) and words[-1].lower() in DANGLING, False)
-        + _vote(open_now and not complete, False)
+        + _vote(not _END.search(body) and bool(words) and words[-1].lower() in DANGLING)
+        + _vote(open_now and not complete)
     )
 
 
@@ -183,11 +183,11 @@ def refusal_votes(answer: str) -> str:
         return _NO * 4
     opener = bool(_OPENER.search(answer))
     if not _declines(answer):
-        return _vote(opener) + _NO + _SKIP + _NO
+        return _vote(opener) + _NO * 3
     parts = sentences_of(answer)
     rest = [s for s in parts if not (_declines(s) or _REDIRECT.search(s) or (_OPENER.search(s) and len(s) < 60))]
     facts = sum(bool(_FACT.search(_NAME_TAIL.sub(" ", s))) for s in rest)
-    return _vote(opener) + _YES + _vote(bool(_REDIRECT.search(answer)), False) + _vote(not facts and len(rest) <= 1, True)
+    return _vote(opener) + _YES + _vote(bool(_REDIRECT.search(answer))) + _vote(not facts and len(rest) <= 1)
 
 
 # ---- echo
@@ -258,34 +258,41 @@ def _votes(request_id: int, request: str | None, response: str | None) -> Iterat
     pair = _pair(request, response)
     if pair is not None:
         q, a, finish = pair
-        yield request_id, empty_votes(a), truncated_votes(a, finish), refusal_votes(a), echo_votes(q, a), language_votes(q, a)
+        yield request_id, empty_votes(a), refusal_votes(a), echo_votes(q, a), language_votes(q, a), truncated_votes(a, finish)
 
 
-def fit_label_model(patterns: list[str], counts: np.ndarray, rounds: int = 100, strength: float = 20.0) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posteriors of the patterns, vote tables (2 x k x 3) and the share of defects.
+#: Prior beliefs about each labelling function: how often it votes 1 on defective and on sound pairs, where it votes.
+BELIEFS = {
+    "empty": ((0.98, 0.002), (0.98, 0.01), (0.95, 0.01)),
+    "refusal": ((0.70, 0.03), (0.95, 0.005), (0.40, 0.01), (0.85, 0.01)),
+    "echo": ((0.95, 0.01), (0.90, 0.03), (0.85, 0.01)),
+    "language": ((0.95, 0.005), (0.90, 0.01), (0.90, 0.01)),
+    "truncated": ((0.95, 0.003), (0.20, 0.001), (0.20, 0.001), (0.40, 0.10), (0.40, 0.005), (0.30, 0.005)),
+}
 
-    EM for a two-class model with conditionally independent votes out of
-    (0, 1, abstain). A pattern without a vote for the defect never rises above
-    the share of defects. Dirichlet priors of ``strength`` pseudo-records keep each
-    function's direction, so the classes cannot swap.
+
+def fit_label_model(patterns: list[str], counts: np.ndarray, beliefs: tuple[tuple[float, float], ...], rounds: int = 100, strength: float = 20.0) -> tuple[np.ndarray, np.ndarray, float]:
+    """Posteriors of the patterns, vote rates (sound and defective x functions) and the share of defects.
+
+    EM for a two-class model with conditionally independent votes; abstaining
+    says nothing. Beta priors of ``strength`` pseudo-records around ``beliefs``
+    keep each function's direction, so the classes cannot swap. A pattern
+    without a vote for the defect never rises above the share of defects.
     """
-    votes = np.array([["01-".index(v) for v in p] for p in patterns])
-    k = votes.shape[1]
-    belief = np.array([[0.80, 0.03, 0.17], [0.15, 0.65, 0.20]])
-    theta = np.repeat(belief[:, None, :], k, axis=1)
-    share = 0.03
+    yes = np.array([[v == _YES for v in p] for p in patterns], dtype=float)
+    cast = np.array([[v != _SKIP for v in p] for p in patterns], dtype=float)
+    prior = np.array(beliefs).T[::-1]  # sound, defective
+    rate, share = prior.copy(), 0.03
     post = np.zeros(len(patterns))
     for _ in range(rounds):
-        loglik = np.log(theta[:, np.arange(k)[None, :], votes]).sum(axis=2)
+        loglik = (yes[None] * np.log(rate)[:, None] + (cast - yes)[None] * np.log(1 - rate)[:, None]).sum(axis=2)
         odds = loglik[1] - loglik[0] + np.log(share / (1 - share))
         post = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
         for y, w in ((0, counts * (1 - post)), (1, counts * post)):
-            for j in range(k):
-                table = np.bincount(votes[:, j], weights=w, minlength=3) + strength * belief[y]
-                theta[y, j] = table / table.sum()
+            rate[y] = np.clip((w @ yes + strength * prior[y]) / (w @ cast + strength), 1e-9, 1 - 1e-9)
         share = float((counts @ post + 1) / (counts.sum() + 30))
-    silent = np.array(["1" not in p for p in patterns])
-    return np.where(silent, np.minimum(post, share), post), theta, share
+    silent = yes.sum(axis=1) == 0
+    return np.where(silent, np.minimum(post, share), post), rate, share
 
 
 def labelled_pairs(requests: DataFrame) -> DataFrame:
@@ -299,7 +306,7 @@ def labelled_pairs(requests: DataFrame) -> DataFrame:
     for d in DEFECTS:
         own = [(r["votes"], r["count"]) for r in seen if r["defect"] == d]
         if own:
-            post, _, _ = fit_label_model([v for v, _ in own], np.array([n for _, n in own], dtype=float))
+            post, _, _ = fit_label_model([v for v, _ in own], np.array([n for _, n in own], dtype=float), BELIEFS[d])
             fitted += [(d, v, float(p)) for (v, _), p in zip(own, post) if p > CUTOFFS[d]]
     schema = StructType([StructField("defect", StringType()), StructField("votes", StringType()), StructField("posterior", DoubleType())])
     return long.join(F.broadcast(spark.createDataFrame(fitted, schema)), ["defect", "votes"]).select("request_id", "defect", "posterior")
