@@ -94,36 +94,59 @@ def _merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def cuts_of(text: str, mean: int = MEAN_CHUNK) -> list[tuple[int, bool]]:
-    """Chunk starts after 0, with whether the cut is a certain token boundary."""
-    n = len(text)
+@functools.cache
+def _blanks() -> tuple[np.ndarray, np.ndarray]:
+    """Per code point: whether it is an ASCII blank, whether it is any white space."""
+    space = np.zeros(0x110000, dtype=bool)
+    space[[c for c in range(0x3001) if chr(c).isspace()]] = True
+    ascii_blank = np.zeros(0x110000, dtype=bool)
+    ascii_blank[list(_ASCII_BLANK)] = True
+    return ascii_blank, space
+
+
+def cuts_of_all(texts: list[str], mean: int = MEAN_CHUNK) -> list[list[tuple[int, bool]]]:
+    """Per text, the chunk starts after 0, with whether the cut is a certain token boundary.
+
+    All texts are hashed as one array; windows never reach over the start of a text.
+    """
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    n = int(sizes.sum())
     if n <= WINDOW:
-        return []
-    c = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    blank = np.isin(c, list(_ASCII_BLANK))
+        return [[] for _ in texts]
+    c = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+    ascii_blank, space = _blanks()
     h = np.zeros(n - WINDOW + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(WINDOW):  # the hash of the WINDOW characters before each position
-            h = h * np.uint64(0x100000001B3) + c[k : n - WINDOW + 1 + k]
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            h *= np.uint64(0x100000001B3)
+            h += c[k : n - WINDOW + 1 + k]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
     at = np.nonzero(h % np.uint64(mean) == 0)[0] + WINDOW
-    at = at[at < n]
-    if not len(at):
-        return []
-    # A position after which a blank follows a non-blank. Blanks outside ASCII before the cut leave it uncertain.
-    sure = np.nonzero(blank[1:] & ~blank[:-1])[0] + 1
-    sure = sure[[not text[p - 1].isspace() for p in sure]] if len(sure) else sure
-    out: list[tuple[int, bool]] = []
+    # Positions of an ASCII blank after a character that is no white space.
+    sure = np.nonzero(ascii_blank[c[1:]] & ~space[c[:-1]])[0] + 1
+    owner = np.searchsorted(starts, at, side="right") - 1
+    # Texts of length 0 share their start with the next one; the last of them owns the position.
+    inside = (at - starts[owner] >= WINDOW) & (at < starts[owner] + sizes[owner])
+    at, owner = at[inside], owner[inside]
     nxt = np.searchsorted(sure, at)
-    for p, k in zip(at.tolist(), nxt.tolist()):
-        ok = k < len(sure) and sure[k] - p <= REACH
-        p = int(sure[k]) if ok else p
-        if not out or p > out[-1][0]:
-            out.append((p, ok))
+    found = sure[np.minimum(nxt, len(sure) - 1)] if len(sure) else np.zeros(len(at), dtype=np.int64)
+    ok = (nxt < len(sure)) & (found - at <= REACH) & (found < starts[owner] + sizes[owner])
+    cut = np.where(ok, found, at) - starts[owner]
+    out: list[list[tuple[int, bool]]] = [[] for _ in texts]
+    for i, p, certain in zip(owner.tolist(), cut.tolist(), ok.tolist()):
+        if not out[i] or p > out[i][-1][0]:
+            out[i].append((p, certain))
     return out
 
 
+def cuts_of(text: str, mean: int = MEAN_CHUNK) -> list[tuple[int, bool]]:
+    """The cuts of one text."""
+    return cuts_of_all([text], mean)[0]
+
+
 _CHUNKS = StructType(
     [
         StructField("doc_id", LongType()),
@@ -136,6 +159,16 @@ _CHUNKS = StructType(
 )
 
 
+def _with_cuts(ids: list[int], texts: list[str]) -> Iterator[tuple[int, str, list[tuple[int, bool]]]]:
+    """Rows with the cuts of their texts, hashed in groups of about a million characters."""
+    start, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size > 1_000_000 or k + 1 == len(texts):
+            yield from zip(ids[start : k + 1], texts[start : k + 1], cuts_of_all(texts[start : k + 1]))
+            start, size = k + 1, 0
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
@@ -145,8 +178,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows: list[tuple] = []
         size = 0
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            cuts = [(0, True), *cuts_of(text)]
+        for doc_id, text, found in _with_cuts(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            cuts = [(0, True), *found]
             exact = all(ok for _, ok in cuts)
             for i, (start, ok) in enumerate(cuts):
                 chunk = text[start : cuts[i + 1][0]] if i + 1 < len(cuts) else text[start:]
