@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import chat_json as J
 from brindle.functions import text as X
-from brindle.operators import checks, evidence, history, matches, packing, report, threads, traces, training
+from brindle.operators import checks, evidence, history, matches, packing, replies, report, selection, threads, traces, training, validation
 from brindle.plans.materialize import materialize, shared_dir
 from brindle.sources.tables import table as T
 from brindle.streaming import ledgers
@@ -615,6 +615,202 @@ def repeated_keys(spark: SparkSession, d: str) -> DataFrame:
     return checks.repeated(T(spark, d, "api_requests"), ["request_id"])
 
 
+# ---- replies
+
+_REPLY = """WITH raw AS MATERIALIZED (SELECT DISTINCT request_id, response FROM api_requests WHERE path = '/v1/chat/completions' AND status = 200 AND json_valid(response)),
+c AS MATERIALIZED (SELECT request_id, response, json_extract(response, '$.choices[0]') AS c FROM raw WHERE json_array_length(response, '$.choices') > 0)"""
+
+
+@_query(
+    _REPLY
+    + """, k AS MATERIALIZED (SELECT request_id, unnest(json_extract(c, '$.message.tool_calls[*]'))->>'$.function.arguments' AS a FROM c WHERE json_type(c, '$.message.tool_calls') = 'ARRAY')
+SELECT c.request_id, md5(coalesce(c->>'$.message.content', '')) AS content, coalesce(length(c->>'$.message.reasoning_content') > 0, FALSE) AS reasoning,
+  (SELECT count(*) FROM k WHERE k.request_id = c.request_id)::BIGINT AS n_calls, (SELECT count(*) FROM k WHERE k.request_id = c.request_id AND starts_with(ltrim(a), '{') AND json_valid(a))::BIGINT AS n_objects,
+  coalesce(c->>'$.finish_reason', '') <> 'length' AS kept FROM c"""
+)
+def replay_messages(spark: SparkSession, d: str) -> DataFrame:
+    return replies.replay_form(T(spark, d, "api_requests")).withColumn("content", F.md5("content"))
+
+
+@_query("""SELECT DISTINCT request_id, try_cast(response->>'$.usage.prompt_tokens' AS BIGINT) AS input, try_cast(response->>'$.usage.completion_tokens' AS BIGINT) AS output,
+  try_cast(response->>'$.usage.prompt_tokens' AS BIGINT) + try_cast(response->>'$.usage.completion_tokens' AS BIGINT) AS total FROM (SELECT request_id, CASE WHEN json_valid(response) THEN response END AS response FROM api_requests)""")
+def usage_shapes(spark: SparkSession, d: str) -> DataFrame:
+    i, o, t = replies.usage_of(F.col("response"))
+    return T(spark, d, "api_requests").select("request_id", i.alias("input"), o.alias("output"), t.alias("total")).distinct()
+
+
+@_query(_REPLY + " SELECT request_id, md5(c->>'$.message.content') AS h FROM c WHERE c->>'$.message.content' IS NOT NULL")
+def response_texts(spark: SparkSession, d: str) -> DataFrame:
+    rows = T(spark, d, "api_requests").where((F.col("path") == threads.CHAT_PATH) & (F.col("status") == 200))
+    return rows.select("request_id", F.md5(replies.response_text(F.col("response"))).alias("h")).where("h is not null").distinct()
+
+
+@_query("""WITH raw AS MATERIALIZED (SELECT DISTINCT request_id, response FROM api_requests WHERE path = '/v1/chat/completions' AND status = 200 AND json_valid(response)),
+t AS MATERIALIZED (SELECT request_id, response->>'$.choices[0].message.content' AS t FROM raw WHERE length(response->>'$.choices[0].message.content') > 0),
+c AS (SELECT request_id, t, trim(t, ' ') AS w, regexp_extract(t, '(?s)(\\{.*\\})', 1) AS o, regexp_extract(t, '(?s)```(?:json)?\\s*(\\{.*?\\})\\s*```', 1) AS f FROM t)
+SELECT request_id, CASE WHEN starts_with(f, '{') AND json_valid(f) THEN 'fenced' WHEN starts_with(o, '{') AND json_valid(o) THEN 'braces' WHEN starts_with(w, '{') AND json_valid(w) THEN 'whole' ELSE 'none' END AS part,
+  (list_filter(regexp_extract_all(t, '(?s)```json\\s*(.*?)```', 1), lambda b: json_valid(b)))[1] AS fenced FROM c""")
+def json_fenced_first(spark: SparkSession, d: str) -> DataFrame:
+    rows = T(spark, d, "api_requests").where((F.col("path") == threads.CHAT_PATH) & (F.col("status") == 200))
+    t = rows.select("request_id", F.try_variant_get(J.chat_variant("response"), "$.choices[0].message.content", "string").alias("t")).where(F.length("t") > 0)
+    return t.select("request_id", X.json_fenced_first(F.col("t")).alias("part"), X.first_fenced_json(F.col("t")).alias("fenced")).distinct()
+
+
+# ---- validation
+
+
+@_query("""SELECT doc_id, CASE WHEN text IS NULL OR strlen(text) < 200 THEN 0.0 ELSE length(text) / 100.0 END::DOUBLE AS score FROM documents""")
+def zero_if_short(spark: SparkSession, d: str) -> DataFrame:
+    value = F.when(F.col("doc_id") > 0, F.concat(F.lit('{"score": '), (F.length("text") / 100).cast("string"), F.lit("}")))
+    return T(spark, d, "documents").select("doc_id", validation.zero_if_short(F.col("text"), validation.number_of(value)).alias("score"))
+
+
+@_query("SELECT event_id, value FROM events WHERE value IS NULL OR value NOT BETWEEN 1 AND 50")
+def range_violations(spark: SparkSession, d: str) -> DataFrame:
+    return validation.out_of_range(T(spark, d, "events"), "value", 1, 50).select("event_id", "value")
+
+
+@_query("""SELECT match_id, array_to_string(list_filter([CASE WHEN provider IS DISTINCT FROM 'self' THEN 'provider=' || coalesce(provider, 'null') || ', expected self' END, CASE WHEN model IS DISTINCT FROM 'base-27b-l1' THEN 'model=' || coalesce(model, 'null') || ', expected base-27b-l1' END], lambda e: e IS NOT NULL), '; ') AS errors
+FROM (SELECT DISTINCT match_id, provider, model FROM pairwise_judge_result) WHERE provider IS DISTINCT FROM 'self' OR model IS DISTINCT FROM 'base-27b-l1'""")
+def provenance_errors(spark: SparkSession, d: str) -> DataFrame:
+    rows = T(spark, d, "pairwise_judge_result").select("match_id", "provider", "model").distinct()
+    return validation.mismatches(rows, "match_id", {"provider": "self", "model": "base-27b-l1"}).withColumn("errors", F.array_join("errors", "; "))
+
+
+@_query("SELECT doc_id, greatest(1, floor((length(text) + length(coalesce(source, '')) + 3) / 4.0)) + 100 <= 512 - 64 AS fits, array_to_string(list_transform(list_filter(list_zip(regexp_extract_all(text, 'Use (\\d+) folds', 1), range(len(regexp_extract_all(text, 'Use (\\d+) folds', 1)))), lambda z: list_position(regexp_extract_all(text, 'Use (\\d+) folds', 1), z[1]) = z[2] + 1), lambda z: z[1]), ',') AS limits FROM documents WHERE text IS NOT NULL")
+def context_guard(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    fits = validation.fits_context(F.coalesce("source", F.lit("")), t, 100, 512, 64)
+    return T(spark, d, "documents").where("text is not null").select("doc_id", fits.alias("fits"), F.array_join(validation.stated_limits(t, r"Use (\d+) folds"), ",").alias("limits"))
+
+
+@_query("""WITH n AS (SELECT DISTINCT condition_name AS name FROM episodes), w AS (SELECT DISTINCT task, v.range AS version, 't' || task || '_bare' AS base FROM episodes, range(3) v WHERE task IS NOT NULL)
+SELECT task, version::INTEGER AS version, CASE WHEN version = 0 THEN base WHEN base || '-v' || version IN (SELECT name FROM n) THEN base || '-v' || version WHEN base IN (SELECT name FROM n) THEN base END AS resolved FROM w""")
+def path_resolution(spark: SparkSession, d: str) -> DataFrame:
+    e = T(spark, d, "episodes")
+    wanted = e.where("task is not null").select("task", F.concat(F.lit("t"), F.col("task").cast("string"), F.lit("_bare")).alias("base")).distinct().withColumn("version", F.explode(F.array(*map(F.lit, range(3)))))
+    return validation.resolve(wanted, e.select(F.col("condition_name").alias("name")), "base", "version").select("task", "version", "resolved")
+
+
+@_query("SELECT DISTINCT condition_name, CASE WHEN regexp_matches(condition_name, '_v\\d+$') THEN regexp_replace(condition_name, '_v\\d+$', '_v9') END AS next, CASE WHEN regexp_matches(condition_name, '_v\\d+$') THEN regexp_replace(condition_name, '_v\\d+$', '') END AS base FROM episodes")
+def version_siblings(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("condition_name")
+    return T(spark, d, "episodes").select(c, validation.sibling(c, 9).alias("next"), validation.sibling(c, 0).alias("base")).distinct()
+
+
+# ---- prompts and evidence
+
+
+@_query("""WITH v AS (SELECT d.doc_id, d.text, [p, trim(p, ' '), string_split(p, '. ')[1], string_split(p, ' ')[1]] AS vs FROM documents d JOIN (SELECT episode, teacher_prompt AS p FROM episodes WHERE teacher_prompt IS NOT NULL) e ON e.episode = d.episode WHERE d.text IS NOT NULL)
+SELECT doc_id, x AS variant, ((length(text) - length(replace(text, x, ''))) / length(x))::BIGINT AS hits FROM (SELECT doc_id, text, list_filter(vs, lambda x: length(x) > 0 AND contains(text, x))[1] AS x FROM v) WHERE x IS NOT NULL""")
+def prompt_variants(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("teacher_prompt")
+    rows = T(spark, d, "documents").where("text is not null").select("doc_id", "episode", "text").join(T(spark, d, "episodes").where("teacher_prompt is not null").select("episode", "teacher_prompt"), "episode")
+    hit = X.first_contained(F.col("text"), [p, F.trim(p), F.get(F.split(p, r"\. "), F.lit(0)), F.get(F.split(p, " "), F.lit(0))])
+    return rows.select("doc_id", hit.alias("h")).where("h is not null").select("doc_id", "h.variant", "h.hits")
+
+
+@_query("""WITH r AS (SELECT doc_id, text, instr(reverse(text), reverse('.')) AS b FROM documents WHERE text IS NOT NULL), s AS (SELECT *, CASE WHEN b > 0 THEN length(text) - b - 1 + 2 ELSE 0 END AS e FROM r)
+SELECT doc_id, CASE WHEN starts_with(text, '# ') THEN md5(rtrim(CASE WHEN e > length(text) * 0.7::DOUBLE THEN substr(text, 1, e - 1) ELSE text END, ' ')) END AS h FROM s""")
+def design_normalise(spark: SparkSession, d: str) -> DataFrame:
+    return T(spark, d, "documents").where("text is not null").select("doc_id", F.md5(X.trim_block(F.col("text"), "# ", ".")).alias("h"))
+
+
+@_query("""SELECT w.workflow, format('v{}_vs_v{}', version, version + 1) AS adjacent, format('champion_v{}_vs_v{}', 0, version) AS champion, format('v{}_vs_no_harness', version) AS baseline, 'adjacent' AS kind, version AS old, version + 1 AS new FROM workflows w""")
+def history_keys(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("version")
+    rows = T(spark, d, "workflows").select("workflow", report.comparison_key(v, v + 1).alias("adjacent"), report.comparison_key(F.lit(0), v, "champion").alias("champion"), report.comparison_key(v, v, "baseline").alias("baseline"))
+    return rows.withColumn("k", report.parse_key(F.col("adjacent"))).select("*", "k.kind", "k.old", "k.new").drop("k")
+
+
+@_query("""SELECT task, sha256('{"a":"' || a || '","b":"' || b || '","task":' || task || '}') AS pair_id, (3100000 + 100 * task + 7)::BIGINT AS seed, md5('5-' || match_id) < '8' AS swapped FROM (SELECT DISTINCT match_id, task, a, b FROM pairwise_judge_result WHERE task IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL)""")
+def pair_ids(spark: SparkSession, d: str) -> DataFrame:
+    rows = T(spark, d, "pairwise_judge_result").where("task is not null and a is not null and b is not null").select("match_id", "task", "a", "b").distinct()
+    turned = F.md5(F.concat(F.lit("5-"), F.col("match_id").cast("string"))) < F.lit("8")
+    return rows.select("task", report.pair_id(F.col("task"), F.col("a"), F.col("b")).alias("pair_id"), (F.lit(3100000) + 100 * F.col("task") + 7).cast("long").alias("seed"), turned.alias("swapped"))
+
+
+@_query("""SELECT a, b, r.match_id AS match_id, r.winner AS winner FROM (SELECT a, b, max({'judged_at': judged_at, 'match_id': match_id, 'winner': winner}) AS r FROM (SELECT DISTINCT a, b, judged_at, match_id, winner FROM pairwise_judge_result WHERE judged_at IS NOT NULL AND winner IS NOT NULL) GROUP BY a, b)""")
+def latest_by_key(spark: SparkSession, d: str) -> DataFrame:
+    rows = T(spark, d, "pairwise_judge_result").where("judged_at is not null and winner is not null").select("a", "b", "judged_at", "match_id", "winner").distinct()
+    return report.latest(rows, ["a", "b"], ["judged_at"]).select("a", "b", "match_id", "winner")
+
+
+@_query("SELECT event_type, arg_min(user_id, {'n': n, 'u': user_id}) AS user_id FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type")
+def least_loaded(spark: SparkSession, d: str) -> DataFrame:
+    loads = T(spark, d, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    return report.least_loaded(loads, "event_type", "user_id", "n")
+
+
+@_query("""WITH p AS (SELECT unnest(embedding)::DOUBLE AS x FROM embeddings), q AS (SELECT x, round_even(x * 8, 0) / 8 AS y FROM p)
+SELECT round(sqrt(sum((x - y) * (x - y))) / sqrt(sum(x * x)), 6) AS relative_error, round(avg((x - y = 0)::INTEGER), 6) AS identical FROM q""")
+def norm_errors(spark: SparkSession, d: str) -> DataFrame:
+    coarse = F.transform("embedding", lambda x: F.rint(x.cast("double") * 8) / 8)
+    return report.norm_errors(T(spark, d, "embeddings").withColumn("coarse", coarse), "embedding", "coarse")
+
+
+@_query("SELECT l_returnflag, round_even(avg(l_quantity), 2) AS mean, count(*) FILTER (WHERE l_discount > 0.05)::BIGINT AS n_high FROM lineitem GROUP BY l_returnflag")
+def rounded_means(spark: SparkSession, d: str) -> DataFrame:
+    return T(spark, d, "lineitem").groupBy("l_returnflag").agg(F.bround(F.avg("l_quantity"), 2).alias("mean"), F.count_if(F.col("l_discount") > 0.05).alias("n_high"))
+
+
+_PATHS = "regexp_extract_all(text, '([A-Za-z0-9_-]+/[A-Za-z0-9_/-]+\\.[a-z]+)', 1)"
+
+
+@_query(f"""WITH m AS (SELECT DISTINCT episode, unnest({_PATHS}) AS path FROM documents WHERE source = 'task_prompt'), f AS (SELECT DISTINCT episode, unnest({_PATHS}) AS path FROM documents WHERE source = 'run_log')
+SELECT m.episode, count(*)::BIGINT AS mentioned, count(f.path)::BIGINT AS found FROM m LEFT JOIN f ON f.episode = m.episode AND f.path = m.path WHERE m.episode IS NOT NULL GROUP BY m.episode""")
+def deliverables(spark: SparkSession, d: str) -> DataFrame:
+    of = lambda source: T(spark, d, "documents").where((F.col("source") == source) & F.col("episode").isNotNull()).select("episode", F.explode(X.file_paths(F.col("text"))).alias("path"))
+    return evidence.deliverables(of("task_prompt"), of("run_log"), "episode")
+
+
+@_query("""WITH RECURSIVE i AS MATERIALIZED (SELECT episode, doc_id, text, source, length(text) AS n, row_number() OVER (PARTITION BY episode ORDER BY doc_id) AS k FROM documents WHERE episode IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL),
+f AS (SELECT episode, doc_id, k, CASE WHEN n <= 5000 THEN n ELSE 0 END AS used, n <= 5000 AS kept FROM i WHERE k = 1
+  UNION ALL SELECT i.episode, i.doc_id, i.k, CASE WHEN f.used + i.n <= 5000 THEN f.used + i.n ELSE f.used END, f.used + i.n <= 5000 FROM f JOIN i ON i.episode = f.episode AND i.k = f.k + 1)
+SELECT i.episode, md5(string_agg('## ' || i.source || chr(10) || chr(10) || i.text, chr(10) || chr(10) ORDER BY i.doc_id)) AS h FROM f JOIN i ON i.episode = f.episode AND i.k = f.k WHERE f.kept GROUP BY i.episode""")
+def evidence_bundle(spark: SparkSession, d: str) -> DataFrame:
+    docs = T(spark, d, "documents").where("episode is not null and source is not null and text is not null")
+    kept = evidence.skip_greedy(docs.withColumn("n", F.length("text")), "episode", "doc_id", "n", 5000).where("kept").select("doc_id")
+    parts = docs.join(kept, "doc_id", "left_semi")
+    return evidence.assemble(parts, "episode", "doc_id", "source", "text").select("episode", F.md5("text").alias("h"))
+
+
+# ---- selection
+
+
+@_query(f"""WITH ok AS (SELECT DISTINCT episode FROM run_status WHERE {_DONE}), b AS MATERIALIZED (SELECT DISTINCT ON (block_id) episode, kind, ids, mask, block_id FROM blocks WHERE block_id IS NOT NULL)
+SELECT block_id, b.episode IN (SELECT episode FROM ok) AS used, coalesce(len(list_filter(mask[2:], lambda x: x = 1)) > 0, FALSE) AS trainable FROM b WHERE kind <> 'system'""")
+def window_filters(spark: SparkSession, d: str) -> DataFrame:
+    status = T(spark, d, "run_status")
+    done = status.where(traces.completed(F.col("exit_code"), F.col("trace_has_success_result"))).select("episode").distinct().withColumn("used", F.lit(True))
+    rows = T(spark, d, "blocks").where("block_id is not null and kind <> 'system'").select("block_id", "episode", F.exists(F.slice("mask", F.lit(2), F.greatest(F.size("mask") - 1, F.lit(0))), lambda m: m == 1).alias("t")).dropDuplicates(["block_id"])
+    return rows.join(done, "episode", "left").select("block_id", F.coalesce("used", F.lit(False)).alias("used"), F.coalesce("t", F.lit(False)).alias("trainable"))
+
+
+def _verdicts(spark: SparkSession, d: str) -> Callable[[DataFrame], DataFrame]:
+    """Adapter: the episode with fewer requests in its completed runs wins."""
+    n = T(spark, d, "run_status").where(traces.completed(F.col("exit_code"), F.col("trace_has_success_result"))).groupBy("episode").agg(F.min("api_requests").alias("n"))
+    winner = F.when(F.col("na") < F.col("nb"), "A").when(F.col("na") > F.col("nb"), "B").otherwise("tie")
+    return lambda pairs: pairs.join(n.select(F.col("episode").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("episode").alias("b"), F.col("n").alias("nb")), "b").withColumn("winner", winner)
+
+
+@_query(f"""WITH RECURSIVE ok AS MATERIALIZED (SELECT episode, min(api_requests) AS n FROM run_status WHERE {_DONE} GROUP BY episode),
+e AS MATERIALIZED (SELECT task, episode, row_number() OVER (PARTITION BY task ORDER BY md5('7-' || task || '-' || episode), episode) - 1 AS i, count(*) OVER (PARTITION BY task) AS n FROM (SELECT DISTINCT task, episode FROM episodes WHERE task IS NOT NULL AND episode IN (SELECT episode FROM ok))),
+p AS MATERIALIZED (SELECT DISTINCT x.task, least(x.episode, y.episode) AS p, greatest(x.episode, y.episode) AS q FROM e x JOIN e y ON x.task = y.task AND x.episode <> y.episode AND (y.i = (x.i + 1) % x.n OR y.i = (x.i + 2) % x.n)),
+o AS MATERIALIZED (SELECT p.task, z.i, z.j, z.w FROM p JOIN ok a ON a.episode = p.p JOIN ok b ON b.episode = p.q, LATERAL (SELECT p.p AS i, p.q AS j, CASE WHEN coalesce(a.n < b.n, FALSE) THEN 1.0 WHEN coalesce(a.n > b.n, FALSE) THEN 0.0 ELSE 0.5 END::DOUBLE AS w UNION ALL SELECT p.q, p.p, CASE WHEN coalesce(a.n > b.n, FALSE) THEN 1.0 WHEN coalesce(a.n < b.n, FALSE) THEN 0.0 ELSE 0.5 END::DOUBLE) z),
+it AS MATERIALIZED (SELECT task, i, row_number() OVER (PARTITION BY task ORDER BY i) AS k, sum(w) + 0.5 AS g FROM o GROUP BY task, i),
+gl AS MATERIALIZED (SELECT o.task, ia.k AS a, list(ib.k ORDER BY ib.k) AS bs FROM o JOIN it ia ON ia.task = o.task AND ia.i = o.i JOIN it ib ON ib.task = o.task AND ib.i = o.j GROUP BY o.task, ia.k),
+par AS MATERIALIZED (SELECT it.task, list(it.g ORDER BY k) AS gs, list(gl.bs ORDER BY k) AS bs FROM it JOIN gl ON gl.task = it.task AND gl.a = it.k GROUP BY it.task),
+f AS (SELECT task, 0 AS r, list_transform(gs, lambda x: 1.0::DOUBLE) AS p FROM par
+  UNION ALL SELECT task, r, list_transform(q, lambda x: x / (list_sum(q) / len(q))) FROM (
+    SELECT f.task, f.r + 1 AS r, list_transform(range(1, len(f.p) + 1), lambda k: par.gs[k] / (0.5 / (f.p[k] + 1) + list_sum(list_transform(par.bs[k], lambda h: 1.0 / (f.p[k] + f.p[h]))))) AS q FROM f JOIN par USING (task) WHERE f.r < 500)),
+s AS MATERIALIZED (SELECT it.task, it.i AS episode, round(ln(f.p[it.k]), 6) AS rating FROM it JOIN f ON f.task = it.task AND f.r = 500)
+SELECT task, episode, rank, CASE WHEN rank <= 3 THEN 'train' WHEN rank = 4 THEN 'validation' ELSE 'none' END AS band FROM (SELECT task, episode, row_number() OVER (PARTITION BY task ORDER BY rating DESC, episode) AS rank FROM s)""")
+def rank_select(spark: SparkSession, d: str) -> DataFrame:
+    pool = selection.completed_pool(T(spark, d, "episodes"), T(spark, d, "run_status"))
+    return selection.rank_and_select(pool, _verdicts(spark, d), 4, 7, 3, 4)
+
+
 # ---- streams
 
 

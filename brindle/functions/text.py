@@ -156,3 +156,33 @@ def folder_id(path: Column) -> Column:
 def band(number: Column) -> Column:
     """Name of the range a query number lies in."""
     return F.when(number.between(1, 99), "first").when(number.between(200, 299), "second").when(number.between(300, 399), "third").otherwise("other")
+
+
+def first_contained(text: Column, variants: list[Column]) -> Column:
+    """(variant, hits) of the first distinct variant that occurs in the text; null where none does."""
+    each = F.array_distinct(F.filter(F.array(*variants), lambda v: v.isNotNull() & (F.length(v) > 0)))
+    counted = F.transform(each, lambda v: F.struct(v.alias("variant"), occurrences(text, v).alias("hits")))
+    return F.get(F.filter(counted, lambda c: c["hits"] > 0), F.lit(0))
+
+
+def trim_block(text: Column, prefix: str, end: str, tail: Column | None = None, probe: int = 200, last_share: float = 0.3) -> Column:
+    """A generated block: null without the prefix; cut before a copy of the tail's first ``probe`` characters, else before an end marker in its last part."""
+    at_tail = F.lit(0) if tail is None else F.coalesce(F.instr(text, F.substring(tail, 1, probe)), F.lit(0))
+    back = F.instr(F.reverse(text), F.lit(end[::-1]))
+    at_end = F.when(back > 0, F.length(text) - back - len(end) + 2).otherwise(0)
+    cut = F.when(at_tail > 1, F.substr(text, F.lit(1), at_tail - 1)).when(at_end > F.length(text) * (1 - last_share), F.substr(text, F.lit(1), at_end - 1)).otherwise(text)
+    return F.when(F.startswith(text, F.lit(prefix)), F.rtrim(cut))
+
+
+def json_fenced_first(text: Column) -> Column:
+    """Which part of a text is its JSON object, fenced first: fenced, braces or whole; none where nothing parses."""
+    outer = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    is_object = lambda c: F.coalesce(F.startswith(F.ltrim(c), F.lit("{")) & F.try_parse_json(c).isNotNull(), F.lit(False))
+    return F.when(is_object(fenced), "fenced").when(is_object(outer), "braces").when(is_object(F.trim(text)), "whole").otherwise("none")
+
+
+def first_fenced_json(text: Column) -> Column:
+    """The first ```json block of a text that parses; null where there is none."""
+    blocks = F.regexp_extract_all(text, F.lit(r"(?s)```json\s*(.*?)```"), F.lit(1))
+    return F.get(F.filter(blocks, lambda b: F.try_parse_json(b).isNotNull()), F.lit(0))

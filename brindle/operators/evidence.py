@@ -48,3 +48,17 @@ def version_diffs(texts: DataFrame, key: str, order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(order)
     rows = texts.select(key, order, "text", F.lag("text").over(w).alias("before"), F.row_number().over(w).alias("n")).where("n > 1")
     return rows.select(key, order, _unified("before", "text").alias("diff"))
+
+
+def assemble(parts: DataFrame, key: str, order: str, header: str, body: str) -> DataFrame:
+    """(key, text): sections of a key in order, each under its header; meant for parts that passed a budget, since a key's text is one value."""
+    section = F.concat(F.lit("## "), F.col(header), F.lit("\n\n"), F.col(body))
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), section.alias("s"))))
+    return parts.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x["s"]), "\n\n").alias("text"))
+
+
+def deliverables(mentions: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """(key, mentioned, found): distinct paths that a key mentions, and how many of them exist for it."""
+    asked = mentions.select(key, "path").distinct()
+    there = files.select(key, "path").distinct().withColumn("there", F.lit(1))
+    return asked.join(there, [key, "path"], "left").groupBy(key).agg(F.count("*").alias("mentioned"), F.count("there").alias("found"))

@@ -66,3 +66,40 @@ def latest_or_default(keys: DataFrame, rows: DataFrame, key: str, value: str, or
     """(key, value): of every key, the latest non-empty value, else the default."""
     last = rows.where(F.length(F.trim(value)) > 0).groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
     return keys.select(key).distinct().join(last, key, "left").select(key, F.coalesce(value, F.lit(default)).alias(value))
+
+
+def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of every key by ``order``, nulls first; ties are broken by all other columns."""
+    rest = [c for c in rows.columns if c not in keys and c not in order]
+    return rows.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("r")).select(*keys, "r.*")
+
+
+def least_loaded(loads: DataFrame, by: str, name: str, load: str) -> DataFrame:
+    """(by, name): the name of least load, the first by name among equals."""
+    return loads.groupBy(by).agg(F.min(F.struct(load, name)).alias("m")).select(by, F.col(f"m.{name}").alias(name))
+
+
+def pair_id(task: Column, a: Column, b: Column) -> Column:
+    """SHA-256 of the pair's canonical JSON, keys sorted."""
+    return F.sha2(F.concat(F.lit('{"a":"'), a, F.lit('","b":"'), b, F.lit('","task":'), task.cast("string"), F.lit("}")), 256)
+
+
+def comparison_key(old: Column, new: Column, kind: str = "adjacent") -> Column:
+    """vA_vs_vB, champion_vA_vs_vB or vB_vs_no_harness."""
+    form = {"adjacent": "v%d_vs_v%d", "champion": "champion_v%d_vs_v%d"}.get(kind)
+    return F.format_string("v%d_vs_no_harness", new) if form is None else F.format_string(form, old, new)
+
+
+def parse_key(key: Column) -> Column:
+    """(kind, old, new) of a comparison key; null for other texts."""
+    num = lambda i: F.regexp_extract(key, r"^(?:champion_)?v(\d+)_vs_(?:v(\d+)|no_harness)$", i).try_cast("int")
+    kind = F.when(key.rlike(r"^v\d+_vs_v\d+$"), "adjacent").when(key.rlike(r"^champion_v\d+_vs_v\d+$"), "champion").when(key.rlike(r"^v\d+_vs_no_harness$"), "baseline")
+    baseline = kind == "baseline"
+    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.when(~baseline, num(1)).alias("old"), F.when(baseline, num(1)).otherwise(num(2)).alias("new")))
+
+
+def norm_errors(vectors: DataFrame, original: str, other: str) -> DataFrame:
+    """(relative_error, identical): norm of the difference over the norm, and the share of equal entries, over all vectors."""
+    pairs = vectors.select(F.explode(F.arrays_zip(F.col(original).alias("x"), F.col(other).alias("y"))).alias("p")).select(F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"))
+    d = F.col("x") - F.col("y")
+    return pairs.agg(F.round(F.sqrt(F.sum(d * d)) / F.sqrt(F.sum(F.col("x") * F.col("x"))), 6).alias("relative_error"), F.round(F.avg((d == 0).cast("int")), 6).alias("identical"))

@@ -55,3 +55,27 @@ ENTRY_SCRIPTS = r"(^|/)(run_[^/]*\.py|main\.py|pipeline\.py)$"
 def entry_scripts(files: DataFrame) -> DataFrame:
     """(path): scripts that start a run, each once, sorted."""
     return files.where(F.col("path").rlike(ENTRY_SCRIPTS)).select("path").distinct().orderBy("path")
+
+
+def combine_files(files: DataFrame, suffixes: tuple[str, ...], per_file: int = 20_000) -> DataFrame:
+    """(folder, text): the first ``per_file`` characters of every file with one of the suffixes, in order of path, by folder."""
+    fits = F.lit(False)
+    for s in suffixes:
+        fits = fits | F.endswith("path", F.lit(s))
+    rows = files.where(fits).select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "path", F.substring("content", 1, per_file).alias("content"))
+    return rows.groupBy("folder").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "content"))), lambda r: r["content"]), "\n").alias("text"))
+
+
+def expect_count(df: DataFrame, n: int, what: str) -> DataFrame:
+    """The same rows, or an error at run time where there are not exactly ``n``."""
+    found = df.agg(F.count("*").alias("_n"))
+    checked = found.where(F.when(F.col("_n") == n, True).otherwise(F.raise_error(F.lit(f"{what}: expected {n} rows")).cast("boolean")))
+    return checked.join(df, F.lit(True), "left").drop("_n")  # one row on the left, so the check always runs
+
+
+def lookup(catalogue: DataFrame, key: str, value: str) -> DataFrame:
+    """The rows of a catalogue with this key, or an error at run time where there are none."""
+    rows = catalogue.where(F.col(key) == value)
+    found = rows.agg(F.count("*").alias("_n"))
+    checked = found.where(F.when(F.col("_n") > 0, True).otherwise(F.raise_error(F.lit(f"unknown {key}: {value}")).cast("boolean")))
+    return checked.join(rows, F.lit(True), "left").drop("_n")
