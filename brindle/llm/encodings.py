@@ -9,7 +9,6 @@ of every chain is learned by expectation-maximization over all documents.
 
 from __future__ import annotations
 
-import codecs
 import functools
 import math
 import re
@@ -56,7 +55,7 @@ def _tables() -> tuple[dict[str, dict[str, int]], dict[str, list[str]]]:
     to_char: dict[str, list[str]] = {}
     for name in SINGLE:
         chars = [bytes([b]).decode(name, "replace") for b in range(256)]
-        chars = [c if c != "�" else chr(b) for b, c in enumerate(chars)]
+        chars = [c if c != "\ufffd" else chr(b) for b, c in enumerate(chars)]
         to_char[name] = chars
         to_byte[name] = {c: b for b, c in enumerate(chars)}
         if name == "cp1252":
@@ -64,31 +63,34 @@ def _tables() -> tuple[dict[str, dict[str, int]], dict[str, list[str]]]:
     return to_byte, to_char
 
 
+@functools.cache
+def _translations() -> tuple[dict[str, dict[int, int]], dict[str, dict[int, str]]]:
+    """The tables in the form str.translate takes: to the Latin-1 character of a byte, and back."""
+    to_byte, to_char = _tables()
+    # Latin-1 characters that the encoding lacks must fail, so they go beyond Latin-1.
+    there = {n: {b: 0x100 for b in range(256)} | {ord(c): b for c, b in t.items()} for n, t in to_byte.items()}
+    back = {n: dict(enumerate(chars)) for n, chars in to_char.items()}
+    return there, back
+
+
 def _encode(text: str, name: str) -> bytes | None:
-    if name in SINGLE:
-        table = _tables()[0][name]
-        try:
-            return bytes([table[c] for c in text])
-        except KeyError:
-            return None
     try:
-        return text.encode(name)
+        return text.translate(_translations()[0][name]).encode("latin-1") if name in SINGLE else text.encode(name)
     except UnicodeEncodeError:
         return None
 
 
 def _decode(data: bytes, name: str) -> str | None:
     if name in SINGLE:
-        chars = _tables()[1][name]
-        return "".join([chars[b] for b in data])
+        return data.decode("latin-1").translate(_translations()[1][name])
     try:
         return data.decode(name)
     except UnicodeDecodeError:
         if name != "utf-8":
             return None
     text = data.decode(name, "replace")
-    n = text.count("�")
-    return text if n and any(ord(c) > 0x7F and c != "�" for c in text) and n * 3 <= len(text) else None
+    n = text.count("\ufffd")
+    return text if n and any(ord(c) > 0x7F and c != "\ufffd" for c in text) and n * 3 <= len(text) else None
 
 
 def _count_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,6 +114,8 @@ class CharacterModel:
     def __init__(self, uni: np.ndarray, bi: np.ndarray) -> None:
         self.uni, self.bi = uni, bi
         self.total = float(self.uni.sum())
+        #: Characters seen at least twice; nothing can speak for others but the form of their bytes.
+        self.known = frozenset(map(chr, np.nonzero(uni > 1)[0].tolist()))
         self._log: dict[tuple[str, str], float] = {}
         self._token: dict[str, list[tuple[int, float, str]]] = {}
 
@@ -131,11 +135,12 @@ class CharacterModel:
         return got
 
     def score(self, text: str) -> float:
-        last, total = " ", 0.0
-        for c in text:
-            total += self.pair(last, c)
+        get, last, total = self._log.get, " ", 0.0
+        for c in text + " ":
+            got = get((last, c))
+            total += self.pair(last, c) if got is None else got
             last = c
-        return total + self.pair(last, " ")
+        return total
 
     def undo(self, token: str) -> list[tuple[int, float, str]]:
         """(chain index, log-likelihood ratio against "not garbled", undone token) of the chains that improve the token."""
@@ -158,7 +163,7 @@ class CharacterModel:
             if data is None:
                 continue
             text = _decode(data, t)
-            if text is None:
+            if text is None or t != "utf-8" and not self.known.issuperset(text):
                 continue
             value = seen.get(text)
             if value is None:
@@ -167,7 +172,7 @@ class CharacterModel:
                 value += SEQUENCE * (len(data) - len(text) if w in SINGLE else 1)
             if value > own:
                 out.append((i, min(STRETCH_BOUND if t == "utf-8" else _bound(token, text), value - own), text))
-        if "�" in token:
+        if "\ufffd" in token:
             out.append((len(CHAINS), STRETCH_BOUND, token))
         elif not out and _C1.search(token):
             out.append((len(CHAINS), 8.0, token))
@@ -180,6 +185,16 @@ def _bound(token: str, text: str) -> float:
     return min(STRETCH_BOUND, 2.0 * letters)
 
 
+_held: list[CharacterModel] = []
+
+
+def _model(tables: tuple[np.ndarray, np.ndarray]) -> CharacterModel:
+    """The model of these tables, kept between the tasks of a worker with all tokens it has weighed."""
+    if not _held or _held[0].uni is not tables[0]:
+        _held[:] = [CharacterModel(*tables)]
+    return _held[0]
+
+
 def character_model(documents: DataFrame) -> CharacterModel:
     """Counts over the texts of all documents; only two tables of fixed size reach the driver."""
     rows = documents.where("text is not null").select("text").mapInArrow(_count_characters, "kind long, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
@@ -230,7 +245,7 @@ def chain_posteriors(documents: DataFrame) -> DataFrame:
     odd = rows.where(F.col("text").rlike("[^\\x00-\\x7f]"))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = CharacterModel(*shared.value)
+        own = _model(shared.value)
         for b in batches:
             ids, names, chains, weights = [], [], [], []
             for doc_id, source, text in zip(*(c.to_pylist() for c in b.columns)):
@@ -333,7 +348,7 @@ def repaired_documents(documents: DataFrame) -> DataFrame:
     names = {f"{w}<{t}": i for i, (w, t) in enumerate(CHAINS)}
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = CharacterModel(*shared.value)
+        own = _model(shared.value)
         for b in batches:
             texts = b.column("text").to_pylist()
             fixed = [repair_text(t, names.get(c, -1), own) for t, c in zip(texts, b.column("chain").to_pylist())]
