@@ -123,9 +123,12 @@ def sound_conversations(requests: DataFrame) -> DataFrame:
     )
 
 
+#: Up to so many conversations (32 MB) their ids are sent to every task, so that request bodies need no shuffle; beyond, they are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
 _TURNS = StructType(
     [
-        StructField("last_id", LongType()),
+        StructField("first_id", LongType()),
         StructField("position", LongType()),
         StructField("role", StringType()),
         StructField("text", StringType()),
@@ -134,17 +137,18 @@ _TURNS = StructType(
 )
 
 
-def _turns(request_id: int, request: str | None, response: str | None) -> Iterator[tuple]:
+def _turns(first_id: int, request: str | None, response: str | None) -> Iterator[tuple]:
     reply, _, _ = reply_of(response)
     for i, m in enumerate([*(messages_of(request) or []), *([reply] if reply else [])]):
         calls = m.get("tool_calls")
-        yield request_id, i, str(m.get("role") or "assistant"), text_of(m.get("content")), len(calls) if isinstance(calls, list) else 0
+        yield first_id, i, str(m.get("role") or "assistant"), text_of(m.get("content")), len(calls) if isinstance(calls, list) else 0
 
 
 def conversation_messages(requests: DataFrame) -> DataFrame:
     """(first_id, position, role, text, n_tool_calls): every message of the sound conversations, in order."""
     sound = materialize(sound_conversations(requests), "sound")
+    ids = sound.select(F.col("last_id").alias("request_id"), "first_id")
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     rows = chat_rows(requests, ["request_id", "request", "response"], only_ok=True)
-    last = rows.join(sound.select(F.col("last_id").alias("request_id")), "request_id", "left_semi").dropDuplicates(["request_id"])
-    turns = map_rows(last.select("request_id", "request", "response"), _turns, _TURNS)
-    return turns.join(sound.select("first_id", "last_id"), "last_id").select("first_id", "position", "role", "text", "n_tool_calls")
+    last = rows.join(F.broadcast(ids) if small else ids, "request_id").select("first_id", "request", "response")
+    return map_rows(last, _turns, _TURNS).dropDuplicates(["first_id", "position"])
