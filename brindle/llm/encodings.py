@@ -30,10 +30,12 @@ STRETCH_SHARE = 0.03
 #: Evidence of one stretch is bounded, so that no single stretch outweighs all others.
 STRETCH_BOUND = 25.0
 #: Ordinary text seldom forms valid UTF-8 sequences by chance; each continuation byte found in place speaks for the chain by so much.
-SEQUENCE = 2.5
+SEQUENCE = 3.5
 #: Prior share of garbled documents before the first round, and pseudo-documents behind it.
 PRIOR, STRENGTH = 0.05, 100.0
 ROUNDS = 6
+#: Posterior from which a document counts as garbled: a missed one spoils training text, a false alarm is only looked at again.
+CUTOFF = 0.1
 #: At most so many sources get priors of their own; the rest share one.
 MAX_SOURCES = 1000
 
@@ -167,9 +169,11 @@ class CharacterModel:
                 continue
             value = seen.get(text)
             if value is None:
-                value = seen[text] = self.score(text) - 2.0 * max(0, len(text) - len(token))
+                value = seen[text] = self.score(text)
+            value -= 2.0 * max(0, len(text) - len(token))
             if t == "utf-8":
                 value += SEQUENCE * (len(data) - len(text) if w in SINGLE else 1)
+                text, value = self._again(text, value, w, seen)
             if value > own:
                 out.append((i, min(STRETCH_BOUND if t == "utf-8" else _bound(token, text), value - own), text))
         if "\ufffd" in token:
@@ -179,6 +183,25 @@ class CharacterModel:
         return out
 
 
+    def _again(self, text: str, value: float, wrong: str, seen: dict[str, float]) -> tuple[str, float]:
+        """Undo UTF-8 read as ``wrong``, or as Latin-1, further times while that is more likely."""
+        for _ in range(2):
+            for w in dict.fromkeys((wrong, "cp1252")):
+                data = None if text.isascii() else _encode(text, w)
+                more = _decode(data, "utf-8") if data is not None else None
+                if more is not None and "\ufffd" not in more and more != text:
+                    known = seen.get(more)
+                    if known is None:
+                        known = seen[more] = self.score(more)
+                    total = value - seen[text] + known + SEQUENCE * (len(data) - len(more))
+                    if total > value:
+                        text, value = more, total
+                        break
+            else:
+                break
+        return text, value
+
+
 def _bound(token: str, text: str) -> float:
     """Most that a stretch can say for a chain whose bytes are valid anyway: a lone sign says little, a word a lot."""
     letters = sum(c.isalpha() for c in set(token)) + sum(c.isalpha() for c in set(text))
@@ -236,10 +259,10 @@ def _posterior(chains: np.ndarray, weight: np.ndarray, prior: np.ndarray) -> np.
     return e / (e.sum() + math.exp(math.log(prior[-1]) - top))
 
 
-def chain_posteriors(documents: DataFrame) -> DataFrame:
+def chain_posteriors(documents: DataFrame, model: CharacterModel | None = None) -> DataFrame:
     """(doc_id, posterior, chain): documents with some evidence, their posterior of being garbled and their best chain."""
     spark = documents.sparkSession
-    model = character_model(documents)
+    model = model or character_model(documents)
     shared = spark.sparkContext.broadcast((model.uni.astype(np.int32), model.bi.astype(np.int32)))
     rows = documents.where("doc_id is not null and text is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
     odd = rows.where(F.col("text").rlike("[^\\x00-\\x7f]"))
@@ -322,7 +345,7 @@ def garbled_documents(documents: DataFrame) -> DataFrame:
     Null, empty and pure ASCII texts are clean; a null source is a source of its
     own; U+FFFD counts as garbled, since decoders write it for lost characters.
     """
-    return chain_posteriors(documents).where("posterior > 0.5").select("doc_id")
+    return chain_posteriors(documents).where(F.col("posterior") > CUTOFF).select("doc_id")
 
 
 def repair_text(text: str, chain: int, model: CharacterModel, depth: int = 4) -> str:
@@ -342,8 +365,8 @@ def repair_text(text: str, chain: int, model: CharacterModel, depth: int = 4) ->
 
 def repaired_documents(documents: DataFrame) -> DataFrame:
     """(doc_id, chain, text, changed): the garbled documents with their texts restored where the chain can be undone."""
-    found = materialize(chain_posteriors(documents).where("posterior > 0.5").select("doc_id", "chain"), "garbled")
     model = character_model(documents)
+    found = materialize(chain_posteriors(documents, model).where(F.col("posterior") > CUTOFF).select("doc_id", "chain"), "garbled")
     shared = documents.sparkSession.sparkContext.broadcast((model.uni.astype(np.int32), model.bi.astype(np.int32)))
     names = {f"{w}<{t}": i for i, (w, t) in enumerate(CHAINS)}
 
