@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from brindle.llm.tokens import DEFAULT_VOCABULARY, encode_documents
 from brindle.plans.materialize import materialize
 
-#: Buckets of one pass over one source, so that running sums of a large source are taken in many tasks.
-BUCKETS = 64
+#: Running sums of a source are taken in buckets of about so many documents of the whole corpus; the number of buckets is a power of two within bounds.
+BUCKET_ROWS, LEAST_BITS, MOST_BITS = 200_000, 6, 16
 #: Passes over sources are broadcast up to so many rows; beyond, they are joined by shuffle.
 SMALL_PASSES = 10_000
 #: How strongly weights may drift from start to end, as a share of the weight.
@@ -62,9 +62,10 @@ def mixture(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     begins within the demand. Empty documents, null sources and sources without
     target never appear.
 
-    Running sums need no single task: sums of BUCKETS buckets per source and
-    pass are added up first, and each bucket is then summed by itself.
+    Running sums need no single task: sums of the buckets of a source and pass
+    are added up first, and each bucket is then summed by itself.
     """
+    bits = min(MOST_BITS, max(LEAST_BITS, (sizes.count() // BUCKET_ROWS).bit_length()))
     plan = materialize(source_plan(sizes, targets), "plan")
     passes = plan.where("demand > 0").select("source", "demand", "drift", "total", "held", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("demand") / F.col("held")) - 1)).alias("copy"))
     passes = materialize(passes, "passes")
@@ -74,13 +75,13 @@ def mixture(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         .select("doc_id", "source", "n_tokens")
         .join(F.broadcast(passes) if small else passes, "source")
         .withColumn("order", F.xxhash64("doc_id", "copy"))
-        .withColumn("bucket", F.shiftrightunsigned("order", 64 - BUCKETS.bit_length() + 1))
+        .withColumn("bucket", F.shiftrightunsigned("order", 64 - bits))
     )
     keys = ["source", "copy", "bucket"]
     buckets = rows.groupBy(*keys).agg(F.sum("n_tokens").alias("sum"))
     along = Window.partitionBy("source", "copy").orderBy("bucket")
     before = materialize(buckets.select(*keys, (F.sum("sum").over(along) - F.col("sum")).alias("before")), "offsets")
-    inside = Window.partitionBy(*keys).orderBy(F.shiftleft("order", BUCKETS.bit_length() - 1), "doc_id")
+    inside = Window.partitionBy(*keys).orderBy(F.shiftleft("order", bits), "doc_id")
     start = F.col("copy") * F.col("held") + F.col("before") + F.sum("n_tokens").over(inside) - F.col("n_tokens")
     placed = rows.join(before, keys).withColumn("start", start).where("start < demand")
     # c = t + k (t^2 - t), solved for the training time t.
