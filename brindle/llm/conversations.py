@@ -92,7 +92,12 @@ def sound_conversations(requests: DataFrame) -> DataFrame:
     stretch is checked by itself and the few stretches of one conversation are
     then checked at their seams, so a conversation of any length is split.
     """
-    steps = conversation_steps(requests).withColumn("stretch", F.floor(F.col("seq") / STRETCH))
+    return _accepted(conversation_steps(requests)).select("first_id", "last_id", "n_messages")
+
+
+def _accepted(rows: DataFrame) -> DataFrame:
+    """(episode, key, first_id, last_id, n_messages) of the conversations of these steps that are sound."""
+    steps = rows.withColumn("stretch", F.floor(F.col("seq") / STRETCH))
     keys = ["episode", "key"]
     now = F.struct("roles", "prefix", "content", "reply").alias("now")
     inside = Window.partitionBy(*keys, "stretch").orderBy("seq")
@@ -119,16 +124,13 @@ def sound_conversations(requests: DataFrame) -> DataFrame:
             (F.max_by("n", "stretch") + 1).cast("long").alias("n_messages"),
         )
         .where("ok")
-        .select("first_id", "last_id", "n_messages")
+        .select(*keys, "first_id", "last_id", "n_messages")
     )
 
 
-#: Up to so many conversations (32 MB) their ids are sent to every task, so that request bodies need no shuffle; beyond, they are joined by shuffle.
-BROADCAST_IDS = 2_000_000
-
 _TURNS = StructType(
     [
-        StructField("first_id", LongType()),
+        StructField("request_id", LongType()),
         StructField("position", LongType()),
         StructField("role", StringType()),
         StructField("text", StringType()),
@@ -137,18 +139,27 @@ _TURNS = StructType(
 )
 
 
-def _turns(first_id: int, request: str | None, response: str | None) -> Iterator[tuple]:
+def _new_turns(request_id: int, request: str | None, response: str | None) -> Iterator[tuple]:
+    """What a step of a sound conversation adds: the messages after the last assistant message, and the reply."""
+    messages = messages_of(request) or []
+    start = max((i + 1 for i, m in enumerate(messages) if m.get("role") == "assistant"), default=0)
     reply, _, _ = reply_of(response)
-    for i, m in enumerate([*(messages_of(request) or []), *([reply] if reply else [])]):
+    for i, m in [*enumerate(messages[start:], start), *([(len(messages), {"role": "assistant", **reply})] if reply else [])]:
         calls = m.get("tool_calls")
-        yield first_id, i, str(m.get("role") or "assistant"), text_of(m.get("content")), len(calls) if isinstance(calls, list) else 0
+        yield request_id, i, str(m.get("role")), text_of(m.get("content")), len(calls) if isinstance(calls, list) else 0
 
 
 def conversation_messages(requests: DataFrame) -> DataFrame:
-    """(first_id, position, role, text, n_tool_calls): every message of the sound conversations, in order."""
-    sound = materialize(sound_conversations(requests), "sound")
-    ids = sound.select(F.col("last_id").alias("request_id"), "first_id")
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    """(first_id, position, role, text, n_tool_calls): every message of the sound conversations, in order.
+
+    A request repeats the history, so each step only contributes what is new in
+    it; in a sound conversation these pieces make up the whole, and every text
+    is shuffled once.
+    """
+    steps = materialize(conversation_steps(requests), "steps")
+    sound = _accepted(steps).select("episode", "key", "first_id")
+    joined = steps.select("episode", "key", "request_id").join(sound, steps["episode"].eqNullSafe(sound["episode"]) & (steps["key"] == sound["key"]))
+    members = joined.select("request_id", "first_id")
     rows = chat_rows(requests, ["request_id", "request", "response"], only_ok=True)
-    last = rows.join(F.broadcast(ids) if small else ids, "request_id").select("first_id", "request", "response")
-    return map_rows(last, _turns, _TURNS).dropDuplicates(["first_id", "position"])
+    turns = map_rows(rows, _new_turns, _TURNS, batch=10_000).join(members, "request_id").dropDuplicates(["request_id", "position"])
+    return turns.select("first_id", "position", "role", "text", "n_tool_calls")
