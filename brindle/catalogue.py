@@ -367,8 +367,9 @@ def _rounds(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("event_id")
     won = F.when(F.col("event_type") == "purchase", "B").when(F.col("event_type") == "error", "A").otherwise("tie")
     ev = T(spark, d, "events").select("user_id", (F.row_number().over(w) - 1).cast("long").alias("version"), won.alias("winner"), "value")
-    # The reigning champion was met by every version whose value is above 20.
-    met = F.map_from_entries(F.transform(F.sequence(F.lit(0).cast("long"), F.col("version")), lambda c: F.struct(c, F.when(F.col("value") > 40, "B").otherwise("A"))))
+    # Versions whose value is above 20 have met each of the five before them.
+    before = F.sequence(F.greatest(F.col("version") - 5, F.lit(0).cast("long")), F.col("version"))
+    met = F.map_from_entries(F.transform(before, lambda c: F.struct(c, F.when(F.col("value") > 40, "B").otherwise("A"))))
     return ev.withColumn("arbitration", F.when(F.col("value") > 20, met))
 
 
@@ -376,8 +377,8 @@ _FOLD = """WITH RECURSIVE ev AS MATERIALIZED (SELECT user_id, row_number() OVER
   CASE WHEN value > 40 THEN 'B' WHEN value > 20 THEN 'A' END AS arb FROM events),
 f AS (SELECT user_id, 0::BIGINT AS version, 0::BIGINT AS champion, {start} AS has_win, FALSE AS needs FROM ev WHERE version = 0
   UNION ALL
-  SELECT f.user_id, e.version, CASE WHEN e.winner = 'B' AND ({direct} OR e.arb = 'B') THEN e.version ELSE f.champion END, f.has_win OR (e.winner = 'B' AND ({direct} OR coalesce(e.arb = 'B', FALSE))),
-    e.winner = 'B' AND NOT {direct} AND e.arb IS NULL FROM f JOIN ev e ON e.user_id = f.user_id AND e.version = f.version + 1)
+  SELECT f.user_id, e.version, CASE WHEN e.winner = 'B' AND ({direct} OR (e.arb = 'B' AND e.version - f.champion <= 5)) THEN e.version ELSE f.champion END, f.has_win OR (e.winner = 'B' AND ({direct} OR coalesce((e.arb = 'B' AND e.version - f.champion <= 5), FALSE))),
+    e.winner = 'B' AND NOT {direct} AND (e.arb IS NULL OR e.version - f.champion > 5) FROM f JOIN ev e ON e.user_id = f.user_id AND e.version = f.version + 1)
 SELECT f.user_id, champion, has_win, needs FROM f JOIN (SELECT user_id, max(version) AS v FROM ev GROUP BY user_id) m ON m.user_id = f.user_id AND m.v = f.version"""
 
 
