@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import importlib
-import importlib.util
 
 from brindle import catalogue
 from brindle.plans.ship import ship
@@ -24,8 +22,6 @@ def main() -> None:
     explain.add_argument("data")
     args = parser.parse_args()
     queries = catalogue.queries()
-    if importlib.util.find_spec("brindle.llm") is not None:
-        queries |= importlib.import_module("brindle.llm.queries").queries()
     if args.command == "list":
         print("\n".join(queries))
         return
