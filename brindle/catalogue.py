@@ -7,7 +7,7 @@ one that is, in the same way on both sides.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -817,7 +817,7 @@ def rank_select(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT event_id, user_id, event_type FROM events")
 def ledger_stream(spark: SparkSession, d: str) -> DataFrame:
-    out = f"{shared_dir(spark)}/ledger-{next(tempfile._get_candidate_names())}"
+    out = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
     schema = T(spark, d, "events").schema
     rows = ledgers.file_stream(spark, d, schema, "events.parquet").select("event_id", "user_id", "event_type")
     ledgers.ledger_stream(rows, f"{out}/rows", ["event_id"], f"{out}/checkpoint").awaitTermination()
@@ -826,8 +826,8 @@ def ledger_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT doc_id AS stream_id, md5(text) AS h FROM documents WHERE length(text) > 0")
 def sse_stream(spark: SparkSession, d: str) -> DataFrame:
-    out = f"{shared_dir(spark)}/sse-{next(tempfile._get_candidate_names())}"
+    out = f"{shared_dir(spark)}/sse-{uuid.uuid4().hex}"
     lines = materialize(sse_lines(spark, d), "sse-lines")
     source = ledgers.file_stream(spark, lines.inputFiles()[0].rsplit("/", 1)[0], lines.schema, "*.parquet")
     ledgers.reassembly_stream(source, out, f"{out}/checkpoint").awaitTermination()
-    return spark.read.schema("stream_id long, content string").json(f"{out}/messages").select("stream_id", F.md5("content").alias("h"))
+    return spark.read.schema("stream_id long, content string").json(f"{out}/batch=*").select("stream_id", F.md5("content").alias("h"))

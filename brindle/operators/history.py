@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from brindle.functions.text import action_items, shorten
 from brindle.plans.folds import fold_by_key

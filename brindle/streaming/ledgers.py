@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from brindle.operators.traces import assemble_streams
@@ -28,14 +32,33 @@ def usage_stream(requests: DataFrame, lateness: str = "1 hour") -> DataFrame:
     return once.groupBy(F.try_variant_get(v, "$.model", "string").alias("model")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.try_variant_get(v, "$.usage.prompt_tokens", "long")), F.lit(0)).alias("tokens"))
 
 
+_HELD = "ords array<bigint>, texts array<string>"
+_COMPLETE = "stream_id bigint, ord bigint, line string"
+
+
+def _until_done(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Hold a stream's lines in state until its end mark is there, then hand them over and forget them."""
+    ords, texts = map(list, state.get) if state.exists else ([], [])
+    for rows in batches:
+        ords += rows["ord"].tolist()
+        texts += rows["line"].tolist()
+    if any(t is not None and t.strip() == "data: [DONE]" for t in texts):
+        if state.exists:
+            state.remove()
+        yield pd.DataFrame({"stream_id": key[0], "ord": ords, "line": texts})
+    else:
+        state.update((ords, texts))
+
+
+def complete_streams(lines: DataFrame) -> DataFrame:
+    """(stream_id, ord, line) of streams as soon as their end mark has arrived; open ones stay in the state store, keyed and spread by stream."""
+    return lines.select(F.col("stream_id").cast("long"), F.col("ord").cast("long"), "line").groupBy("stream_id").applyInPandasWithState(_until_done, _COMPLETE, _HELD, "append", GroupStateTimeout.NoTimeout)
+
+
 def reassembly_stream(lines: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Reassemble streams whose end mark has arrived: lines are kept in a table, complete streams are emitted once, by id."""
+    """Reassemble streams when they are complete; a batch that is run again after a failure replaces what it wrote."""
 
-    def step(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        append_new(batch, f"{path}/lines", ["stream_id", "ord"])
-        held = spark.read.schema(batch.schema).json(f"{path}/lines")
-        done = held.where(F.btrim("line") == "data: [DONE]").select("stream_id").distinct()
-        append_new(assemble_streams(held.join(done, "stream_id", "left_semi")), f"{path}/messages", ["stream_id", "index"])
+    def step(batch: DataFrame, number: int) -> None:
+        assemble_streams(batch).write.mode("overwrite").json(f"{path}/batch={number}")
 
-    return lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return complete_streams(lines).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -117,3 +117,25 @@ def test_streams(spark, tmp_path):
     q = ledgers.usage_stream(source).writeStream.outputMode("complete").format("memory").queryName("usage").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.table("usage").collect()} == {("m", 1, 5), (None, 1, 0)}
+
+
+def test_streams_are_held_until_complete(spark, tmp_path):
+    from brindle.streaming import ledgers
+
+    schema = "stream_id long, ord long, line string"
+    piece = lambda t: 'data: {"choices": [{"index": 0, "delta": {"content": "' + t + '"}}]}'
+    first = [(1, 0, piece("a")), (2, 0, piece("x")), (1, 1, piece("b"))]
+    second = [(1, 2, "data: [DONE]"), (2, 1, piece("y")), (3, 0, None)]
+    source = f"file://{tmp_path}/in"
+    out = f"file://{tmp_path}/out"
+
+    def run():
+        lines = ledgers.file_stream(spark, source, spark.createDataFrame([], schema).schema, "*.parquet", 1)
+        ledgers.reassembly_stream(lines, out, f"file://{tmp_path}/cp").awaitTermination()
+        return {(r.stream_id, r.content) for r in spark.read.schema("stream_id long, content string").json(f"{out}/batch=*").collect()}
+
+    spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(source)
+    assert run() == set()
+    spark.createDataFrame(second, schema).coalesce(1).write.mode("append").parquet(source)
+    assert run() == {(1, "ab")}
+    assert run() == {(1, "ab")}
