@@ -38,13 +38,15 @@ def source_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         "source", "target_share", "max_repeats", F.coalesce("held", F.lit(0).cast("long")).alias("held"), F.coalesce("length", F.lit(0.0)).alias("length"),
         ((F.coalesce("held", F.lit(0)) > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)).alias("usable"),
     )
-    total = got.where("usable").agg(F.sum("target_share").alias("usable_share"), F.sum(F.col("target_share") * F.log("length")).alias("log_length"))
-    joined = got.join(total).withColumn("share", F.when(F.col("usable"), F.col("target_share") / F.col("usable_share")).otherwise(0.0))
+    usable = got.where("usable")
+    usable_share = usable.agg(F.sum("target_share")).scalar()
+    log_length = usable.agg(F.sum(F.col("target_share") * F.log("length"))).scalar()
+    joined = got.withColumn("usable_share", usable_share).withColumn("log_length", log_length).withColumn("share", F.when(F.col("usable"), F.col("target_share") / F.col("usable_share")).otherwise(0.0))
     lean = F.when(F.col("usable"), F.log("length") - F.col("log_length") / F.col("usable_share")).otherwise(0.0)
-    bounds = joined.withColumn("lean", lean).groupBy().agg(
-        F.min(F.when(F.col("usable"), F.col("max_repeats") * F.col("held") / F.col("share"))).alias("total"), F.max(F.abs("lean")).alias("widest")
-    )
-    return joined.withColumn("lean", lean).join(bounds).select(
+    leaning = materialize(joined.withColumn("lean", lean), "sources")
+    total = leaning.agg(F.min(F.when(F.col("usable"), F.col("max_repeats") * F.col("held") / F.col("share")))).scalar()
+    widest = leaning.agg(F.max(F.abs("lean"))).scalar()
+    return leaning.withColumn("total", total).withColumn("widest", widest).select(
         "source", "target_share", "max_repeats", "held", "share", F.floor(F.coalesce(F.col("total") * F.col("share"), F.lit(0.0))).alias("demand"),
         F.coalesce(F.lit(DRIFT) * F.col("lean") / F.when(F.col("widest") > 0, F.col("widest")), F.lit(0.0)).alias("drift"),
         F.coalesce("total", F.lit(0.0)).alias("total"),
@@ -93,14 +95,13 @@ def mixture(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 def mixture_shares(mixed: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, actual_share, tokens, documents, most_copies) of every target source."""
     used = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.countDistinct("doc_id").alias("documents"), (F.max("copy") + 1).alias("most_copies"))
-    total = used.agg(F.sum("tokens").alias("all_tokens"))
+    all_tokens = used.agg(F.sum("tokens")).scalar()
     wanted = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"))
     zero = F.lit(0).cast("long")
     return (
         wanted.join(used, "source", "left")
-        .join(total)
         .select(
-            "source", "target_share", F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"),
+            "source", "target_share", F.coalesce(F.col("tokens") / all_tokens, F.lit(0.0)).alias("actual_share"),
             F.coalesce("tokens", zero).alias("tokens"), F.coalesce("documents", zero).alias("documents"), F.coalesce("most_copies", zero).alias("most_copies"),
         )
     )
