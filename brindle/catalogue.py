@@ -317,7 +317,7 @@ def _strata(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _draws(spark: SparkSession) -> DataFrame:
-    return spark.range(4).select(F.col("id").alias("rank")).crossJoin(spark.range(250).select(F.col("id").alias("step")))
+    return spark.range(1000).select(F.floor(F.col("id") / 250).cast("long").alias("rank"), (F.col("id") % 250).alias("step"))
 
 
 _STRATA = """WITH s AS MATERIALIZED (SELECT DISTINCT block_id AS window_id, regexp_extract(episode, '^t(\\d+)_', 1) AS task, CASE WHEN kind = 'assistant' THEN 'orch' ELSE 'nonmain' END AS g, regexp_extract(episode, '^([^_]*_[^_]*)_', 1) AS cond

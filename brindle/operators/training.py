@@ -18,23 +18,27 @@ def stratified_draws(windows: DataFrame, draws: DataFrame, p_first: float, seed:
     """
     numbered = windows.select("window_id", "task", "role_group").withColumn("k", F.row_number().over(Window.partitionBy("task", "role_group").orderBy("window_id")))
     sizes = windows.groupBy("task").agg(F.count_if(F.col("role_group") == first).alias("n1"), F.count_if(F.col("role_group") == second).alias("n2"))
-    tasks = sizes.withColumn("t", F.row_number().over(Window.orderBy("task"))).withColumn("n_tasks", F.count("*").over(Window.partitionBy()))
+    tasks = sizes.withColumn("t", F.row_number().over(Window.orderBy("task")))
     u = lambda salt: md5_uniform(F.lit(str(seed)), F.col("rank").cast("string"), F.col("step").cast("string"), F.lit(salt))
-    n_tasks = tasks.agg(F.max("n_tasks").alias("m"))
-    picked = draws.join(F.broadcast(n_tasks)).withColumn("t", (F.floor(u("task") * F.col("m")) + 1).cast("int")).join(tasks.drop("n_tasks"), "t")
+    n_tasks = sizes.agg(F.count("*")).scalar()
+    picked = draws.withColumn("t", (F.floor(u("task") * n_tasks) + 1).cast("int")).join(tasks, "t")
     role = F.when(F.col("n2") == 0, first).when(F.col("n1") == 0, second).when(u("role") < p_first, first).otherwise(second)
     sized = picked.withColumn("role_group", role).withColumn("n", F.when(F.col("role_group") == first, F.col("n1")).otherwise(F.col("n2")))
     return sized.withColumn("k", (F.floor(u("window") * F.col("n")) + 1).cast("int")).join(numbered, ["task", "role_group", "k"]).select("rank", "step", "window_id")
 
 
 def weighted_draws(windows: DataFrame, weights: DataFrame, draws: DataFrame, seed: int) -> DataFrame:
-    """(rank, step, window_id): a condition by weight (1 where it has none), then a window of it uniformly."""
+    """(rank, step, window_id): a condition by weight (1 where it has none), then a window of it uniformly.
+
+    The running weights of the conditions are one small value, looked up by every draw.
+    """
     numbered = windows.select("window_id", "condition").withColumn("k", F.row_number().over(Window.partitionBy("condition").orderBy("window_id")))
     sizes = windows.groupBy("condition").agg(F.count("*").alias("n")).join(weights, "condition", "left").withColumn("w", F.coalesce("weight", F.lit(1.0)))
     along = Window.orderBy("condition").rowsBetween(Window.unboundedPreceding, 0)
-    edges = sizes.withColumn("hi", F.sum("w").over(along)).withColumn("lo", F.col("hi") - F.col("w")).withColumn("all", F.sum("w").over(Window.partitionBy()))
+    edges = sizes.select(F.struct(F.sum("w").over(along).alias("hi"), "condition", "n").alias("e")).agg(F.array_sort(F.collect_list("e"))).scalar()
     u = lambda salt: md5_uniform(F.lit(str(seed)), F.col("rank").cast("string"), F.col("step").cast("string"), F.lit(salt))
-    drawn = draws.withColumn("u", u("condition")).join(edges, (F.col("u") * F.col("all") >= F.col("lo")) & (F.col("u") * F.col("all") < F.col("hi")))
+    at = draws.withColumn("edges", edges).withColumn("at", u("condition") * F.element_at("edges", -1)["hi"])
+    drawn = at.withColumn("e", F.get(F.filter("edges", lambda e: e["hi"] > F.col("at")), F.lit(0))).select("rank", "step", "e.condition", "e.n")
     return drawn.withColumn("k", (F.floor(u("window") * F.col("n")) + 1).cast("int")).join(numbered, ["condition", "k"]).select("rank", "step", "window_id")
 
 
