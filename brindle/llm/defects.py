@@ -195,9 +195,10 @@ def refusal_votes(answer: str) -> str:
 _TOKEN = re.compile(r"[぀-ヿ一-鿿가-힣]|[^\W_぀-ヿ一-鿿가-힣]+")
 
 
-def _grams(text: str, n: int = 3) -> list[tuple[str, ...]]:
+def _grams(text: str) -> list[tuple[str, ...]]:
+    """Runs of three words; all words where there are fewer."""
     words = _TOKEN.findall(text.lower())
-    return [tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
+    return list(zip(words, words[1:], words[2:])) or ([tuple(words)] if words else [])
 
 
 def echo_votes(question: str, answer: str) -> str:
@@ -207,9 +208,11 @@ def echo_votes(question: str, answer: str) -> str:
     in_question, in_answer = set(q), set(a)
     held = sum(g in in_question for g in a) / len(a)
     covered = sum(g in in_answer for g in q) / len(q)
-    asked = {" ".join(_TOKEN.findall(s.lower())) for s in sentences_of(question)}
-    said = [s for s in (" ".join(_TOKEN.findall(x.lower())) for x in sentences_of(answer)) if s]
-    repeated = sum(s in asked for s in said) / max(1, len(said))
+    repeated = 0.0
+    if held >= 0.3:  # else too few sentences can be the question's
+        asked = {" ".join(_TOKEN.findall(s.lower())) for s in sentences_of(question)}
+        said = [s for s in (" ".join(_TOKEN.findall(x.lower())) for x in sentences_of(answer)) if s]
+        repeated = sum(s in asked for s in said) / max(1, len(said))
     return _vote(held >= 0.8, held < 0.65) + _vote(covered >= 0.5, covered < 0.4) + _vote(repeated >= 0.6, repeated < 0.5)
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from collections import Counter
+
+import ahocorasick
 
 # Frequent function words by language.
 FUNCTION_WORDS = {
@@ -46,9 +50,10 @@ def script_of(text: str) -> str:
 def scores_of(text: str) -> dict[str, float]:
     """Function words per language, letters of their own counting half."""
     got = dict.fromkeys(_LANGUAGES, 0.0)
-    for w in _WORD.findall(text.lower()):
-        for k in _OF_WORD.get(w, ()):
-            got[k] += 1
+    counts = Counter(_WORD.findall(text.lower()))
+    for w in _OF_WORD.keys() & counts.keys():
+        for k in _OF_WORD[w]:
+            got[k] += counts[w]
     if not text.isascii():
         for k, letters in LETTERS.items():
             got[k] += 0.5 * sum(map(text.count, letters))
@@ -80,13 +85,23 @@ LANGUAGE_NAMES = {
     "ja": "japanese|japanisch|japonais|japonés|japonês|японск\\w*|日文|日语|日本語|japońsk\\w*",
 }
 _ASKED = {k: re.compile(v) for k, v in LANGUAGE_NAMES.items()}
-_ANY = re.compile("|".join(f"(?:{v})" for v in LANGUAGE_NAMES.values()))
+
+
+@functools.cache
+def _stems() -> ahocorasick.Automaton:
+    """The names up to their open endings: most texts hold none."""
+    a = ahocorasick.Automaton()
+    for name in "|".join(LANGUAGE_NAMES.values()).split("|"):
+        a.add_word(name.split("\\")[0], True)
+    a.make_automaton()
+    return a
+
 
 
 def asked_languages(question: str) -> set[str]:
     """Languages the question names, as words of their own where they are written in letters."""
     lower = question.lower()
-    if not _ANY.search(lower):
+    if next(_stems().iter(lower), None) is None:
         return set()
     return {k for k, names in _ASKED.items() if any(_alone(lower, *m.span()) for m in names.finditer(lower))}
 
