@@ -75,6 +75,47 @@ words AS (SELECT request_id, list_sort(list_distinct(regexp_extract_all(lower(t)
 """
 
 
+def _text(m: str) -> str:
+    return f"""coalesce(CASE WHEN json_type({m}, '$.content') = 'ARRAY'
+    THEN array_to_string(list_transform(list_filter(json_extract({m}, '$.content[*]'), lambda p: p->>'$.type' = 'text'), lambda p: p->>'$.text'), ' ') ELSE {m}->>'$.content' END, '')"""
+
+
+_SCALED = """
+WITH RECURSIVE m AS MATERIALIZED (SELECT DISTINCT ON (match_id) match_id, a, b, upper(trim(winner)) AS w FROM pairwise_judge_result
+           WHERE a <> b AND a IN (SELECT workflow FROM workflows) AND b IN (SELECT workflow FROM workflows)),
+s AS MATERIALIZED (SELECT a, b, CASE w WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.0 ELSE 0.5 END::DOUBLE AS x FROM m),
+wins AS MATERIALIZED (SELECT item, other, sum(x) AS wins, count(*) AS n FROM (SELECT a AS item, b AS other, x FROM s UNION ALL SELECT b, a, 1 - x FROM s) GROUP BY item, other),
+it AS MATERIALIZED (SELECT workflow AS item, row_number() OVER (ORDER BY workflow) AS k FROM (SELECT DISTINCT workflow FROM workflows WHERE workflow IS NOT NULL)),
+cell AS MATERIALIZED (SELECT x.k AS i, y.k AS j, coalesce(w.wins, 0) + 0.05 AS v FROM it x, it y LEFT JOIN wins w ON w.item = x.item AND w.other = y.item),
+mat AS MATERIALIZED (SELECT (SELECT list(r ORDER BY i) FROM (SELECT i, list(v ORDER BY j) AS r FROM cell GROUP BY i)) AS rows_, (SELECT list(c ORDER BY j) FROM (SELECT j, list(v ORDER BY i) AS c FROM cell GROUP BY j)) AS cols_),
+f AS (SELECT 0 AS t, list_transform(rows_, lambda r: 1.0::DOUBLE) AS d, list_transform(rows_, lambda r: 1.0::DOUBLE) AS o FROM mat
+  UNION ALL
+  SELECT t + 1, list_transform(cols_, lambda c: list_sum(list_transform(range(1, len(c) + 1), lambda i: c[i] / o2[i]))), o2 FROM (
+    SELECT f.t, mat.cols_, list_transform(mat.rows_, lambda r: list_sum(list_transform(range(1, len(r) + 1), lambda j: r[j] / f.d[j]))) AS o2 FROM f, mat WHERE f.t < 400)),
+raw AS MATERIALIZED (SELECT it.item, ln(list_sum(list_transform(range(1, len(f.d) + 1), lambda j: mat.rows_[it.k][j] / f.d[j]))) - ln(f.d[it.k]) AS s FROM it, f, mat WHERE f.t = 400),
+z AS MATERIALIZED (SELECT item AS workflow, s - (SELECT avg(s) FROM raw) AS s FROM raw),
+ranked AS MATERIALIZED (SELECT workflow, row_number() OVER (ORDER BY round(s, 9) DESC, workflow) AS rank, round(s, 6) + 0.0 AS strength, coalesce((SELECT sum(n) FROM wins WHERE item = workflow), 0)::BIGINT AS n_comparisons FROM z)
+"""
+
+# Messages are compared by role, text, reasoning and call ids, which agrees with comparing canonical JSON on these tables.
+_STEPS = f"""
+WITH raw AS MATERIALIZED (SELECT DISTINCT request_id, episode, seq, request, CASE WHEN json_valid(response) THEN response END AS response FROM api_requests
+  WHERE path = '/v1/chat/completions' AND status = 200 AND request_id IS NOT NULL AND seq IS NOT NULL AND json_valid(request)),
+req AS MATERIALIZED (SELECT *, json_extract(response, '$.choices[0].message') AS r FROM raw WHERE json_array_length(request, '$.messages') >= 2),
+cut AS (SELECT request_id, unnest(range(json_array_length(request, '$.messages')::BIGINT)) AS pos, unnest(json_extract(request, '$.messages[*]')) AS m FROM req),
+msg AS MATERIALIZED (SELECT request_id, pos, m->>'$.role' AS role, {_text('m')} AS text, coalesce(json_array_length(m, '$.tool_calls'), 0) AS calls,
+  md5(concat_ws('|', m->>'$.role', {_text('m')}, m->>'$.reasoning_content', m->>'$.tool_call_id', m->>'$.tool_calls[0].id')) AS fp FROM cut),
+agg AS MATERIALIZED (SELECT request_id, list(fp ORDER BY pos) AS fps, list(role ORDER BY pos) AS roles, list(text ORDER BY pos) AS texts,
+  bool_or(calls = 0 AND regexp_replace(text, '[\\s\u00a0\u200b\ufeff]+', '', 'g') = '') AS blank FROM msg GROUP BY request_id),
+step AS MATERIALIZED (SELECT q.request_id, q.episode, q.seq, a.*  EXCLUDE (request_id), {_text('q.r')} AS reply,
+  q.r IS NOT NULL AND json_type(q.r) = 'OBJECT' AND (coalesce(json_array_length(q.r, '$.tool_calls'), 0) > 0 OR regexp_replace({_text('q.r')}, '[\\s\u00a0\u200b\ufeff]+', '', 'g') <> '') AS answered FROM req q JOIN agg a USING (request_id)),
+lagged AS (SELECT *, lag(fps) OVER w AS bf, lag(reply) OVER w AS br FROM step WINDOW w AS (PARTITION BY episode, fps[1], fps[2] ORDER BY seq)),
+judged AS (SELECT *, NOT blank AND answered AND roles[1] = 'system' AND roles[2] = 'user' AND CASE WHEN bf IS NULL THEN NOT list_contains(roles, 'assistant') ELSE
+  len(fps) >= len(bf) + 2 AND fps[1:len(bf)] = bf AND roles[len(bf) + 1] = 'assistant' AND texts[len(bf) + 1] = br AND NOT list_contains(roles[len(bf) + 2:], 'assistant') END AS ok FROM lagged),
+sound AS MATERIALIZED (SELECT episode, fps[1] AS k1, fps[2] AS k2, arg_min(request_id, seq) AS first_id, arg_max(request_id, seq) AS last_id, (arg_max(len(fps), seq) + 1)::BIGINT AS n_messages FROM judged GROUP BY ALL HAVING bool_and(coalesce(ok, FALSE)))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     boundary = "(ids[e] IN (SELECT token_id FROM boundary_tokens) OR (mask IS NOT NULL AND len(mask) = len(ids) AND mask[e + 1] IS DISTINCT FROM mask[e]))"
     return {
@@ -84,6 +125,11 @@ term AS (SELECT request_id, unnest(w) AS t, len(w) AS n FROM kept),
 both_ AS (SELECT a.request_id AS id_a, b.request_id AS id_b, any_value(a.n) + any_value(b.n) AS total, count(*) AS shared
           FROM term a JOIN term b ON a.t = b.t AND a.request_id < b.request_id GROUP BY 1, 2)
 SELECT id_a, id_b FROM both_ WHERE shared * 1.0 / (total - shared) >= 0.8""",
+        "p2_found": _STEPS + "SELECT first_id, last_id, n_messages FROM sound",
+        "p2_messages": _STEPS
+        + f""", last AS MATERIALIZED (SELECT s.first_id, s.n_messages, q.* FROM sound s JOIN req q ON q.request_id = s.last_id)
+SELECT l.first_id, m.pos AS position, m.role, m.text, m.calls::BIGINT AS n_tool_calls FROM last l JOIN msg m USING (request_id)
+UNION ALL SELECT first_id, n_messages - 1, 'assistant', {_text('r')}, coalesce(json_array_length(r, '$.tool_calls'), 0)::BIGINT FROM last""",
         "p4_found": f"""
 WITH RECURSIVE big AS MATERIALIZED (
   SELECT DISTINCT b.block_id, b.ids, b.mask, len(b.ids) AS n, l.max_tokens AS lim, l.overlap_tokens AS ov
@@ -99,6 +145,8 @@ piece AS (
     CASE WHEN s.n - p.nxt <= s.lim THEN NULL ELSE coalesce(list_max(list_filter(s.es, lambda e: e > p.nxt + s.lim // 2 AND e <= p.nxt + s.lim)), p.nxt + s.lim) - s.ov END
   FROM piece p JOIN src s ON s.block_id = p.block_id WHERE p.nxt IS NOT NULL)
 SELECT block_id, piece_no, start_pos::BIGINT AS start_pos, end_pos::BIGINT AS end_pos FROM piece WHERE piece_no > 0""",
+        "p6_found": _SCALED + "SELECT workflow FROM ranked WHERE rank <= 6",
+        "p6_ranking": _SCALED + "SELECT workflow, rank, strength, n_comparisons FROM ranked",
         "p6_matrix": """
 WITH m AS (SELECT DISTINCT ON (match_id) match_id, a, b, upper(trim(winner)) AS w FROM pairwise_judge_result
            WHERE a <> b AND a IN (SELECT workflow FROM workflows) AND b IN (SELECT workflow FROM workflows)),
