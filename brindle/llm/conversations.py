@@ -86,7 +86,7 @@ def sound_conversations(requests: DataFrame) -> DataFrame:
 
     Rows of one episode whose requests share their first two messages, ordered
     by seq. Null or invalid requests, other paths and failed attempts take no
-    part; rows loaded twice count once; a blank message without tool calls, a
+    part; rows loaded twice count once; equal seq numbers are ordered by request_id; a blank message without tool calls, a
     missing reply or any forbidden transition rejects the whole conversation.
     The rows of a conversation are sorted in stretches of seq numbers: a
     stretch is checked by itself and the few stretches of one conversation are
@@ -100,13 +100,13 @@ def _accepted(rows: DataFrame) -> DataFrame:
     steps = rows.withColumn("stretch", F.floor(F.col("seq") / STRETCH))
     keys = ["episode", "key"]
     now = F.struct("roles", "prefix", "content", "reply").alias("now")
-    inside = Window.partitionBy(*keys, "stretch").orderBy("seq")
+    inside = Window.partitionBy(*keys, "stretch").orderBy("seq", "request_id")
     lagged = steps.select(*keys, "stretch", "seq", "request_id", "whole", now).withColumn("before", F.lag("now").over(inside))
     accepted = F.coalesce(F.col("whole") & F.when(F.col("before").isNull(), F.lit(True)).otherwise(_follows("before", "now")), F.lit(False))
     stretches = lagged.withColumn("ok", accepted).groupBy(*keys, "stretch").agg(
         F.bool_and("ok").alias("ok"),
-        F.min_by(F.struct("request_id", "now"), "seq").alias("head"),
-        F.max_by(F.struct("request_id", "now"), "seq").alias("tail"),
+        F.min_by(F.struct("request_id", "now"), F.struct("seq", "request_id")).alias("head"),
+        F.max_by(F.struct("request_id", "now"), F.struct("seq", "request_id")).alias("tail"),
     )
     along = Window.partitionBy(*keys).orderBy("stretch")
     joined = stretches.withColumn("before", F.lag("tail").over(along)).select(

@@ -306,10 +306,10 @@ def residue_records(requests: DataFrame, run_status: DataFrame) -> DataFrame:
     """(origin, record_id): replies that are residue, and runs called a success that ended with one.
 
     Null responses and blank replies are no cases; rows loaded twice count once;
-    a null episode or seq never decides a run; empty tables give no rows.
+    a null episode or seq never decides a run, and of equal seq numbers the greatest request_id does; empty tables give no rows.
     """
     scored = materialize(scored_replies(requests), "residue")
-    last = scored.where("episode is not null and seq is not null").groupBy("episode").agg(F.max_by("found", "seq").alias("found")).where("found")
+    last = scored.where("episode is not null and seq is not null").groupBy("episode").agg(F.max_by("found", F.struct("seq", "request_id")).alias("found")).where("found")
     runs = run_status.where("trace_has_success_result and status_id is not null").select("status_id", "episode").distinct()
     return (
         scored.where("found")
