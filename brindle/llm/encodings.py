@@ -48,6 +48,20 @@ CHAINS = [(w, t) for w in READ_AS for t in (*MULTI, *SINGLE) if w != t]
 
 _TOKEN = re.compile(r"[A-Za-z'\u0080-\U0010ffff]*[\u0080-\U0010ffff][A-Za-z'\u0080-\U0010ffff]*")
 _C1 = re.compile("[\u0080-\u0084\u0086-\u009f]")
+#: Where '?' may stand for a lost character: inside a word, or after a blank, a bracket or a line start.
+_MARKS = re.compile(r"(?<=[^\W\d_])\?+(?=[^\W\d_])|(?<![^\s(])\?+")
+#: The same in the dialect of the scan, for texts that are ASCII otherwise.
+MARKS_FILTER = r"[A-Za-z]\?+[A-Za-z]|(?:^|[\s(])\?"
+#: Places where marks are usual after all: placeholders of SQL, regex groups, operators, table cells, git's short status.
+_SQL = re.compile(r"\b(?:select|insert|update|delete|where|values)\b", re.I)
+_CODE_MARK = re.compile(r"\(\?[:=!<>Pimsxu#-]|(?<=\S)[ \t]+\?(?=[ \t][^?\n]*[^?\s][^?\n]* : )|(?<=[\w\])'\"]) \?\?=? (?=[\w\['\"{(])|(?m:^[ \t]*)\?\? (?=[\w./\"-]*[./])|\|[ \t]*\?+[ \t]*(?=\|)")
+_IN_CODE = re.compile(r"[/=&\\\[\]{}^$|*+<>_@#]")
+#: French puts a blank before the mark that ends a sentence.
+_FRENCH = re.compile(r"[\w»”\"')\]][ \u00a0\u202f]\?+[ !?]*(?=$|[»”\"')]|[ \u00a0][^\Wa-z\d_])")
+#: Lost characters are weighed against the most frequent non-ASCII ones, over at most so many in a row.
+LOST_CANDIDATES, LOST_RUN = 256, 4
+#: Most that one run of marks can say.
+LOST_BOUND = 12.0
 
 
 @functools.cache
@@ -120,6 +134,8 @@ class CharacterModel:
         self.known = frozenset(map(chr, np.nonzero(uni > 1)[0].tolist()))
         self._log: dict[tuple[str, str], float] = {}
         self._token: dict[str, list[tuple[int, float, str]]] = {}
+        self._marks: dict[tuple[str, int, str], float] = {}
+        self._likely: tuple[list[str], np.ndarray] | None = None
 
     def pair(self, a: str, b: str) -> float:
         got = self._log.get((a, b))
@@ -182,6 +198,27 @@ class CharacterModel:
             out.append((len(CHAINS), 8.0, token))
         return out
 
+    def marks(self, run: tuple[str, int, str]) -> float:
+        """Log-likelihood ratio of the likeliest non-ASCII characters against the '?' of a run (character before, length, character after)."""
+        got = self._marks.get(run)
+        if got is None:
+            got = self._marks[run] = self._weigh_marks(*run)
+        return got
+
+    def _weigh_marks(self, before: str, n: int, after: str) -> float:
+        if self._likely is None:
+            order = np.argsort(-self.uni[0xA0:], kind="stable")[:LOST_CANDIDATES] + 0xA0
+            chars = [chr(c) for c in order.tolist() if self.uni[c] > 1 and c != 0xFFFD and not 0xD800 <= c < 0xE000]
+            self._likely = chars, np.array([[self.pair(a, b) for b in chars] for a in chars])
+        chars, step = self._likely
+        if not chars:
+            return 0.0
+        best = np.array([self.pair(before, c) for c in chars])
+        for _ in range(n - 1):
+            best = (best[:, None] + step).max(axis=0)
+        lost = float((best + np.array([self.pair(c, after) for c in chars])).max())
+        own = self.pair(before, "?") + (n - 1) * self.pair("?", "?") + self.pair("?", after)
+        return min(LOST_BOUND, lost - own)
 
     def _again(self, text: str, value: float, wrong: str, seen: dict[str, float]) -> tuple[str, float]:
         """Undo UTF-8 read as ``wrong``, or as Latin-1, further times while that is more likely."""
@@ -229,12 +266,39 @@ def character_model(documents: DataFrame) -> CharacterModel:
     return CharacterModel(uni, bi)
 
 
+def lost_marks(text: str) -> list[tuple[str, int, str]]:
+    """(character before, length, character after) of the runs of '?' in places where no question mark can stand."""
+    out: list[tuple[str, int, str]] = []
+    for line in text.split("\n") if "?" in text else ():
+        if "?" not in line or _SQL.search(line):
+            continue
+        usual = [m.span() for p in (_CODE_MARK, _FRENCH) for m in p.finditer(line)]
+        for m in _MARKS.finditer(line):
+            start, end = m.span()
+            before, after = line[start - 1 : start] or "\n", line[end : end + 1] or "\n"
+            if before.isalpha() and (after.isupper() or _IN_CODE.search(_word(line, start, end))):
+                continue
+            if not any(a <= start and end <= b or start < b <= end for a, b in usual):
+                out.append((before, min(end - start, LOST_RUN), after))
+    return out
+
+
+def _word(line: str, start: int, end: int) -> str:
+    """What stands around a stretch up to the next blanks."""
+    left, right = line[:start].rsplit(None, 1), line[end:].split(None, 1)
+    return (left[-1] if left else "") + (right[0] if right else "")
+
+
 def evidence_of(text: str, model: CharacterModel) -> dict[int, float]:
     """Per chain, the log-likelihood ratio of the whole document against "no stretch is garbled"."""
     stretches = Counter(_TOKEN.findall(text))
+    marks = Counter(lost_marks(text))
     clean = math.log(1 - STRETCH_SHARE)
     total: dict[int, float] = {}
-    n_all = sum(min(n, 3) for n in stretches.values())
+    n_all = sum(min(n, 3) for n in (*stretches.values(), *marks.values()))
+    for run, n in marks.items():
+        if (ratio := model.marks(run)) > 0:
+            total[len(CHAINS)] = total.get(len(CHAINS), 0.0) + min(n, 3) * (math.log(1 - STRETCH_SHARE + STRETCH_SHARE * math.exp(ratio)) - clean)
     for token, n in stretches.items():
         for i, ratio, _ in model.undo(token):
             total[i] = total.get(i, 0.0) + min(n, 3) * (math.log(1 - STRETCH_SHARE + STRETCH_SHARE * math.exp(ratio)) - clean)
@@ -265,7 +329,7 @@ def chain_posteriors(documents: DataFrame, model: CharacterModel | None = None)
     model = model or character_model(documents)
     shared = spark.sparkContext.broadcast((model.uni.astype(np.int32), model.bi.astype(np.int32)))
     rows = documents.where("doc_id is not null and text is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
-    odd = rows.where(F.col("text").rlike("[^\\x00-\\x7f]"))
+    odd = rows.where(F.col("text").rlike("[^\\x00-\\x7f]") | F.col("text").rlike(MARKS_FILTER))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(shared.value)
@@ -342,8 +406,9 @@ def _fit_priors(evidence: DataFrame, sizes: dict[str, int]) -> dict[str | None,
 def garbled_documents(documents: DataFrame) -> DataFrame:
     """(doc_id): documents that hold at least one garbled stretch.
 
-    Null, empty and pure ASCII texts are clean; a null source is a source of its
-    own; U+FFFD counts as garbled, since decoders write it for lost characters.
+    Null and empty texts are clean; a null source is a source of its own; U+FFFD
+    counts as garbled, since decoders write it for lost characters, and so does
+    '?' where no question mark can stand.
     """
     return chain_posteriors(documents).where(F.col("posterior") > CUTOFF).select("doc_id")
 

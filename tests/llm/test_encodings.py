@@ -53,3 +53,18 @@ def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert E.garbled_documents(docs).count() == 0 and E.repaired_documents(docs).count() == 0
     assert E.garbled_documents(spark.createDataFrame([(1, None, None, "", ""), (2, "abc", "s", "", "")], SCHEMA)).count() == 0
+
+
+def test_characters_lost_to_question_marks(spark):
+    rng = random.Random(5)
+    trees = ["\n".join(["Files of the run."] + [rng.choice(["├── ", "│   ├── ", "└── "]) + f"data/part{rng.randrange(99)}.log" for _ in range(8)] + ["Is it kept? Yes."]) for _ in range(200)]
+    sums = [f"RMSE of run {i}.\n\nRMSE = √(Σ(yᵢ − ŷᵢ)² / n) ≈ 0.{i}, α ≤ 0.05, β = γ" for i in range(100)]
+    texts = corpus(rng) + trees + sums
+    rows = [(i, t, rng.choice(["a", "b", None]), "", "") for i, t in enumerate(texts)]
+    lost = {5000 + k: t.encode("ascii", "replace").decode() for k, t in enumerate([trees[0], trees[1], sums[0], "Die Prüfung der Störung wäre größer."])}
+    clean = ["Pourquoi ? Oui, est-ce là ?", "x = a ? b : c; y = v ?? 3", "?? src/a.py\n?? b/c.txt", "SELECT a FROM t WHERE b = ? AND c IN (?, ?)", "(?:a|b) https?://a.b/c?d=e", "| ? | ? |", "what??? no?! ok?Yes"]
+    rows += [(i, t, "a", "", "") for i, t in lost.items()] + [(6000 + k, t, "a", "", "") for k, t in enumerate(clean)]
+    assert all(t.isascii() for t in lost.values()) and not any(map(E.lost_marks, clean))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = {r.doc_id for r in E.garbled_documents(docs).collect()}
+    assert found >= set(lost) and len(found - set(lost)) <= 2
