@@ -27,6 +27,9 @@ from brindle.plans.materialize import materialize
 UNIGRAMS, BIGRAMS = 1 << 16, 1 << 21
 #: Share of a garbled document's stretches that are garbled; what one clean stretch costs follows from it.
 STRETCH_SHARE = 0.03
+#: Only the part of a text that speaks most for a chain counts, so clean text elsewhere costs nothing; it has at least so many stretches, or all.
+PART = 160
+_CLEAN = math.log(1 - STRETCH_SHARE)
 #: Evidence of one stretch is bounded, so that no single stretch outweighs all others.
 STRETCH_BOUND = 25.0
 #: Ordinary text seldom forms valid UTF-8 sequences by chance; each continuation byte found in place speaks for the chain by so much.
@@ -290,19 +293,43 @@ def _word(line: str, start: int, end: int) -> str:
 
 
 def evidence_of(text: str, model: CharacterModel) -> dict[int, float]:
-    """Per chain, the log-likelihood ratio of the whole document against "no stretch is garbled"."""
+    """Per chain, the log-likelihood ratio of the part of the document that speaks most for it against "no stretch is garbled"; U+FFFD and C1 controls that no chain explains decide by themselves."""
     stretches = Counter(_TOKEN.findall(text))
     marks = Counter(lost_marks(text))
-    clean = math.log(1 - STRETCH_SHARE)
-    total: dict[int, float] = {}
-    n_all = sum(min(n, 3) for n in (*stretches.values(), *marks.values()))
-    for run, n in marks.items():
-        if (ratio := model.marks(run)) > 0:
-            total[len(CHAINS)] = total.get(len(CHAINS), 0.0) + min(n, 3) * (math.log(1 - STRETCH_SHARE + STRETCH_SHARE * math.exp(ratio)) - clean)
-    for token, n in stretches.items():
-        for i, ratio, _ in model.undo(token):
-            total[i] = total.get(i, 0.0) + min(n, 3) * (math.log(1 - STRETCH_SHARE + STRETCH_SHARE * math.exp(ratio)) - clean)
-    return {i: v + n_all * clean for i, v in total.items() if v + n_all * clean > 0}
+    lost = len(CHAINS)
+    hits: dict[int, list[tuple[int, int, float]]] = {}
+    at = 0
+    weighed = [(n, [(i, ratio) for i, ratio, _ in model.undo(token)]) for token, n in stretches.items()]
+    weighed += [(n, [(lost, model.marks(run))]) for run, n in marks.items()]
+    for n, ratios in weighed:
+        n = min(n, 3)
+        for i, ratio in ratios:
+            if ratio > 0:
+                hits.setdefault(i, []).append((at, at + n, n * (math.log(1 - STRETCH_SHARE + STRETCH_SHARE * math.exp(ratio)) - _CLEAN)))
+        at += n
+    out = {i: v for i, found in hits.items() if (v := _best_part(found, min(at, PART))) > 0}
+    if "\ufffd" in text:
+        out[lost] = max(out.get(lost, 0.0), STRETCH_BOUND)
+    elif _C1.search(text) and lost in hits:
+        out[lost] = max(out.get(lost, 0.0), LOST_BOUND)
+    return out
+
+
+def _best_part(hits: list[tuple[int, int, float]], least: int) -> float:
+    """Greatest evidence of a part of the text: gains of its hits (start, end, gain) less the cost of its stretches, of which there are at least ``least``."""
+    best = -math.inf
+    opened = math.inf  # least sum of gains and cost before a hit, among the hits that start at least ``least`` stretches back
+    gains, k = [0.0], 0
+    for _, _, gain in hits:
+        gains.append(gains[-1] + gain)
+    for m, (_, end, _) in enumerate(hits):
+        while k <= m and hits[k][0] <= end - least:
+            opened = min(opened, gains[k] + hits[k][0] * _CLEAN)
+            k += 1
+        best = max(best, gains[m + 1] + end * _CLEAN - opened)
+        if k <= m:
+            best = max(best, gains[m + 1] - gains[k] + least * _CLEAN)
+    return best
 
 
 _EVIDENCE = StructType(

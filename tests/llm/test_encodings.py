@@ -68,3 +68,29 @@ def test_characters_lost_to_question_marks(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     found = {r.doc_id for r in E.garbled_documents(docs).collect()}
     assert found >= set(lost) and len(found - set(lost)) <= 2
+
+
+def test_one_garbled_stretch_in_a_long_text(spark):
+    rng = random.Random(7)
+    words = sorted({a + b for v in WORDS.values() for a in v for b in v if not (a + b).isascii()})
+    rng.shuffle(words)
+    long, half = " ".join(words * 3), len(words) // 2
+    with_ = {k: " ".join([*words[:half], *(words * 2), bad, *words[half:]]) for k, bad in ((7000, "prÃ©fÃ©rÃ©e"), (7001, "Pr\ufffdfung"), (7002, "run \x93kept\x94 here"))}
+    assert len(words) > 400
+    rows = [(i, t, rng.choice(["a", "b", None]), "", "") for i, t in enumerate([*corpus(rng), *[long] * 5])] + [(i, t, "a", "", "") for i, t in with_.items()]
+    found = {r.doc_id for r in E.garbled_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == set(with_)
+
+
+def test_best_part_is_the_best_of_all_parts():
+    rng = random.Random(8)
+    for _ in range(300):
+        at, hits = 0, []
+        for _ in range(rng.randrange(1, 12)):
+            at += rng.randrange(40)
+            n = rng.randrange(1, 4)
+            hits.append((at, at + n, rng.random() * 3))
+            at += n
+        least = rng.randrange(1, 80)
+        parts = (sum(g for *_, g in hits[k : m + 1]) + E._CLEAN * max(least, hits[m][1] - hits[k][0]) for m in range(len(hits)) for k in range(m + 1))
+        assert abs(E._best_part(hits, least) - max(parts)) < 1e-9
