@@ -39,6 +39,8 @@ PRIOR, STRENGTH = 0.05, 100.0
 ROUNDS = 6
 #: Posterior from which a document counts as garbled: a missed one spoils training text, a false alarm is only looked at again.
 CUTOFF = 0.1
+#: A chain that the rest of the document says nothing for still has this share when a stretch is repaired.
+LEAST_SHARE = 1e-5
 #: At most so many sources get priors of their own; the rest share one.
 MAX_SOURCES = 1000
 
@@ -351,7 +353,7 @@ def _posterior(chains: np.ndarray, weight: np.ndarray, prior: np.ndarray) -> np.
 
 
 def chain_posteriors(documents: DataFrame, model: CharacterModel | None = None) -> DataFrame:
-    """(doc_id, posterior, chain): documents with some evidence, their posterior of being garbled and their best chain."""
+    """(doc_id, posterior, chain, undoable, share, alone): documents with some evidence, their posterior of being garbled, their best chain, and the chains that can be undone with their posteriors, against each other and each alone against "not garbled"."""
     spark = documents.sparkSession
     model = model or character_model(documents)
     shared = spark.sparkContext.broadcast((model.uni.astype(np.int32), model.bi.astype(np.int32)))
@@ -382,14 +384,22 @@ def chain_posteriors(documents: DataFrame, model: CharacterModel | None = None)
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f"{w}<{t}" for w, t in CHAINS] + [LOST]
         for b in batches:
-            post, best = [], []
+            post, best, undoable, share, alone = [], [], [], [], []
             for source, chain, weight in zip(*(b.column(c).to_pylist() for c in ("source", "chain", "weight"))):
-                p = _posterior(np.array(chain), np.array(weight), known.value.get(source, known.value[None]))
+                prior, at, z = known.value.get(source, known.value[None]), np.array(chain), np.array(weight)
+                p = _posterior(at, z, prior)
                 post.append(float(p.sum()))
                 best.append(names[chain[int(p.argmax())]])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(post, pa.float64()), pa.array(best, pa.string())], ["doc_id", "posterior", "chain"])
+                kept = at < len(CHAINS)
+                undoable.append(at[kept].tolist())
+                share.append(_posterior(at[kept], z[kept], prior).tolist())
+                alone.append([float(_posterior(at[k : k + 1], z[k : k + 1], prior)[0]) for k in np.nonzero(kept)[0]])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(post, pa.float64()), pa.array(best, pa.string()), pa.array(undoable, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float64())), pa.array(alone, pa.list_(pa.float64()))],
+                ["doc_id", "posterior", "chain", "undoable", "share", "alone"],
+            )
 
-    return evidence.mapInArrow(decide, "doc_id long, posterior double, chain string")
+    return evidence.mapInArrow(decide, "doc_id long, posterior double, chain string, undoable array<int>, share array<double>, alone array<double>")
 
 
 def _fit_priors(evidence: DataFrame, sizes: dict[str, int]) -> dict[str | None, np.ndarray]:
@@ -440,12 +450,24 @@ def garbled_documents(documents: DataFrame) -> DataFrame:
     return chain_posteriors(documents).where(F.col("posterior") > CUTOFF).select("doc_id")
 
 
-def repair_text(text: str, chain: int, model: CharacterModel, depth: int = 4) -> str:
-    """Undo ``chain`` in every stretch it improves clearly, again while it does."""
+def repair_text(text: str, shares: dict[int, tuple[float, float]], model: CharacterModel, depth: int = 4) -> str:
+    """Undo in every stretch the chain that improves it most, if clearly, again while one does; ``shares`` (posteriors of the document's chains against each other and alone) are the prior."""
     need = math.log((1 - STRETCH_SHARE) / STRETCH_SHARE)
+    logs = {i: (math.log(max(v, LEAST_SHARE)), math.log(max(w, LEAST_SHARE))) for i, (v, w) in shares.items()}
+    least = (math.log(LEAST_SHARE),) * 2
+    known: dict[str, str] = {}
 
     def once(m: re.Match) -> str:
-        return next((fixed for i, ratio, fixed in model.undo(m.group(0)) if i == chain and ratio > need), m.group(0))
+        token = m.group(0)
+        fixed = known.get(token)
+        if fixed is None:
+            best, fixed = -math.inf, token
+            for i, ratio, undone in model.undo(token):
+                against, alone = logs.get(i, least)
+                if i < len(CHAINS) and ratio + alone > need and ratio + against > best:
+                    best, fixed = ratio + against, undone
+            known[token] = fixed
+        return fixed
 
     for _ in range(depth):
         fixed = _TOKEN.sub(once, text)
@@ -456,17 +478,16 @@ def repair_text(text: str, chain: int, model: CharacterModel, depth: int = 4) ->
 
 
 def repaired_documents(documents: DataFrame) -> DataFrame:
-    """(doc_id, chain, text, changed): the garbled documents with their texts restored where the chain can be undone."""
+    """(doc_id, chain, text, changed): the garbled documents with their most probable chain, and their texts restored stretch by stretch where a chain can be undone."""
     model = character_model(documents)
-    found = materialize(chain_posteriors(documents, model).where(F.col("posterior") > CUTOFF).select("doc_id", "chain"), "garbled")
+    found = materialize(chain_posteriors(documents, model).where(F.col("posterior") > CUTOFF).select("doc_id", "chain", "undoable", "share", "alone"), "garbled")
     shared = documents.sparkSession.sparkContext.broadcast((model.uni.astype(np.int32), model.bi.astype(np.int32)))
-    names = {f"{w}<{t}": i for i, (w, t) in enumerate(CHAINS)}
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(shared.value)
         for b in batches:
             texts = b.column("text").to_pylist()
-            fixed = [repair_text(t, names.get(c, -1), own) for t, c in zip(texts, b.column("chain").to_pylist())]
+            fixed = [repair_text(t, dict(zip(c, zip(p, q))), own) for t, c, p, q in zip(texts, *(b.column(x).to_pylist() for x in ("undoable", "share", "alone")))]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("chain"), pa.array(fixed, pa.string()), pa.array([a != c for a, c in zip(fixed, texts)], pa.bool_())], ["doc_id", "chain", "text", "changed"]
             )

@@ -94,3 +94,14 @@ def test_best_part_is_the_best_of_all_parts():
         least = rng.randrange(1, 80)
         parts = (sum(g for *_, g in hits[k : m + 1]) + E._CLEAN * max(least, hits[m][1] - hits[k][0]) for m in range(len(hits)) for k in range(m + 1))
         assert abs(E._best_part(hits, least) - max(parts)) < 1e-9
+
+
+def test_stretches_garbled_in_several_ways_are_all_repaired(spark):
+    rng = random.Random(9)
+    ru, fr = "таблица была изменена после оценки", "été légère répétée préférée"
+    as_koi, as_utf8 = ru.encode("cp1251").decode("koi8-r"), fr.encode("utf-8").decode("cp1252")
+    rows = [(i, t, rng.choice(["a", "b", None]), "", "") for i, t in enumerate(corpus(rng))]
+    rows += [(8000, f"the run {as_koi} of report {as_utf8} was kept", "a", "", ""), (8001, "Pr\ufffdfung der St\ufffdrung gr\ufffdßer f\ufffdr: prÃ©fÃ©rÃ©e was kept", "a", "", "")]
+    got = {r.doc_id: r for r in E.repaired_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[8000].text == f"the run {ru} of report {fr} was kept"
+    assert got[8001].text == "Pr\ufffdfung der St\ufffdrung gr\ufffdßer f\ufffdr: préférée was kept" and got[8001].changed and got[8001].chain == E.LOST
