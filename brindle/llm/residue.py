@@ -218,19 +218,24 @@ def _bounded(text: str, start: int, end: int) -> bool:
     return left and right
 
 
+def _lower(text: str) -> str:
+    """Lower case of the same length: characters whose lower form is longer stay as they are."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def _spans(text: str) -> list[tuple[int, int]]:
     """Matched stretches, each widened to the unit it fills."""
     spans: list[tuple[int, int]] = []
-    lower = text.lower()
-    if len(lower) == len(text):
-        for last, (n, _) in automaton().iter(lower):
-            start, end = last - n + 1, last + 1
-            if not _bounded(lower, start, end):
-                continue
-            if lower[start] == "[":
-                close = lower.find("]", end)
-                end = close + 1 if close >= 0 else end
-            spans.append((start, end))
+    lower = _lower(text)
+    for last, (n, _) in automaton().iter(lower):
+        start, end = last - n + 1, last + 1
+        if not _bounded(lower, start, end):
+            continue
+        if lower[start] == "[":
+            close = lower.find("]", end)
+            end = close + 1 if close >= 0 else end
+        spans.append((start, end))
     for m in SLOT.finditer(text):
         start = text.rfind("\n", 0, m.start()) + 1
         end = text.find("\n", m.end())

@@ -47,3 +47,9 @@ def test_records_and_runs(spark):
 
 def test_very_long_text():
     assert R.coverage("A plain sentence of a report. " * 50_000) == 0
+
+
+def test_capitals_with_longer_lower_forms_hide_nothing():
+    page = "502 Bad Gateway"
+    assert R.coverage(page) > 0.5
+    assert R.coverage(f"İstanbul\n\n{page}") == R.coverage(f"Istanbul\n\n{page}")
