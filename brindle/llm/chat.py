@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 CHAT_PATH = "/v1/chat/completions"
+#: Rows of an Arrow batch that are held as Python objects at once.
+SLICE = 256
 _ZERO = re.compile("[\u200b\ufeff]")
 
 
@@ -75,7 +77,8 @@ def chat_rows(requests: DataFrame, columns: list[str], only_ok: bool) -> DataFra
 def map_rows(df: DataFrame, fn: Callable[..., Iterator[tuple]], schema: StructType, batch: int = 2000) -> DataFrame:
     """Apply ``fn(*column values) -> rows`` to every row in Arrow batches.
 
-    Long texts make batches heavy, so output is flushed every ``batch`` rows.
+    Long texts make batches heavy, so only ``SLICE`` rows at a time become
+    Python objects and output is flushed every ``batch`` rows.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -83,12 +86,13 @@ def map_rows(df: DataFrame, fn: Callable[..., Iterator[tuple]], schema: StructTy
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for b in batches:
-            for values in zip(*(c.to_pylist() for c in b.columns)):
-                out.extend(fn(*values))
-                if len(out) >= batch:
-                    yield _batch(out, arrow)
-                    out = []
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                for values in zip(*(c.to_pylist() for c in whole.slice(start, SLICE).columns)):
+                    out.extend(fn(*values))
+                    if len(out) >= batch:
+                        yield _batch(out, arrow)
+                        out = []
         if out:
             yield _batch(out, arrow)
 

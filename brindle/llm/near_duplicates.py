@@ -16,12 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from brindle.llm.chat import chat_rows, map_rows, messages_of, text_of
-from brindle.plans.materialize import materialize
+from brindle.plans.materialize import discard, materialize
 
 WORD = re.compile(r"[^\W_]+")
 MIN_WORDS = 5
@@ -30,6 +30,8 @@ ROWS, BANDS = 9, 110
 SPREAD = 1.5
 #: Document frequencies are kept in a table of this fixed size; collisions only raise a frequency, that is, move a weight towards 1.
 DF_BUCKETS = 1 << 18
+#: Groups are paired in blocks of about so many members, so that no task pairs a large group by itself.
+BLOCK = 1000
 
 _SETS = StructType(
     [StructField("request_id", LongType()), StructField("set_id", BinaryType()), StructField("words", ArrayType(LongType()))]
@@ -152,6 +154,42 @@ def _bands(sets: DataFrame, weights: np.ndarray) -> DataFrame:
     return sets.select("set_no", "words").mapInArrow(sign, _BAND)
 
 
+def _blocks(n: str) -> F.Column:
+    """How many blocks a group of ``n`` rows is split into."""
+    return F.ceil(F.col(n) / BLOCK).cast("int")
+
+
+def _block_of(ident: str, n: str) -> F.Column:
+    """The block of a member, by hash, so that no group is sorted or numbered in one place."""
+    return F.pmod(F.xxhash64(ident), _blocks(n)).cast("int")
+
+
+def _band_groups(bands: DataFrame) -> DataFrame:
+    """(mark, set_no, size, n): the groups of sets that meet in a band, each group once, however many bands it meets in.
+
+    The mark of a group is an order-free hash of its members; groups that
+    collide are compared as one, which only adds candidates.
+    """
+    along = Window.partitionBy("band")
+    met = bands.withColumn("n", F.count("*").over(along)).withColumn("mark", F.bit_xor(F.xxhash64("set_no")).over(along)).where("n > 1")
+    return met.select(F.xxhash64("mark", "n").alias("mark"), "set_no", "size", "n").distinct()
+
+
+def candidate_pairs(groups: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: pairs of one group whose sizes allow the similarity, each pair once.
+
+    A group of n sets is cut into blocks of about ``BLOCK`` and every pair of
+    blocks is a join key of its own, so a band that holds a third of all sets is
+    spread over many tasks and no key pairs more than about BLOCK x BLOCK rows.
+    """
+    placed = groups.withColumn("own", _block_of("set_no", "n"))
+    left = placed.select("mark", F.col("own").alias("u"), F.explode(F.sequence("own", _blocks("n") - 1)).alias("v"), F.col("set_no").alias("x"), F.col("size").alias("size_x"))
+    right = placed.select("mark", F.explode(F.sequence(F.lit(0), "own")).alias("u"), F.col("own").alias("v"), F.col("set_no").alias("y"), F.col("size").alias("size_y"))
+    low, high = F.least("size_x", "size_y"), F.greatest("size_x", "size_y")
+    met = left.join(right.hint("merge"), ["mark", "u", "v"]).where(((F.col("u") < F.col("v")) | (F.col("x") < F.col("y"))) & (low >= high * F.lit(similarity) - F.lit(1e-9)))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def similar_sets(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Pairs (a, b) of set_no with a < b whose exact word similarity reaches ``similarity``.
 
@@ -160,23 +198,17 @@ def similar_sets(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
     emitted. The verification is exact, so the result holds no false pair. A
     pair at 0.8 is missed with probability below 1e-5 for usual word
     frequencies and 0.2 % in the worst case (all shared words common, all others rare).
+    All joins are sort-merge joins by hint: the sizes the planner would guess
+    for the outputs of Python stages are far too small to decide on a broadcast.
     """
     table, n = _frequency_table(sets)
-    bands = _bands(sets, word_weights(table, n))
-    left = bands.select("band", F.col("set_no").alias("a"), F.col("size").alias("size_a"))
-    right = bands.select("band", F.col("set_no").alias("b"), F.col("size").alias("size_b"))
-    low = F.least("size_a", "size_b")
-    candidates = (
-        left.join(right, "band")
-        .where((F.col("a") < F.col("b")) & (low >= F.greatest("size_a", "size_b") * F.lit(similarity) - F.lit(1e-9)))
-        .select("a", "b")
-        .distinct()
-    )
+    groups = materialize(_band_groups(_bands(sets, word_weights(table, n))), "groups")
+    candidates = candidate_pairs(groups, similarity)
     wa = sets.select(F.col("set_no").alias("a"), F.col("words").alias("words_a"))
     wb = sets.select(F.col("set_no").alias("b"), F.col("words").alias("words_b"))
     both = F.size(F.array_intersect("words_a", "words_b"))
     either = F.size("words_a") + F.size("words_b") - both
-    return candidates.join(wa, "a").join(wb, "b").where(both >= either * F.lit(similarity) - F.lit(1e-9)).select("a", "b")
+    return candidates.join(wa.hint("merge"), "a").join(wb.hint("merge"), "b").where(both >= either * F.lit(similarity) - F.lit(1e-9)).select("a", "b")
 
 
 def opening_sets(requests: DataFrame) -> DataFrame:
@@ -187,11 +219,11 @@ def opening_sets(requests: DataFrame) -> DataFrame:
 
 
 def _members_and_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(request_id, set_no) of every opening, and (set_no, words) of every distinct word set; the numbers are fixed by writing the sets."""
-    firsts = rows.groupBy("set_id").agg(F.first("words").alias("words"))
+    """(request_id, set_no, n) of every opening, and (set_no, words, n) of every distinct word set; n counts the rows of the set. The numbers are fixed by writing the sets."""
+    firsts = rows.groupBy("set_id").agg(F.first("words").alias("words"), F.count("*").alias("n"))
     sets = materialize(firsts.withColumn("set_no", F.monotonically_increasing_id()), "sets")
-    members = rows.select("request_id", "set_id").distinct().join(sets.select("set_id", "set_no"), "set_id").select("request_id", "set_no")
-    return materialize(members, "members"), sets.select("set_no", "words")
+    members = rows.select("request_id", "set_id").distinct().join(sets.select("set_id", "set_no", "n").hint("merge"), "set_id").select("request_id", "set_no", "n")
+    return materialize(members, "members"), sets.select("set_no", "words", "n")
 
 
 def near_duplicate_openings(requests: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -200,17 +232,19 @@ def near_duplicate_openings(requests: DataFrame, similarity: float = 0.8) -> Dat
     Nulls, invalid JSON, several user messages and prompts under five words are
     left out; rows loaded twice count once; extra columns are ignored; an empty
     table gives no rows. Equal word sets are compared once, as one class, and
-    only expanded to request pairs at the end, since the result lists requests.
+    only expanded to request pairs at the end, since the result lists requests;
+    a class of very many copies is expanded block by block.
     """
     members, sets = _members_and_sets(opening_sets(requests))
     pairs = materialize(similar_sets(sets, similarity), "set-pairs")
-    own = members.groupBy("set_no").agg(F.count("*").alias("n")).where("n > 1").select(F.col("set_no").alias("a"), F.col("set_no").alias("b"))
+    own = sets.where("n > 1").select(F.col("set_no").alias("a"), F.col("set_no").alias("b"))
+    sizes = sets.select(F.col("set_no").alias("b"), "n")
+    links = pairs.unionByName(own).join(sizes.hint("merge"), "b").select("a", "b", F.explode(F.sequence(F.lit(0), _blocks("n") - 1)).alias("block"))
     ma = members.select(F.col("set_no").alias("a"), F.col("request_id").alias("x"))
-    mb = members.select(F.col("set_no").alias("b"), F.col("request_id").alias("y"))
+    mb = members.select(F.col("set_no").alias("b"), _block_of("request_id", "n").alias("block"), F.col("request_id").alias("y"))
     return (
-        pairs.unionByName(own)
-        .join(ma, "a")
-        .join(mb, "b")
+        links.join(ma.hint("merge"), "a")
+        .join(mb.hint("merge"), ["b", "block"])
         .where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
         .select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     )
@@ -221,25 +255,28 @@ def duplicate_classes(requests: DataFrame) -> DataFrame:
 
     Classes are connected components over set pairs, found by alternately
     taking minima over neighbours and jumping pointers; the tables are cut into
-    the shared folder each round, and only a row count reaches the driver.
+    the shared folder each round, the round before is deleted, and only a row
+    count reaches the driver. A root with very many members is one row on one
+    side of a sort-merge join of numbers, which the engine's skew handling splits.
     """
     members, sets = _members_and_sets(opening_sets(requests))
     pairs = materialize(similar_sets(sets), "set-pairs")
     edges = materialize(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "set-edges")
     links = edges.groupBy("a").agg(F.count("*").alias("n_links"))
-    label = sets.select("set_no", F.col("set_no").alias("root"))
+    label, before = sets.select("set_no", F.col("set_no").alias("root")), None
     while True:
-        near = edges.join(label.select(F.col("set_no").alias("b"), F.col("root").alias("seen")), "b").groupBy("a").agg(F.min("seen").alias("seen"))
-        step = label.join(near, label.set_no == near.a, "left").select("set_no", "root", F.least("root", F.coalesce("seen", "root")).alias("next"))
+        near = edges.join(label.select(F.col("set_no").alias("b"), F.col("root").alias("seen")).hint("merge"), "b").groupBy("a").agg(F.min("seen").alias("seen"))
+        step = label.join(near.hint("merge"), label.set_no == near.a, "left").select("set_no", "root", F.least("root", F.coalesce("seen", "root")).alias("next"))
         hop = step.select(F.col("set_no").alias("next"), F.col("next").alias("far"))
-        moved = materialize(step.join(hop, "next").select("set_no", F.least("next", "far").alias("new"), "root"), "roots")
+        moved = materialize(step.join(hop.hint("merge"), "next").select("set_no", F.least("next", "far").alias("new"), "root"), "roots")
+        discard(before)
+        label, before = moved.select("set_no", F.col("new").alias("root")), moved
         if moved.where("new <> root").isEmpty():
             break
-        label = moved.select("set_no", F.col("new").alias("root"))
-    named = members.join(label, "set_no")
+    named = members.select("request_id", "set_no").join(label.hint("merge"), "set_no")
     names = named.groupBy("root").agg(F.min("request_id").alias("class_id"))
     return (
-        named.join(names, "root")
-        .join(links, named.set_no == links.a, "left")
+        named.join(names.hint("merge"), "root")
+        .join(links.hint("merge"), named.set_no == links.a, "left")
         .select("request_id", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     )
