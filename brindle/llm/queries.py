@@ -14,7 +14,7 @@ from brindle.llm.mixture import mixture, mixture_shares, token_sizes
 from brindle.llm.near_duplicates import duplicate_classes, near_duplicate_openings
 from brindle.llm.ranking import global_ranking, leaders, win_matrix
 from brindle.llm.residue import residue_records, scored_replies
-from brindle.llm.splitting import split_blocks
+from brindle.llm.splitting import split_blocks, split_blocks_by_weight
 from brindle.llm.tokens import encode_documents
 from brindle.plans.materialize import materialize
 from brindle.sources.tables import table
@@ -48,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": _on(defective_pairs, "api_requests"),
         "p3_labels": _on(labelled_pairs, "api_requests"),
         "p4_found": _on(split_blocks, "blocks", "split_limits", "boundary_tokens"),
+        "p4_pieces": _on(split_blocks_by_weight, "blocks", "split_limits", "boundary_tokens"),
         "p5_found": _on(residue_records, "api_requests", "run_status"),
         "p5_coverage": _on(scored_replies, "api_requests"),
         "p6_found": _on(leaders, "pairwise_judge_result", "workflows"),
