@@ -1,10 +1,11 @@
 """Template residue, filler, error pages and script notices in replies.
 
-A multi-pattern automaton finds phrases; a match is widened to the unit it
-fills (bracket, tag, line of an unfilled slot) and a record is excluded when the
-matches cover a large share of one of its paragraphs. Replies that mention a
-gateway error or a template in a sentence of their own have low coverage, and
-inline or fenced code is content, so both stay.
+One multi-pattern automaton finds phrases and the openings of slots; an opening
+counts where a whole slot stands. A paragraph that matches fill is residue, and
+a record is excluded when the matches in such paragraphs cover a large enough
+share of the document. Replies that mention a gateway error or a template in a
+sentence of their own have no such paragraph, and inline or fenced code is
+content, so both stay; so does a long report that ends with one stray notice.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, Str
 from brindle.llm.chat import chat_rows, is_blank, map_rows, reply_of, text_of
 from brindle.plans.materialize import materialize
 
-#: Share of a paragraph that must be covered.
-COVERAGE = 0.35
+#: Share of a paragraph that matches must cover to make it residue: below, the matches are only mentioned in it.
+PARAGRAPH = 0.35
+#: Share of the document's characters that matches in residue paragraphs must cover to exclude it.
+COVERAGE = 0.03
 
 # Phrases of error messages, in lower case.
 ERROR_PHRASES = """
@@ -190,11 +193,14 @@ SLOT = re.compile(
     r"|@@[\w .-]{1,60}@@"
     r"|(?<!\w)__[A-Z][A-Z0-9_]{1,60}?__(?!\w)"
     r"|<(?:your|insert)\s[\w .-]{1,60}>"
-    r"|<[A-Z][A-Z0-9]+(?:[_ ][A-Z0-9]+)*>"
+    r"|<(?:[A-Z][A-Z0-9]+|[A-Z][A-Z0-9]*(?:[_ ][A-Z0-9]+)+)>"
     r"|\[(?:insert|your|enter|add)\s[\w .-]{1,60}\]"
-    r"|\[(?!(?:" + _LEVELS + r")\])[A-Z][A-Z0-9]+(?:[_ ][A-Z0-9]+)*\](?!\()"
+    r"|\[(?!(?:" + _LEVELS + r")\])(?:[A-Z][A-Z0-9]+|[A-Z][A-Z0-9]*(?:[_ ][A-Z0-9]+)+)\](?!\()"
     r"|\bXXX+(?:\s*\([\w .-]{1,60}\))?",
 )
+#: How slots begin, in lower case.
+SLOT_OPENINGS = ("{{", "{%", "${", "%(", "@@", "__", "<", "[", "xxx")
+_PHRASE, _SLOT = 0, 1
 _CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]+`", re.S)
 _PAGE = re.compile(r"<(?:!doctype|html|head|body|noscript|center)\b", re.I)
 _PAGE_ERROR = re.compile(r"\b[45]\d\d\b|not available|timely response|can't be reached|requires? javascript|enable javascript|<noscript", re.I)
@@ -202,12 +208,12 @@ _PAGE_ERROR = re.compile(r"\b[45]\d\d\b|not available|timely response|can't be r
 
 @functools.cache
 def automaton() -> ahocorasick.Automaton:
-    """The phrases with their length; filler words carry a flag, since they must be whole words."""
+    """Phrases, filler words and slot openings, with length and kind."""
     a = ahocorasick.Automaton()
-    for phrase in [*ERROR_PHRASES, *SCRIPT_PHRASES, *FILLER_PHRASES]:
-        a.add_word(phrase, (len(phrase), False))
-    for word in FILLER_WORDS:
-        a.add_word(word, (len(word), True))
+    for phrase in [*ERROR_PHRASES, *SCRIPT_PHRASES, *FILLER_PHRASES, *FILLER_WORDS]:
+        a.add_word(phrase, (len(phrase), _PHRASE))
+    for opening in SLOT_OPENINGS:
+        a.add_word(opening, (len(opening), _SLOT))
     a.make_automaton()
     return a
 
@@ -225,49 +231,57 @@ def _lower(text: str) -> str:
 
 
 def _spans(text: str) -> list[tuple[int, int]]:
-    """Matched stretches, each widened to the unit it fills."""
+    """Matched stretches, sorted and without overlap; a phrase that opens a bracket reaches to its end."""
     spans: list[tuple[int, int]] = []
     lower = _lower(text)
-    for last, (n, _) in automaton().iter(lower):
+    for last, (n, kind) in automaton().iter(lower):
         start, end = last - n + 1, last + 1
-        if not _bounded(lower, start, end):
-            continue
-        if lower[start] == "[":
-            close = lower.find("]", end)
-            end = close + 1 if close >= 0 else end
-        spans.append((start, end))
-    for m in SLOT.finditer(text):
-        start = text.rfind("\n", 0, m.start()) + 1
-        end = text.find("\n", m.end())
-        spans.append((start, len(text) if end < 0 else end))
+        if kind == _SLOT:
+            slot = SLOT.match(text, start)
+            if slot:
+                spans.append(slot.span())
+        elif _bounded(lower, start, end):
+            if lower[start] == "[":
+                close = lower.find("]", end)
+                end = close + 1 if close >= 0 else end
+            spans.append((start, end))
     page = _PAGE.search(text)
     if page and _PAGE_ERROR.search(text):
         spans.append((page.start(), max(text.rfind(">") + 1, page.end())))
-    return spans
+    merged: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if merged and start <= merged[-1][1]:
+            merged[-1] = merged[-1][0], max(end, merged[-1][1])
+        else:
+            merged.append((start, end))
+    return merged
+
+
+def _filled(text: str) -> int:
+    return len("".join(text.split()))
 
 
 def coverage(text: str) -> float:
-    """Greatest share of a paragraph that matches cover; code is content and never matched. 0 for blank text."""
+    """Share of the document that matches in residue paragraphs cover; code is content and never matched, blanks do not count. 0 for blank text."""
     if is_blank(text):
         return 0.0
     bare = _CODE.sub(lambda m: "\x01" * len(m.group(0)), text)
     spans = _spans(bare)
     if not spans:
         return 0.0
-    page = _PAGE.search(bare)
-    best, at = 0.0, 0
-    for part in [bare] if page else re.split(r"(\n\s*\n)", bare):
-        size = len("".join(part.split()))
-        if size:
-            covered, reach = 0, at
-            for s, e in sorted((max(s, at), min(e, at + len(part))) for s, e in spans if s < at + len(part) and e > at):
-                s = max(s, reach)
-                if e > s:
-                    covered += len("".join(bare[s:e].split()))
-                    reach = e
-            best = max(best, covered / size)
-        at += len(part)
-    return best
+    total, at, k = 0, 0, 0
+    for part in [bare] if _PAGE.search(bare) else re.split(r"(\n\s*\n)", bare):
+        end = at + len(part)
+        covered = 0
+        while k < len(spans) and spans[k][0] < end:
+            covered += _filled(bare[max(spans[k][0], at) : min(spans[k][1], end)])
+            if spans[k][1] > end:
+                break  # goes on in the next part
+            k += 1
+        if covered and covered >= PARAGRAPH * _filled(part):
+            total += covered
+        at = end
+    return total / _filled(bare)
 
 
 def residue_of(response: str | None) -> float:

@@ -53,3 +53,27 @@ def test_capitals_with_longer_lower_forms_hide_nothing():
     page = "502 Bad Gateway"
     assert R.coverage(page) > 0.5
     assert R.coverage(f"İstanbul\n\n{page}") == R.coverage(f"Istanbul\n\n{page}")
+
+
+def test_share_of_the_document_decides():
+    report = "\n\n".join(f"Paragraph {i} of a sound report, with a finding and its number." for i in range(300))
+    assert 0 < R.coverage(f"{report}\n\nSomething went wrong") < R.COVERAGE
+    assert R.coverage("Something went wrong") == 1.0
+
+
+def test_sweep_equals_counting():
+    import random
+
+    rng = random.Random(5)
+    bits = ["bad gateway", "{{ name }}", "a plain sentence of content here", "\n\n", "\n", "[INSERT", "DATE HERE]", "502", "lorem ipsum dolor", " ", "<html>"]
+    for _ in range(500):
+        text = " ".join(rng.choices(bits, k=rng.randint(1, 12)))
+        spans = R._spans(text)
+        inside = [any(s <= i < e for s, e in spans) for i in range(len(text))]
+        total, at = 0, 0
+        for part in [text] if R._PAGE.search(text) else R.re.split(r"(\n\s*\n)", text):
+            solid = [i for i in range(at, at + len(part)) if not text[i].isspace()]
+            hit = sum(inside[i] for i in solid)
+            total += hit if hit and hit >= R.PARAGRAPH * len(solid) else 0
+            at += len(part)
+        assert R.coverage(text) == (total / len("".join(text.split())) if text.split() else 0.0)
