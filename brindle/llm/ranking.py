@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.plans.materialize import materialize
+from brindle.plans.materialize import discard, materialize
 
 #: Wins added to either side of every pair, so that each item has beaten and lost to each other a little.
 SMOOTHING = 0.05
-#: Up to so many items the square win matrix (8 MB at most) is scaled in one place; beyond, in distributed sweeps.
+#: Up to so many items the square win matrix (8 MB at most) is scaled in one place; beyond, in distributed sweeps with the same stopping rule, so the result is the same.
 LOCAL_ITEMS = 1000
-SWEEPS = 400
+#: Sweeps end when no defence moves by more than TOLERANCE in the logarithm, or after SWEEPS.
+SWEEPS, TOLERANCE = 400, 1e-12
 
 
 def win_matrix(judgments: DataFrame, items: DataFrame, name: str = "workflow") -> DataFrame:
@@ -38,7 +39,7 @@ def win_matrix(judgments: DataFrame, items: DataFrame, name: str = "workflow") -
     return there.unionByName(back).groupBy("item", "other").agg(F.sum("wins").alias("wins"), F.sum("n").alias("n"))
 
 
-def scale_offence_defence(wins: np.ndarray, smoothing: float = SMOOTHING, sweeps: int = SWEEPS, tolerance: float = 1e-12) -> np.ndarray:
+def scale_offence_defence(wins: np.ndarray, smoothing: float = SMOOTHING, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Log strengths of the items of a square win matrix.
 
     Sinkhorn sweeps find row and column factors that make the smoothed matrix
@@ -87,24 +88,37 @@ def global_ranking(judgments: DataFrame, items: DataFrame, name: str = "workflow
     return _distributed(matrix, known, name)
 
 
-def _distributed(matrix: DataFrame, known: DataFrame, name: str, sweeps: int = 50) -> DataFrame:
-    """The same sweeps over the sparse win table; smoothing enters through totals, so no dense matrix is built."""
-    state = known.select("item", F.lit(1.0).alias("offence"), F.lit(1.0).alias("defence"))
+def _half_step(matrix: DataFrame, state: DataFrame, new: str, old: str) -> DataFrame:
+    """``state`` with the column ``new`` computed from ``old``; smoothing enters through a total, so no dense matrix is built.
+
+    The win table is summed by item before anything else, and an item with very
+    many opponents is one key of a partial aggregation, not of a join.
+    """
+    key, other = ("item", "other") if new == "offence" else ("other", "item")
+    total = state.agg(F.sum(1 / F.col(old))).scalar()
+    shares = state.select(F.col("item").alias(other), (1 / F.col(old)).alias("share"))
+    part = matrix.join(shares.hint("merge"), other).groupBy(F.col(key).alias("item")).agg(F.sum(F.col("wins") * F.col("share")).alias("part"))
+    fresh = F.coalesce("part", F.lit(0.0)) + F.lit(SMOOTHING) * total
+    return state.join(part.hint("merge"), "item", "left").select(*(fresh.alias(c) if c == new else F.col(c) for c in state.columns))
+
+
+def _distributed(matrix: DataFrame, known: DataFrame, name: str, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
+    """The same sweeps over the sparse win table; each sweep is a table in the shared folder, and the one before is deleted."""
+    state, before = known.select("item", F.lit(1.0).alias("offence"), F.lit(1.0).alias("defence"), F.lit(1.0).alias("last")), None
     for i in range(sweeps):
-        for new, old, key, other in (("offence", "defence", "item", "other"), ("defence", "offence", "other", "item")):
-            total = state.agg(F.sum(1 / F.col(old))).scalar()
-            part = (
-                matrix.join(state.select(F.col("item").alias(other), (1 / F.col(old)).alias("share")), other)
-                .groupBy(F.col(key).alias("item"))
-                .agg(F.sum(F.col("wins") * F.col("share")).alias("part"))
-            )
-            kept = "defence" if new == "offence" else "offence"
-            state = state.join(part, "item", "left").select("item", (F.coalesce("part", F.lit(0.0)) + SMOOTHING * total).alias(new), kept)
-        state = materialize(state, f"sweep{i}")
+        state = _half_step(matrix, state.withColumn("last", F.col("defence")), "offence", "defence")
+        state = materialize(_half_step(matrix, state, "defence", "offence"), f"sweep{i}")
+        discard(before)
+        before = state
+        moved = state.agg(F.max(F.abs(F.log(F.col("defence") / F.col("last"))))).first()[0]
+        if moved is None or moved < tolerance:
+            break
+    state = materialize(_half_step(matrix, state, "offence", "defence"), "scaled")
+    discard(before)
     played = matrix.groupBy("item").agg(F.sum("n").alias("n_comparisons"))
     mean = state.agg(F.avg(F.log("offence") - F.log("defence"))).scalar()
     scored = state.select("item", (F.log("offence") - F.log("defence") - mean).alias("strength"))
-    counted = scored.join(played, "item", "left").select("item", "strength", F.coalesce("n_comparisons", F.lit(0).cast("long")).alias("n_comparisons"))
+    counted = scored.join(played.hint("merge"), "item", "left").select("item", "strength", F.coalesce("n_comparisons", F.lit(0).cast("long")).alias("n_comparisons"))
     return _ranked(counted, name)
 
 
@@ -112,12 +126,11 @@ def _ranked(scored: DataFrame, name: str) -> DataFrame:
     """Ranks by a range sort: position inside the range plus the sizes of the ranges before it."""
     spread = scored.withColumn("key", -F.round("strength", 9)).repartitionByRange("key", "item").sortWithinPartitions("key", "item")
     placed = materialize(spread.withColumn("id", F.monotonically_increasing_id()).withColumn("part", F.shiftright("id", 33)), "ranked")
-    from pyspark.sql import Window
-
     sizes = placed.groupBy("part").agg(F.count("*").alias("size"))
     before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
-    return placed.join(before, "part").select(
-        F.col("item").alias(name), (F.col("before") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long").alias("rank"), F.round("strength", 6).alias("strength"), "n_comparisons"
+    return placed.join(F.broadcast(before), "part").select(  # one row a range
+       
+        F.col("item").alias(name), (F.col("before") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long").alias("rank"), (F.round("strength", 6) + F.lit(0.0)).alias("strength"), "n_comparisons"
     )
 
 

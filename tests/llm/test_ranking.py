@@ -35,14 +35,22 @@ def test_uneven_schedules_and_dirt(spark):
     assert total == 2 * 6002
 
 
-def test_distributed_sweeps_agree(spark):
+def test_number_of_items_does_not_change_the_result(spark):
     rows = [(k, f"w{k % 5}", f"w{(k // 5) % 5}", "A" if k % 5 > (k // 5) % 5 else ("B" if k % 3 else "tie"), "", "") for k in range(250)]
     judged = spark.createDataFrame(rows, SCHEMA)
-    items = spark.createDataFrame([(f"w{i}",) for i in range(5)], "workflow string")
-    near = {r.workflow: (r["rank"], r.strength) for r in K.global_ranking(judged, items).collect()}
-    matrix, known = K.win_matrix(judged, items), items.withColumnRenamed("workflow", "item")
-    far = {r.workflow: (r["rank"], r.strength) for r in K._distributed(matrix, known, "workflow", sweeps=12).collect()}
-    assert {k: v[0] for k, v in near.items()} == {k: v[0] for k, v in far.items()}
+    items = spark.createDataFrame([(f"w{i}",) for i in range(6)], "workflow string")
+    near, far = (sorted(map(tuple, K.global_ranking(judged, items, local_items=n).collect())) for n in (6, 5))
+    assert near == far
+
+
+def test_sweeps_stop_alike(spark):
+    wins = np.array([[0, 9.0, 2], [1, 0, 5], [7, 2, 0]])
+    matrix = spark.createDataFrame([(f"i{a}", f"i{b}", float(wins[a, b]), 5) for a in range(3) for b in range(3) if a != b], "item string, other string, wins double, n long")
+    known = spark.createDataFrame([(f"i{a}",) for a in range(3)], "item string")
+    for sweeps in (1, 3):
+        want = K.scale_offence_defence(wins.copy(), sweeps=sweeps)
+        got = {r["x"]: r["strength"] for r in K._distributed(matrix, known, "x", sweeps=sweeps).collect()}
+        assert np.allclose([got[f"i{a}"] for a in range(3)], want, atol=2e-6)
 
 
 def test_empty(spark):
