@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from brindle.llm.tokens import DEFAULT_VOCABULARY, encode_documents
 from brindle.plans.materialize import materialize
 
-#: Running sums of a source are taken in buckets of about so many documents of the whole corpus; the number of buckets is a power of two within bounds.
+#: Running sums of a source are taken in buckets of about so many documents of the whole corpus; the number of buckets is a power of two within bounds and never changes the order.
 BUCKET_ROWS, LEAST_BITS, MOST_BITS = 200_000, 6, 16
-#: Passes over sources are broadcast up to so many rows; beyond, they are joined by shuffle.
-SMALL_PASSES = 10_000
+#: The order of a pass has so many bits.
+ORDER_BITS = 60
+#: The sources with a demand are broadcast up to so many; beyond, they are joined by shuffle, each split into SALTS keys.
+SMALL_PLAN, SALTS = 10_000, 64
 #: How strongly weights may drift from start to end, as a share of the weight.
 DRIFT = 0.5
 
@@ -19,7 +21,12 @@ DRIFT = 0.5
 def token_sizes(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(doc_id, source, n_tokens)."""
     ids = encode_documents(documents, vocabulary)
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens")).join(documents.where("doc_id is not null").select("doc_id", "source"), "doc_id")
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens")).join(documents.where("doc_id is not null").select("doc_id", "source").hint("merge"), "doc_id")
+
+
+def character_sizes(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, n_tokens) with code points as the unit, for corpora that are not tokenized yet."""
+    return documents.where("doc_id is not null").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_tokens"), "source")
 
 
 def source_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -47,13 +54,13 @@ def source_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     total = leaning.agg(F.min(F.when(F.col("usable"), F.col("max_repeats") * F.col("held") / F.col("share")))).scalar()
     widest = leaning.agg(F.max(F.abs("lean"))).scalar()
     return leaning.withColumn("total", total).withColumn("widest", widest).select(
-        "source", "target_share", "max_repeats", "held", "share", F.floor(F.coalesce(F.col("total") * F.col("share"), F.lit(0.0))).alias("demand"),
+        "source", "target_share", "max_repeats", "held", "share", F.floor(F.round(F.coalesce(F.col("total") * F.col("share"), F.lit(0.0)), 6)).alias("demand"),
         F.coalesce(F.lit(DRIFT) * F.col("lean") / F.when(F.col("widest") > 0, F.col("widest")), F.lit(0.0)).alias("drift"),
         F.coalesce("total", F.lit(0.0)).alias("total"),
     )
 
 
-def mixture(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+def mixture(sizes: DataFrame, targets: DataFrame, bits: int | None = None, small_plan: int = SMALL_PLAN) -> DataFrame:
     """(doc_id, copy, source, n_tokens, position), sorted by position over the whole output.
 
     Every source is read in passes, each in its own pseudo-random order; a
@@ -65,27 +72,32 @@ def mixture(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     target never appear.
 
     Running sums need no single task: sums of the buckets of a source and pass
-    are added up first, and each bucket is then summed by itself.
+    are added up first, and each bucket is then summed by itself. ``bits`` sets the
+    number of buckets (2 to the power), by default from the number of documents;
+    documents follow each other by the digest of doc_id and pass, whatever it is.
     """
-    bits = min(MOST_BITS, max(LEAST_BITS, (sizes.count() // BUCKET_ROWS).bit_length()))
-    plan = materialize(source_plan(sizes, targets), "plan")
-    passes = plan.where("demand > 0").select("source", "demand", "drift", "total", "held", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("demand") / F.col("held")) - 1)).alias("copy"))
-    passes = materialize(passes, "passes")
-    small = passes.limit(SMALL_PASSES + 1).count() <= SMALL_PASSES
+    bits = bits or min(MOST_BITS, max(LEAST_BITS, (sizes.count() // BUCKET_ROWS).bit_length()))
+    plan = materialize(source_plan(sizes, targets), "plan").where("demand > 0").select("source", "demand", "drift", "total", "held")
+    texts = sizes.where("n_tokens > 0 and source is not null").select("doc_id", "source", "n_tokens")
+    if plan.limit(small_plan + 1).count() <= small_plan:
+        planned = texts.join(F.broadcast(plan), "source")
+    else:
+        salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        planned = texts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["source", "salt"]).drop("salt")
+    last = F.ceil(F.col("demand") / F.col("held")) - 1
+    digest = F.md5(F.concat_ws("/", "doc_id", "copy").cast("binary"))
     rows = (
-        sizes.where("n_tokens > 0 and source is not null")
-        .select("doc_id", "source", "n_tokens")
-        .join(F.broadcast(passes) if small else passes, "source")
-        .withColumn("order", F.xxhash64("doc_id", "copy"))
-        .withColumn("bucket", F.shiftrightunsigned("order", 64 - bits))
+        planned.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        .withColumn("order", F.conv(F.substring(digest, 1, ORDER_BITS // 4), 16, 10).cast("long"))
+        .withColumn("bucket", F.shiftright("order", ORDER_BITS - bits))
     )
     keys = ["source", "copy", "bucket"]
     buckets = rows.groupBy(*keys).agg(F.sum("n_tokens").alias("sum"))
     along = Window.partitionBy("source", "copy").orderBy("bucket")
     before = materialize(buckets.select(*keys, (F.sum("sum").over(along) - F.col("sum")).alias("before")), "offsets")
-    inside = Window.partitionBy(*keys).orderBy(F.shiftleft("order", bits), "doc_id")
+    inside = Window.partitionBy(*keys).orderBy("order", "doc_id")
     start = F.col("copy") * F.col("held") + F.col("before") + F.sum("n_tokens").over(inside) - F.col("n_tokens")
-    placed = rows.join(before, keys).withColumn("start", start).where("start < demand")
+    placed = rows.join(before.hint("merge"), keys).withColumn("start", start).where("start < demand")
     # c = t + k (t^2 - t), solved for the training time t.
     c, k = F.col("start") / F.col("demand"), F.col("drift")
     t = F.when(F.abs(k) < 1e-9, c).otherwise((k - 1 + F.sqrt((1 - k) * (1 - k) + 4 * k * c)) / (2 * k))

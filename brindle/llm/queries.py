@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brindle.llm.conversations import conversation_messages, sound_conversations
 from brindle.llm.defects import defective_pairs, labelled_pairs
 from brindle.llm.encodings import garbled_documents, repaired_documents
-from brindle.llm.mixture import mixture, mixture_shares, token_sizes
+from brindle.llm.mixture import character_sizes, mixture, mixture_shares, token_sizes
 from brindle.llm.near_duplicates import duplicate_classes, near_duplicate_openings
 from brindle.llm.ranking import global_ranking, leaders, win_matrix
 from brindle.llm.residue import residue_records, scored_replies
@@ -35,6 +35,17 @@ def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_shares(materialize(mixture(sizes, targets), "mixture"), sizes, targets)
 
 
+def _by_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixture(character_sizes(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
+    return mixed.select("doc_id", "copy", "source", F.col("n_tokens").alias("n_chars"), F.round("position", 3).alias("position"))
+
+
+def _shares_by_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes, targets = character_sizes(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets")
+    got = mixture_shares(materialize(mixture(sizes, targets), "mixture"), sizes, targets)
+    return got.withColumn("actual_share", F.round("actual_share", 9)).withColumnRenamed("tokens", "n_chars")
+
+
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return win_matrix(table(spark, sf_dir, "pairwise_judge_result"), table(spark, sf_dir, "workflows")).select("item", "other", "wins", F.col("n").cast("long").alias("n"))
 
@@ -57,13 +68,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_ids": _on(encode_documents, "documents"),
         "p8_mixture": _mixture,
         "p8_shares": _shares,
+        "p8_mixture_chars": _by_characters,
+        "p8_shares_chars": _shares_by_characters,
         "p9_found": _on(garbled_documents, "documents"),
         "p9_repaired": _on(repaired_documents, "documents"),
     }
 
 
 _OPENINGS = """
-WITH chat AS (SELECT DISTINCT request_id, request FROM api_requests WHERE path = '/v1/chat/completions' AND request_id IS NOT NULL AND json_valid(request)),
+WITH RECURSIVE chat AS (SELECT DISTINCT request_id, request FROM api_requests WHERE path = '/v1/chat/completions' AND request_id IS NOT NULL AND json_valid(request)),
 message AS (SELECT request_id, unnest(json_extract(request, '$.messages[*]')) AS m FROM chat),
 opening AS (
   SELECT request_id, any_value(m) FILTER (WHERE m->>'$.role' = 'user') AS m FROM message GROUP BY request_id
@@ -98,6 +111,21 @@ z AS MATERIALIZED (SELECT item AS workflow, s - (SELECT avg(s) FROM raw) AS s FR
 ranked AS MATERIALIZED (SELECT workflow, row_number() OVER (ORDER BY round(s, 9) DESC, workflow) AS rank, round(s, 6) + 0.0 AS strength, coalesce((SELECT sum(n) FROM wins WHERE item = workflow), 0)::BIGINT AS n_comparisons FROM z)
 """
 
+_MIXED = """
+WITH sizes AS MATERIALIZED (SELECT doc_id, source, length(text) AS n FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL AND length(text) > 0),
+held AS (SELECT source, sum(n)::BIGINT AS held, avg(n) AS len FROM sizes GROUP BY source),
+target AS (SELECT source, max(target_share) AS target_share, max(max_repeats) AS max_repeats FROM mix_targets WHERE source IS NOT NULL GROUP BY source),
+got AS (SELECT * FROM target JOIN held USING (source) WHERE target_share > 0 AND max_repeats > 0),
+sums AS (SELECT sum(target_share) AS us, sum(target_share * ln(len)) AS ll FROM got),
+lean AS (SELECT got.*, target_share / us AS share, ln(len) - ll / us AS lean FROM got, sums),
+bounds AS (SELECT min(max_repeats * held / share) AS total, max(abs(lean)) AS widest FROM lean),
+plan AS MATERIALIZED (SELECT source, held, total, floor(round(total * share, 6))::BIGINT AS demand, CASE WHEN widest > 0 THEN 0.5 * lean / widest ELSE 0 END AS k FROM lean, bounds),
+pass AS (SELECT *, unnest(range(ceil(demand / held)::BIGINT)) AS copy FROM plan WHERE demand > 0),
+placed AS (SELECT doc_id, copy, source, n, demand, total, k, copy * held + sum(n) OVER (PARTITION BY source, copy ORDER BY ('0x' || substr(md5(doc_id || '/' || copy), 1, 15))::BIGINT, doc_id) - n AS start FROM sizes JOIN pass USING (source)),
+kept AS MATERIALIZED (SELECT *, start::DOUBLE / demand AS c FROM placed WHERE start < demand),
+mixed AS MATERIALIZED (SELECT doc_id, copy, source, n::BIGINT AS n_chars, round(CASE WHEN abs(k) < 1e-9 THEN c ELSE (k - 1 + sqrt((1 - k) * (1 - k) + 4 * k * c)) / (2 * k) END * total, 3) + 0.0 AS position FROM kept)
+"""
+
 # Messages are compared by role, text, reasoning and call ids, which agrees with comparing canonical JSON on these tables.
 _STEPS = f"""
 WITH raw AS MATERIALIZED (SELECT DISTINCT request_id, episode, seq, request, CASE WHEN json_valid(response) THEN response END AS response FROM api_requests
@@ -126,6 +154,16 @@ term AS (SELECT request_id, unnest(w) AS t, len(w) AS n FROM kept),
 both_ AS (SELECT a.request_id AS id_a, b.request_id AS id_b, any_value(a.n) + any_value(b.n) AS total, count(*) AS shared
           FROM term a JOIN term b ON a.t = b.t AND a.request_id < b.request_id GROUP BY 1, 2)
 SELECT id_a, id_b FROM both_ WHERE shared * 1.0 / (total - shared) >= 0.8""",
+        "p1_classes": _OPENINGS
+        + """, kept AS MATERIALIZED (SELECT request_id, w FROM words WHERE len(w) >= 5),
+sets AS MATERIALIZED (SELECT w, row_number() OVER (ORDER BY w) AS k FROM (SELECT DISTINCT w FROM kept)),
+term AS (SELECT k, unnest(w) AS t, len(w) AS n FROM sets),
+pair AS MATERIALIZED (SELECT a.k AS x, b.k AS y FROM term a JOIN term b ON a.t = b.t AND a.k <> b.k GROUP BY a.k, b.k HAVING count(*) * 1.0 / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.8),
+reach AS (SELECT k AS x, k AS y FROM sets UNION SELECT r.x, p.y FROM reach r JOIN pair p ON p.x = r.y),
+member AS MATERIALIZED (SELECT request_id, k FROM kept JOIN sets USING (w)),
+named AS (SELECT r.x, min(m.request_id) AS class_id FROM reach r JOIN member m ON m.k = r.y GROUP BY r.x),
+link AS (SELECT x, count(*) AS n FROM pair GROUP BY x)
+SELECT m.request_id, n.class_id, coalesce(l.n, 0)::BIGINT AS n_links FROM member m JOIN named n ON n.x = m.k LEFT JOIN link l ON l.x = m.k""",
         "p2_found": _STEPS + "SELECT first_id, last_id, n_messages FROM sound",
         "p2_messages": _STEPS
         + f""", last AS MATERIALIZED (SELECT s.first_id, s.n_messages, q.* FROM sound s JOIN req q ON q.request_id = s.last_id)
@@ -146,6 +184,10 @@ piece AS (
     CASE WHEN s.n - p.nxt <= s.lim THEN NULL ELSE coalesce(list_max(list_filter(s.es, lambda e: e > p.nxt + s.lim // 2 AND e <= p.nxt + s.lim)), p.nxt + s.lim) - s.ov END
   FROM piece p JOIN src s ON s.block_id = p.block_id WHERE p.nxt IS NOT NULL)
 SELECT block_id, piece_no, start_pos::BIGINT AS start_pos, end_pos::BIGINT AS end_pos FROM piece WHERE piece_no > 0""",
+        "p8_mixture_chars": _MIXED + "SELECT doc_id, copy, source, n_chars, position FROM mixed",
+        "p8_shares_chars": _MIXED
+        + """SELECT t.source, t.target_share, round(coalesce(sum(n_chars) / (SELECT sum(n_chars) FROM mixed), 0.0), 9)::DOUBLE AS actual_share, coalesce(sum(n_chars), 0)::BIGINT AS n_chars,
+  count(DISTINCT doc_id)::BIGINT AS documents, coalesce(max(copy) + 1, 0)::BIGINT AS most_copies FROM target t LEFT JOIN mixed m ON m.source = t.source GROUP BY t.source, t.target_share""",
         "p6_found": _SCALED + "SELECT workflow FROM ranked WHERE rank <= 6",
         "p6_ranking": _SCALED + "SELECT workflow, rank, strength, n_comparisons FROM ranked",
         "p6_matrix": """

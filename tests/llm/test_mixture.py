@@ -40,3 +40,49 @@ def test_empty(spark):
 def test_sizes_in_tokens(spark):
     docs = spark.createDataFrame([(1, "one two three", "a", 9), (2, None, "a", 9), (3, "", None, 9)], "doc_id long, text string, source string, n_tokens int")
     assert sorted((r.doc_id, r.n_tokens) for r in M.token_sizes(docs).collect()) == [(1, 3), (2, 0), (3, 0)]
+
+
+@pytest.fixture
+def many(spark):
+    rows = [(i, ("big", "small", "mid")[min(2, i % 5)], 5 + i * 7 % 40) for i in range(500)]
+    return rows, spark.createDataFrame(rows, SIZES), spark.createDataFrame([("big", 0.4, 1, ""), ("small", 0.25, 3, ""), ("mid", 0.35, 2, "")], TARGETS)
+
+
+def test_order_does_not_depend_on_buckets_or_plan(many):
+    _, sizes, targets = many
+    want = M.mixture(sizes, targets, bits=1).collect()
+    assert len(want) > 200
+    for bits, small in ((6, 10), (16, 10), (6, 0)):
+        assert M.mixture(sizes, targets, bits=bits, small_plan=small).collect() == want
+
+
+def test_equals_brute_force(many):
+    import hashlib
+    import math
+
+    rows, sizes, targets = many
+    goal = {"big": (0.4, 1), "small": (0.25, 3), "mid": (0.35, 2)}
+    own = {s: [(d, n) for d, x, n in rows if x == s] for s in goal}
+    held = {s: sum(n for _, n in v) for s, v in own.items()}
+    total = min(r * held[s] / share for s, (share, r) in goal.items())
+    lean = {s: math.log(held[s] / len(own[s])) for s in goal}
+    mean = sum(goal[s][0] * lean[s] for s in goal)
+    widest = max(abs(v - mean) for v in lean.values())
+    out = []
+    for s, (share, _) in goal.items():
+        demand, k = math.floor(round(total * share, 6)), M.DRIFT * (lean[s] - mean) / widest
+        start, copy = 0, 0
+        while start < demand:
+            for d, n in sorted(own[s], key=lambda r: (hashlib.md5(f"{r[0]}/{copy}".encode()).hexdigest()[:15], r[0])):
+                if start < demand:
+                    t, hi = 0.0, 1.0  # invert the integral of the schedule by bisection
+                    for _ in range(60):
+                        mid = (t + hi) / 2
+                        t, hi = (mid, hi) if mid + k * (mid * mid - mid) < start / demand else (t, mid)
+                    out.append((d, copy, s, n, t * total))
+                start += n
+            copy += 1
+    got = sorted(map(tuple, M.mixture(sizes, targets).collect()))
+    out.sort()
+    assert [r[:4] for r in got] == [r[:4] for r in out]
+    assert all(a[4] == pytest.approx(b[4], abs=1e-6 * total) for a, b in zip(got, out))
