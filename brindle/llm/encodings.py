@@ -13,15 +13,15 @@ import functools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from brindle.plans.materialize import materialize
+from brindle.plans.materialize import discard, materialize
 
 #: The character model has tables of these fixed sizes, whatever the corpus.
 UNIGRAMS, BIGRAMS = 1 << 16, 1 << 21
@@ -41,8 +41,10 @@ ROUNDS = 6
 CUTOFF = 0.1
 #: A chain that the rest of the document says nothing for still has this share when a stretch is repaired.
 LEAST_SHARE = 1e-5
-#: At most so many sources get priors of their own; the rest share one.
-MAX_SOURCES = 1000
+#: The priors of the sources are broadcast up to so many sources; beyond, they are joined by shuffle, each split into SALTS keys.
+SMALL_SOURCES, SALTS = 10_000, 16
+#: A stretch that a text repeats is the same observation again: it counts so often at most in the evidence (in the repair every occurrence is mended).
+REPEATS = 3
 
 # Encodings a text may have been decoded with, or written in.
 SINGLE = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8-r", "cp866", "cp1250", "iso8859-2", "iso8859-15", "cp1254", "cp1253")
@@ -133,7 +135,7 @@ class CharacterModel:
     """log P(character | character before) from hashed counts, backed off to single characters."""
 
     def __init__(self, uni: np.ndarray, bi: np.ndarray) -> None:
-        self.uni, self.bi = uni, bi
+        self.uni, self.bi = uni, bi  # counts as floating-point numbers: they may exceed any integer type of half the size
         self.total = float(self.uni.sum())
         #: Characters seen at least twice; nothing can speak for others but the form of their bytes.
         self.known = frozenset(map(chr, np.nonzero(uni > 1)[0].tolist()))
@@ -226,21 +228,21 @@ class CharacterModel:
         return min(LOST_BOUND, lost - own)
 
     def _again(self, text: str, value: float, wrong: str, seen: dict[str, float]) -> tuple[str, float]:
-        """Undo UTF-8 read as ``wrong``, or as Latin-1, further times while that is more likely."""
-        for _ in range(2):
+        """Undo UTF-8 read as ``wrong``, or as Latin-1, as often as that is more likely; each time makes the text shorter, so it ends."""
+        improved = True
+        while improved and not text.isascii():
+            improved = False
             for w in dict.fromkeys((wrong, "cp1252")):
-                data = None if text.isascii() else _encode(text, w)
+                data = _encode(text, w)
                 more = _decode(data, "utf-8") if data is not None else None
-                if more is not None and "\ufffd" not in more and more != text:
+                if more is not None and "\ufffd" not in more and len(more) < len(text):
                     known = seen.get(more)
                     if known is None:
                         known = seen[more] = self.score(more)
                     total = value - seen[text] + known + SEQUENCE * (len(data) - len(more))
                     if total > value:
-                        text, value = more, total
+                        text, value, improved = more, total, True
                         break
-            else:
-                break
         return text, value
 
 
@@ -265,7 +267,7 @@ def character_model(documents: DataFrame) -> CharacterModel:
     rows = documents.where("text is not null").select("text").mapInArrow(_count_characters, "kind long, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
     got = rows.toArrow()
     kind, bucket, n = (got.column(c).to_numpy() for c in ("kind", "bucket", "n"))
-    uni, bi = np.zeros(UNIGRAMS, dtype=np.int64), np.zeros(BIGRAMS, dtype=np.int64)
+    uni, bi = np.zeros(UNIGRAMS), np.zeros(BIGRAMS, dtype=np.float32)
     uni[bucket[kind == 0]] = n[kind == 0]
     bi[bucket[kind == 1]] = n[kind == 1]
     return CharacterModel(uni, bi)
@@ -304,7 +306,7 @@ def evidence_of(text: str, model: CharacterModel) -> dict[int, float]:
     weighed = [(n, [(i, ratio) for i, ratio, _ in model.undo(token)]) for token, n in stretches.items()]
     weighed += [(n, [(lost, model.marks(run))]) for run, n in marks.items()]
     for n, ratios in weighed:
-        n = min(n, 3)
+        n = min(n, REPEATS)
         for i, ratio in ratios:
             if ratio > 0:
                 hits.setdefault(i, []).append((at, at + n, n * (math.log(1 - STRETCH_SHARE + STRETCH_SHARE * math.exp(ratio)) - _CLEAN)))
@@ -352,12 +354,13 @@ def _posterior(chains: np.ndarray, weight: np.ndarray, prior: np.ndarray) -> np.
     return e / (e.sum() + math.exp(math.log(prior[-1]) - top))
 
 
-def chain_posteriors(documents: DataFrame, model: CharacterModel | None = None) -> DataFrame:
+def chain_posteriors(documents: DataFrame, model: CharacterModel | None = None, small_sources: int = SMALL_SOURCES) -> DataFrame:
     """(doc_id, posterior, chain, undoable, share, alone): documents with some evidence, their posterior of being garbled, their best chain, and the chains that can be undone with their posteriors, against each other and each alone against "not garbled"."""
     spark = documents.sparkSession
     model = model or character_model(documents)
-    shared = spark.sparkContext.broadcast((model.uni.astype(np.int32), model.bi.astype(np.int32)))
-    rows = documents.where("doc_id is not null and text is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
+    shared = spark.sparkContext.broadcast((model.uni, model.bi))
+    # A null source is a source of its own, apart from the empty one.
+    rows = documents.where("doc_id is not null and text is not null").select("doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source"), "text")
     odd = rows.where(F.col("text").rlike("[^\\x00-\\x7f]") | F.col("text").rlike(MARKS_FILTER))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,16 +380,15 @@ def chain_posteriors(documents: DataFrame, model: CharacterModel | None = None)
             )
 
     evidence = materialize(odd.mapInArrow(weigh, _EVIDENCE), "chains")
-    sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(MAX_SOURCES).collect()}
-    priors = _fit_priors(evidence, sizes)
-    known = spark.sparkContext.broadcast(priors)
+    pooled, weighed = _fit_priors(evidence, rows.groupBy("source").agg(F.count("*").alias("size")), small_sources)
+    prior_of = _prior_reader(spark, pooled)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f"{w}<{t}" for w, t in CHAINS] + [LOST]
         for b in batches:
             post, best, undoable, share, alone = [], [], [], [], []
-            for source, chain, weight in zip(*(b.column(c).to_pylist() for c in ("source", "chain", "weight"))):
-                prior, at, z = known.value.get(source, known.value[None]), np.array(chain), np.array(weight)
+            for chain, weight, size, seen, n in zip(*(b.column(c).to_pylist() for c in ("chain", "weight", "size", "seen", "n"))):
+                prior, at, z = prior_of(size, seen, n), np.array(chain), np.array(weight)
                 p = _posterior(at, z, prior)
                 post.append(float(p.sum()))
                 best.append(names[chain[int(p.argmax())]])
@@ -399,45 +401,70 @@ def chain_posteriors(documents: DataFrame, model: CharacterModel | None = None)
                 ["doc_id", "posterior", "chain", "undoable", "share", "alone"],
             )
 
-    return evidence.mapInArrow(decide, "doc_id long, posterior double, chain string, undoable array<int>, share array<double>, alone array<double>")
+    return weighed.mapInArrow(decide, "doc_id long, posterior double, chain string, undoable array<int>, share array<double>, alone array<double>")
+
+
+def _prior_reader(spark: SparkSession, pooled: np.ndarray) -> Callable[[float, list[int], list[float]], np.ndarray]:
+    """From a source's number of documents and its expected numbers by chain to its prior: the pooled shares count like STRENGTH documents."""
+    shared = spark.sparkContext.broadcast(pooled)
+
+    def prior(size: float, seen: list[int], n: list[float]) -> np.ndarray:
+        out = STRENGTH * shared.value
+        out[seen] += n
+        out[-1] += max(0.0, size - sum(n))
+        return out / out.sum()
+
+    return prior
 
 
-def _fit_priors(evidence: DataFrame, sizes: dict[str, int]) -> dict[str | None, np.ndarray]:
-    """Per source, shares of the chains and of clean documents (last), by EM; None holds the shares over all."""
+def _with_priors(evidence: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
+    """The evidence with size, seen and n of its source; a source may hold any share of the rows."""
+    if small:
+        return evidence.join(F.broadcast(sources), "source")
+    salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return evidence.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["source", "salt"]).drop("salt")
+
+
+def _fit_priors(evidence: DataFrame, sizes: DataFrame, small_sources: int = SMALL_SOURCES) -> tuple[np.ndarray, DataFrame]:
+    """The shares of the chains and of clean documents (last) over all, and the evidence with what its source was found to hold, by EM.
+
+    The state is a table with one row a source; the driver only sees the sums by
+    chain. Sources of few documents lean on the pooled shares, whatever their number.
+    """
     spark = evidence.sparkSession
     k = len(CHAINS) + 2
     base = np.full(k, PRIOR / (k - 1))
     base[-1] = 1 - PRIOR
-    total = sum(sizes.values())
-    priors: dict[str | None, np.ndarray] = {None: base} | {s: base for s in sizes}
+    sizes = materialize(sizes, "source-sizes")
+    total, n_sources = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    small = n_sources <= small_sources
+    empty = (F.array().cast("array<int>").alias("seen"), F.array().cast("array<double>").alias("n"))
+    pooled, state, before = base, sizes.select("source", F.lit(0).cast("long").alias("size"), *empty), None
     for _ in range(ROUNDS):
-        now = spark.sparkContext.broadcast(priors)
+        prior_of = _prior_reader(spark, pooled)
 
-        def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+        def expect(batches: Iterator[pa.RecordBatch], prior_of=prior_of) -> Iterator[pa.RecordBatch]:
             sums: dict[tuple[str, int], float] = {}
             for b in batches:
-                for source, chain, weight in zip(*(b.column(c).to_pylist() for c in ("source", "chain", "weight"))):
-                    p = _posterior(np.array(chain), np.array(weight), now.value.get(source, now.value[None]))
-                    name = source if source in now.value else None
-                    for c, v in zip(chain, p):
-                        sums[name, c] = sums.get((name, c), 0.0) + float(v)
+                for source, chain, weight, size, seen, n in zip(*(b.column(c).to_pylist() for c in ("source", "chain", "weight", "size", "seen", "n"))):
+                    for c, v in zip(chain, _posterior(np.array(chain), np.array(weight), prior_of(size, seen, n))):
+                        sums[source, c] = sums.get((source, c), 0.0) + float(v)
             out = [(s, c, v) for (s, c), v in sums.items() if v > 1e-6]
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in ((0, pa.string()), (1, pa.int32()), (2, pa.float64()))], ["source", "chain", "n"])
 
-        got = evidence.select("source", "chain", "weight").mapInArrow(expect, "source string, chain int, n double").groupBy("source", "chain").agg(F.sum("n").alias("n")).collect()
+        joined = _with_priors(evidence.select("doc_id", "source", "chain", "weight"), state, small)
+        got = joined.mapInArrow(expect, "source string, chain int, n double").groupBy("source", "chain").agg(F.sum("n").alias("n"))
+        found = got.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("chain", "n"))).alias("found"))  # at most one entry a chain
+        held = sizes.join(found.hint("merge"), "source", "left").select("source", "size", F.coalesce("found.chain", empty[0]).alias("seen"), F.coalesce("found.n", empty[1]).alias("n"))
+        state = materialize(held, "source-priors")
+        discard(before)
+        before = state
         over = np.zeros(k)
-        own: dict[str | None, np.ndarray] = {s: np.zeros(k) for s in sizes}
-        for r in got:
-            over[r["chain"]] += r["n"]
-            if r["source"] in own:
-                own[r["source"]][r["chain"]] += r["n"]
+        for r in state.select(F.explode(F.arrays_zip("seen", "n")).alias("x")).groupBy("x.seen").agg(F.sum("x.n").alias("n")).collect():  # one row a chain
+            over[r["seen"]] = r["n"]
         over[-1] = max(0.0, total - over.sum())
         pooled = (over + STRENGTH * base) / (over.sum() + STRENGTH)
-        priors = {None: pooled}
-        for s, n in own.items():
-            n[-1] = max(0.0, sizes[s] - n.sum())
-            priors[s] = (n + STRENGTH * pooled) / (n.sum() + STRENGTH)
-    return priors
+    return pooled, _with_priors(evidence, state, small)
 
 
 def garbled_documents(documents: DataFrame) -> DataFrame:
@@ -450,8 +477,8 @@ def garbled_documents(documents: DataFrame) -> DataFrame:
     return chain_posteriors(documents).where(F.col("posterior") > CUTOFF).select("doc_id")
 
 
-def repair_text(text: str, shares: dict[int, tuple[float, float]], model: CharacterModel, depth: int = 4) -> str:
-    """Undo in every stretch the chain that improves it most, if clearly, again while one does; ``shares`` (posteriors of the document's chains against each other and alone) are the prior."""
+def repair_text(text: str, shares: dict[int, tuple[float, float]], model: CharacterModel) -> str:
+    """Undo in every stretch the chain that improves it most, if clearly, again until none does (or a text comes back); ``shares`` (posteriors of the document's chains against each other and alone) are the prior."""
     need = math.log((1 - STRETCH_SHARE) / STRETCH_SHARE)
     logs = {i: (math.log(max(v, LEAST_SHARE)), math.log(max(w, LEAST_SHARE))) for i, (v, w) in shares.items()}
     least = (math.log(LEAST_SHARE),) * 2
@@ -469,11 +496,10 @@ def repair_text(text: str, shares: dict[int, tuple[float, float]], model: Charac
             known[token] = fixed
         return fixed
 
-    for _ in range(depth):
-        fixed = _TOKEN.sub(once, text)
-        if fixed == text:
-            break
-        text = fixed
+    met: set[str] = set()
+    while text not in met:
+        met.add(text)
+        text = _TOKEN.sub(once, text)
     return text
 
 
@@ -481,7 +507,7 @@ def repaired_documents(documents: DataFrame) -> DataFrame:
     """(doc_id, chain, text, changed): the garbled documents with their most probable chain, and their texts restored stretch by stretch where a chain can be undone."""
     model = character_model(documents)
     found = materialize(chain_posteriors(documents, model).where(F.col("posterior") > CUTOFF).select("doc_id", "chain", "undoable", "share", "alone"), "garbled")
-    shared = documents.sparkSession.sparkContext.broadcast((model.uni.astype(np.int32), model.bi.astype(np.int32)))
+    shared = documents.sparkSession.sparkContext.broadcast((model.uni, model.bi))
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(shared.value)
@@ -492,5 +518,5 @@ def repaired_documents(documents: DataFrame) -> DataFrame:
                 [b.column("doc_id"), b.column("chain"), pa.array(fixed, pa.string()), pa.array([a != c for a, c in zip(fixed, texts)], pa.bool_())], ["doc_id", "chain", "text", "changed"]
             )
 
-    rows = documents.select("doc_id", "text").join(found, "doc_id")
+    rows = documents.select("doc_id", "text").join(found.hint("merge"), "doc_id")
     return rows.mapInArrow(mend, "doc_id long, chain string, text string, changed boolean")

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from brindle.llm import encodings as E
 
 SCHEMA = "doc_id long, text string, source string, chain string, weight string"
@@ -105,3 +107,39 @@ def test_stretches_garbled_in_several_ways_are_all_repaired(spark):
     got = {r.doc_id: r for r in E.repaired_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[8000].text == f"the run {ru} of report {fr} was kept"
     assert got[8001].text == "Pr\ufffdfung der St\ufffdrung gr\ufffdßer f\ufffdr: préférée was kept" and got[8001].changed and got[8001].chain == E.LOST
+
+
+def test_many_sources_and_the_salted_join_give_the_same_priors(spark):
+    rng = random.Random(10)
+    rows = []
+    for i, t in enumerate(corpus(rng)):
+        rows.append((i, t.encode("utf-8").decode("cp1252", "ignore") if i % 7 == 0 and t.isprintable() else t, rng.choice(["hot", None, "", f"s{i}"]), "", ""))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = E.character_model(docs)
+    one = {r.doc_id: round(r.posterior, 9) for r in E.chain_posteriors(docs, model).collect()}
+    two = {r.doc_id: round(r.posterior, 9) for r in E.chain_posteriors(docs, model, small_sources=3).collect()}
+    assert one == two and len(one) > 100
+
+
+def test_null_and_empty_sources_are_apart(spark):
+    evidence = spark.createDataFrame([(1, "", [0], [9.0]), (2, "=", [0], [9.0])], "doc_id long, source string, chain array<int>, weight array<double>")
+    sizes = spark.createDataFrame([("", 1), ("=", 100_000)], "source string, size long")
+    _, got = E._fit_priors(evidence, sizes)
+    by = {r.doc_id: r for r in got.collect()}
+    assert by[1]["size"] == 1 and by[2]["size"] == 100_000 and by[1].seen == [0] and by[1].n[0] > by[2].n[0]
+
+
+def test_counts_beyond_32_bits():
+    uni, bi = np.zeros(E.UNIGRAMS), np.zeros(E.BIGRAMS, dtype=np.float32)
+    uni[ord(" ")], uni[ord("a")] = 3e9, 2.5e9
+    bi[(ord(" ") * 1000003 + ord("a")) % E.BIGRAMS] = 2.4e9
+    assert -1 < E.CharacterModel(uni, bi).pair(" ", "a") < 0
+
+
+def test_garbled_many_times(spark):
+    rng = random.Random(12)
+    model = E.character_model(spark.createDataFrame([(i, t, "a", "", "") for i, t in enumerate(corpus(rng))], SCHEMA))
+    bad = "préférée"
+    for _ in range(5):
+        bad = bad.encode("utf-8").decode("latin-1")
+    assert E.repair_text(f"the run {bad} was kept", {}, model) == "the run préférée was kept"
