@@ -2,11 +2,11 @@
 
 Texts are cut where a rolling hash of their own characters says so, so a passage
 shared by many documents yields the same chunks in all of them. Distinct chunks
-are encoded once and joined back. A cut between a non-blank and an ASCII blank
-is a token boundary in every context, so such joins are exact as they are; at
-every other cut the ids around the join are decoded and encoded again, in a
-window that grows to such certain boundaries on both sides, where old and new
-ids must agree.
+are encoded once and joined back. Where the kind of character changes (letter,
+digit, other sign, or a blank after any of them) a token ends in every context,
+so joins there are exact as they are; at every other cut the ids around the join
+are decoded and encoded again, in a window that grows until its outer ids agree
+with those that were there.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +37,9 @@ REACH = 64
 #: The encoder merges pairs of one pre-token in quadratic time; runs longer than this go to the merge with a heap.
 LONG_RUN = 2000
 
-_ASCII_BLANK = frozenset(b"\t\n\x0b\x0c\r ")
+#: Kinds of characters. Those that are not known for certain to any version of Unicode are UNSURE.
+UNSURE, LETTER, NUMBER, SIGN, BLANK, SPACE = range(6)
+_APOSTROPHE = ord("'")
 _RUN = re.compile(r"\S{%d}|\s{%d}" % (LONG_RUN, LONG_RUN))
 
 
@@ -95,13 +98,31 @@ def _merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 @functools.cache
-def _blanks() -> tuple[np.ndarray, np.ndarray]:
-    """Per code point: whether it is an ASCII blank, whether it is any white space."""
-    space = np.zeros(0x110000, dtype=bool)
-    space[[c for c in range(0x3001) if chr(c).isspace()]] = True
-    ascii_blank = np.zeros(0x110000, dtype=bool)
-    ascii_blank[list(_ASCII_BLANK)] = True
-    return ascii_blank, space
+def _kinds() -> np.ndarray:
+    """The kind of every code point: only characters whose category is the same in the first and the present edition of the table are told apart."""
+    out = np.full(0x110000, UNSURE, dtype=np.uint8)
+    first = unicodedata.ucd_3_2_0
+    for i in range(0x10000):
+        c = chr(i)
+        now, then = unicodedata.category(c), first.category(c)
+        if now[0] == then[0] and now not in ("Cn", "Cs"):
+            out[i] = {"L": LETTER, "N": NUMBER}.get(now[0], SIGN)
+        if c.isspace():
+            out[i] = SPACE
+    out[[9, 10, 11, 12, 13, 32]] = BLANK
+    return out
+
+
+def certain_ends(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether a token ends between two neighbouring code points in every context.
+
+    A pre-token is a run of one kind, with a blank before it at most, or an
+    apostrophe with letters; so only a blank and an apostrophe stick to what follows.
+    """
+    kinds = _kinds()
+    a, b = kinds[left], kinds[right]
+    known = (a >= LETTER) & (a <= SIGN) & (b >= LETTER) & (b <= SIGN)
+    return (b == BLANK) & (a < BLANK) | known & (a != b) & (left != _APOSTROPHE)
 
 
 def cuts_of_all(texts: list[str], mean: int = MEAN_CHUNK) -> list[list[tuple[int, bool]]]:
@@ -115,7 +136,6 @@ def cuts_of_all(texts: list[str], mean: int = MEAN_CHUNK) -> list[list[tuple[int
     if n <= WINDOW:
         return [[] for _ in texts]
     c = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
-    ascii_blank, space = _blanks()
     h = np.zeros(n - WINDOW + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(WINDOW):  # the hash of the WINDOW characters before each position
@@ -125,8 +145,7 @@ def cuts_of_all(texts: list[str], mean: int = MEAN_CHUNK) -> list[list[tuple[int
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
     at = np.nonzero(h % np.uint64(mean) == 0)[0] + WINDOW
-    # Positions of an ASCII blank after a character that is no white space.
-    sure = np.nonzero(ascii_blank[c[1:]] & ~space[c[:-1]])[0] + 1
+    sure = np.nonzero(certain_ends(c[:-1], c[1:]))[0] + 1
     owner = np.searchsorted(starts, at, side="right") - 1
     # Texts of length 0 share their start with the next one; the last of them owns the position.
     inside = (at - starts[owner] >= WINDOW) & (at < starts[owner] + sizes[owner])
@@ -207,30 +226,48 @@ def repair(ids: list[int], joins: list[int], path: str = DEFAULT_VOCABULARY) ->
     byte = words.decode_single_token_bytes
 
     def certain(i: int) -> bool:
-        """Whether token i starts with an ASCII blank after a character that is none."""
-        if byte(ids[i])[0] not in _ASCII_BLANK:
-            return False
+        """Whether a token ends before token i in every context."""
+        head, k = byte(ids[i]), i + 1
+        while len(head) < 4 and k < len(ids):
+            head += byte(ids[k])
+            k += 1
         tail, k = b"", i - 1
-        while k >= 0 and len(tail) < 4:
+        while len(tail) < 4 and k >= 0:
             tail = byte(ids[k]) + tail
             k -= 1
-        if tail[-1] < 0x80:
-            return tail[-1:].strip() != b"" and not chr(tail[-1]).isspace()
-        return not tail[-4:].decode("utf-8", "ignore")[-1:].isspace()
+        if head[0] & 0xC0 == 0x80:
+            return False  # inside a character
+        a, b = tail[-4:].decode("utf-8", "ignore")[-1:], head[:4].decode("utf-8", "ignore")[:1]
+        return bool(a and b and certain_ends(np.array([ord(a)]), np.array([ord(b)]))[0])
+
+    def left(i: int, least: int) -> int:
+        i -= 1
+        while i > least and not certain(i):
+            i -= 1
+        return max(i, least)
+
+    def right(i: int) -> int:
+        i += 1
+        while i < len(ids) and not certain(i):
+            i += 1
+        return min(i, len(ids))
 
     out: list[int] = []
     done = 0
     for j in joins:
         if j < done:
             continue  # inside the window of the join before
-        low = j - 1
-        while low > done and not certain(low):
-            low -= 1
-        high = j + 1
-        while high < len(ids) and not certain(high):
-            high += 1
+        low, high = left(j, done), right(j)
+        while True:
+            # One more stretch on either side tells whether the ids around the window hold.
+            first, last = left(low, done), right(high)
+            again = encode(b"".join(map(byte, ids[first:last])).decode("utf-8"), path)
+            end = len(again) - (last - high)
+            if end >= low - first and again[: low - first] == ids[first:low] and again[end:] == ids[high:last]:
+                break
+            low, high = first, last
         out += ids[done:low]
-        out += encode(b"".join(map(byte, ids[low:high])).decode("utf-8"), path)
+        out += again[low - first : end]
         done = high
     return out + ids[done:]
 
@@ -265,7 +302,7 @@ def encode_documents(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY)
     distinct = chunks.groupBy("key").agg(F.first("chunk").alias("chunk"))
     ids_type = ArrayType(IntegerType())
     encoded = materialize(distinct.mapInArrow(_encoder(vocabulary), StructType([StructField("key", BinaryType()), StructField("ids", ids_type)])), "encoded")
-    refs = chunks.select("doc_id", "exact", "pos", "certain", "key").join(encoded, "key")
+    refs = chunks.select("doc_id", "exact", "pos", "certain", "key").join(encoded.hint("merge"), "key")
     parts = F.array_sort(F.collect_list(F.struct("pos", "certain", "ids")))
     whole = refs.where("exact").groupBy("doc_id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
     joined = refs.where("not exact").groupBy("doc_id").agg(parts.alias("parts"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from brindle.llm import tokens as T
@@ -46,6 +47,23 @@ def test_joins_are_repaired():
         assert T.repair(ids, joins) == T.encoding().encode_ordinary(text)
 
 
+def test_certain_ends_hold_in_every_context(exact):
+    rng = random.Random(7)
+    alphabet = "ab Z0\u0663\u00bd'.,-\u3002\u6f22\u5b57\u0301\u00a0\n\u200b\U0001f600\u0e01\u0e31\u00e9\u2160"
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(2, 40)))
+        c = np.array(list(map(ord, text)))
+        k = rng.choice([0, *(np.nonzero(T.certain_ends(c[:-1], c[1:]))[0] + 1)])
+        assert T.encode(text[:k]) + T.encode(text[k:]) == T.encode(text)
+
+
+def test_texts_without_blanks_are_cut_at_certain_places():
+    rng = random.Random(8)
+    text = "".join(rng.choice("\u6f22\u5b57\u6587\u7ae0\u7684\u4e86\u662f") + ("\u3002" if rng.random() < 0.05 else "") for _ in range(20_000))
+    cuts = T.cuts_of(text)
+    assert len(cuts) > 20 and sum(sure for _, sure in cuts) >= 0.9 * len(cuts)
+
+
 def test_chunks_are_shared():
     passage = " ".join(f"word{i} of the passage" for i in range(400))
 
