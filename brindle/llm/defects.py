@@ -4,7 +4,8 @@ Every defect has several labelling functions that vote 1, 0 or abstain. Votes
 are counted by pattern over all records (at most 3**k patterns, whatever the
 corpus), a two-class model with conditionally independent votes is fitted to
 those counts by expectation-maximization, and each record gets the posterior of
-its pattern. A defect is kept when its posterior exceeds its cutoff.
+its pattern. A defect is kept when its posterior exceeds its cutoff, which is
+validated on pairs labelled by hand; a record may keep several.
 """
 
 from __future__ import annotations
@@ -21,14 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from brindle.llm.chat import chat_rows, is_blank, map_rows, messages_of, reply_of, text_of
+from brindle.llm.defect_examples import LABELLED
 from brindle.llm.language import asked_languages, decide, script_of, scores_of
 from brindle.llm.residue import is_residue
 from brindle.plans.materialize import materialize
 
 DEFECTS = ("empty", "refusal", "echo", "language", "truncated")
-#: Posterior a defect must exceed; the values are checked against labelled pairs in the tests.
-CUTOFFS = {"empty": 0.5, "refusal": 0.5, "echo": 0.5, "language": 0.95, "truncated": 0.5}
-
 _YES, _NO, _SKIP = "1", "0", "-"
 
 
@@ -58,8 +57,9 @@ DANGLING = frozenset(
     "el los las y o pero porque con sin para por en es una del "
     "и или но что потому с без для на в из к".split()
 )
-_CUT_NUMBER = re.compile(r"(?<![\w.])(?<!run )(?:by|at|below|level|of|is|为|bei|sur|de|больше) ?\d+\.$|(?:为|at|by|below|level) ?0\.$")
-_CUT_PATH = re.compile(r"\b(?:figures|tables|notes|results|data)/[\w-]*\.?$")
+#: A sentence does not end in the first half of a decimal number, nor inside a path whose last part still lacks its extension.
+_CUT_NUMBER = re.compile(r"(?<![\w.,])0\.$")
+_CUT_PATH = re.compile(r"(?<![\w/.-])(?:[\w.-]+/)+(?:[\w-]*[_\d-][\w-]*)?\.?$")
 
 
 def _complete_tail(answer: str) -> bool:
@@ -170,8 +170,8 @@ _REDIRECT = re.compile(
     re.I,
 )
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
-_FACT = re.compile(r"\d|```|\b(?:figures|tables|notes|results|data)/")
-_NAME_TAIL = re.compile(r"\b[^\W\d_]+(?:_v\d+|\d)\b")
+#: What only an answer holds: a number that is no part of a name, code, a path.
+_FACT = re.compile(r"(?<!\w)\d|```|\w/\w")
 
 
 def sentences_of(text: str) -> list[str]:
@@ -186,7 +186,7 @@ def refusal_votes(answer: str) -> str:
         return _vote(opener) + _NO * 3
     parts = sentences_of(answer)
     rest = [s for s in parts if not (_declines(s) or _REDIRECT.search(s) or (_OPENER.search(s) and len(s) < 60))]
-    facts = sum(bool(_FACT.search(_NAME_TAIL.sub(" ", s))) for s in rest)
+    facts = sum(bool(_FACT.search(s)) for s in rest)
     return _vote(opener) + _YES + _vote(bool(_REDIRECT.search(answer))) + _vote(not facts and len(rest) <= 1)
 
 
@@ -257,11 +257,15 @@ def _pair(request: str | None, response: str | None) -> tuple[str, str, str | No
     return text_of(users[-1].get("content")), text_of(reply.get("content")), finish
 
 
+def _votes_of(question: str, answer: str, finish: str | None) -> tuple[str, ...]:
+    """The votes of the labelling functions, in the order of ``DEFECTS``."""
+    return empty_votes(answer), refusal_votes(answer), echo_votes(question, answer), language_votes(question, answer), truncated_votes(answer, finish)
+
+
 def _votes(request_id: int, request: str | None, response: str | None) -> Iterator[tuple]:
     pair = _pair(request, response)
     if pair is not None:
-        q, a, finish = pair
-        yield request_id, empty_votes(a), refusal_votes(a), echo_votes(q, a), language_votes(q, a), truncated_votes(a, finish)
+        yield request_id, *_votes_of(*pair)
 
 
 #: Prior beliefs about each labelling function: how often it votes 1 on defective and on sound pairs, where it votes.
@@ -274,28 +278,70 @@ BELIEFS = {
 }
 
 
+def posteriors(patterns: list[str], rate: np.ndarray, share: float) -> np.ndarray:
+    """Probability of the defect for each vote pattern; a pattern without a vote for it never rises above the share of defects."""
+    yes, cast = _cast(patterns)
+    post = _posterior(yes, cast, rate, share)
+    return np.where(yes.sum(axis=1) == 0, np.minimum(post, share), post)
+
+
+def _cast(patterns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([[v == _YES for v in p] for p in patterns], dtype=float), np.array([[v != _SKIP for v in p] for p in patterns], dtype=float)
+
+
+def _posterior(yes: np.ndarray, cast: np.ndarray, rate: np.ndarray, share: float) -> np.ndarray:
+    loglik = (yes[None] * np.log(rate)[:, None] + (cast - yes)[None] * np.log(1 - rate)[:, None]).sum(axis=2)
+    odds = loglik[1] - loglik[0] + np.log(share / (1 - share))
+    return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+
+
 def fit_label_model(patterns: list[str], counts: np.ndarray, beliefs: tuple[tuple[float, float], ...], rounds: int = 100, strength: float = 20.0) -> tuple[np.ndarray, np.ndarray, float]:
     """Posteriors of the patterns, vote rates (sound and defective x functions) and the share of defects.
 
     EM for a two-class model with conditionally independent votes; abstaining
     says nothing. Beta priors of ``strength`` pseudo-records around ``beliefs``
-    keep each function's direction, so the classes cannot swap. A pattern
-    without a vote for the defect never rises above the share of defects.
+    keep each function's direction, so the classes cannot swap; the records outweigh them.
     """
-    yes = np.array([[v == _YES for v in p] for p in patterns], dtype=float)
-    cast = np.array([[v != _SKIP for v in p] for p in patterns], dtype=float)
+    yes, cast = _cast(patterns)
     prior = np.array(beliefs).T[::-1]  # sound, defective
     rate, share = prior.copy(), 0.03
-    post = np.zeros(len(patterns))
     for _ in range(rounds):
-        loglik = (yes[None] * np.log(rate)[:, None] + (cast - yes)[None] * np.log(1 - rate)[:, None]).sum(axis=2)
-        odds = loglik[1] - loglik[0] + np.log(share / (1 - share))
-        post = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        post = _posterior(yes, cast, rate, share)
         for y, w in ((0, counts * (1 - post)), (1, counts * post)):
             rate[y] = np.clip((w @ yes + strength * prior[y]) / (w @ cast + strength), 1e-9, 1 - 1e-9)
         share = float((counts @ post + 1) / (counts.sum() + 30))
-    silent = yes.sum(axis=1) == 0
-    return np.where(silent, np.minimum(post, share), post), rate, share
+    return posteriors(patterns, rate, share), rate, share
+
+
+def validated_cutoff(post: np.ndarray, defective: np.ndarray) -> float:
+    """The cutoff that separates labelled pairs best (greatest F1); of equally good ones, the middle of the widest gap."""
+    levels = np.unique(np.r_[0.0, post, 1.0])
+    best, cutoff = (-1.0, 0.0), 0.5
+    for low, high in zip(levels, levels[1:]):
+        middle = (low + high) / 2
+        kept = post > middle
+        hit = float((kept & defective).sum())
+        f1 = 2 * hit / max(1.0, kept.sum() + defective.sum())
+        if (f1, high - low) > best:
+            best, cutoff = (f1, high - low), middle
+    return float(cutoff)
+
+
+@functools.cache
+def _example_votes() -> dict[str, list[str]]:
+    votes = [_votes_of(q, a or "", finish) for q, a, finish, _ in LABELLED]
+    return {d: [v[k] for v in votes] for k, d in enumerate(DEFECTS)}
+
+
+def fitted_patterns(seen: dict[str, dict[str, int]]) -> list[tuple[str, str, float]]:
+    """(defect, vote pattern, posterior) of the patterns above their validated cutoff; ``seen`` counts the patterns of each defect."""
+    out = []
+    for d, own in seen.items():
+        patterns = list(own)
+        post, rate, share = fit_label_model(patterns, np.array([own[p] for p in patterns], dtype=float), BELIEFS[d])
+        cutoff = validated_cutoff(posteriors(_example_votes()[d], rate, share), np.array([d in x for *_, x in LABELLED]))
+        out += [(d, p, float(v)) for p, v in zip(patterns, post) if v > cutoff]
+    return out
 
 
 def labelled_pairs(requests: DataFrame) -> DataFrame:
@@ -305,12 +351,7 @@ def labelled_pairs(requests: DataFrame) -> DataFrame:
     voted = materialize(map_rows(rows, _votes, _VOTED, batch=10_000).dropDuplicates(["request_id"]), "votes")
     long = voted.select("request_id", F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.col(d).alias("votes")) for d in DEFECTS))).alias("v")).select("request_id", "v.*")
     seen = long.groupBy("defect", "votes").count().collect()  # at most 5 * 3**6 rows
-    fitted = []
-    for d in DEFECTS:
-        own = [(r["votes"], r["count"]) for r in seen if r["defect"] == d]
-        if own:
-            post, _, _ = fit_label_model([v for v, _ in own], np.array([n for _, n in own], dtype=float), BELIEFS[d])
-            fitted += [(d, v, float(p)) for (v, _), p in zip(own, post) if p > CUTOFFS[d]]
+    fitted = fitted_patterns({d: {r["votes"]: r["count"] for r in seen if r["defect"] == d} for d in sorted({r["defect"] for r in seen})})
     schema = StructType([StructField("defect", StringType()), StructField("votes", StringType()), StructField("posterior", DoubleType())])
     return long.join(F.broadcast(spark.createDataFrame(fitted, schema)), ["defect", "votes"]).select("request_id", "defect", "posterior")
 

@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pytest
 
 from brindle.llm import defects as D
 
@@ -62,3 +63,22 @@ def test_label_model_recovers_classes():
 def test_very_long_texts():
     q, a = "word " * 100_000, "other thing. " * 50_000
     assert D.echo_votes(q, a) == "000" and D.language_votes(q, a)[0] == "-" and len(D.truncated_votes(a, None)) == 6 and D.refusal_votes(a)[1] == "0"
+
+
+def test_cutoffs_are_validated():
+    post, label = np.array([0.999, 0.9, 0.4, 0.02, 0.01]), np.array([True, True, False, False, False])
+    assert D.validated_cutoff(post, label) == pytest.approx(0.65)
+    assert D.validated_cutoff(np.array([0.9, 0.8, 0.7]), np.array([True, False, True])) < 0.7
+    for d in D.DEFECTS:
+        label = np.array([d in x for *_, x in D.LABELLED])
+        votes = D._example_votes()[d]
+        post = D.posteriors(votes, np.array(D.BELIEFS[d]).T[::-1], 0.03)
+        cutoff = D.validated_cutoff(post, label)
+        assert [v for v, y, p in zip(votes, label, post) if (p > cutoff) != y] == [], d
+
+
+def test_two_defects_of_one_record(spark):
+    both = "Wir haben die Messung mit 12 L\u00e4ufen gepr\u00fcft, weil die Sch\u00e4tzung noch zu ungenau war, und nach der Pr\u00fcfung wurde auch die"
+    df = spark.createDataFrame([*corpus(), record(700, Q, both)], SCHEMA)
+    assert {r.defect for r in D.labelled_pairs(df).where("request_id = 700").collect()} == {"language", "truncated"}
+    assert D.defective_pairs(df).where("request_id = 700").count() == 1
