@@ -8,18 +8,24 @@ from collections.abc import Iterator
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from brindle.llm.chat import chat_rows, is_blank, map_rows, messages_of, reply_of, text_of
 from brindle.plans.materialize import materialize
 
 #: A conversation is validated in stretches of so many seq numbers, so that no task holds a long one whole.
 STRETCH = 4096
-#: The automaton reads one letter a message: s(ystem), u(ser), a(ssistant), t(ool), o(ther).
-OPENING = "^su[^a]*$"
-CONTINUATION = "^su.*$"
-TURN = "^a[^a]+$"
-_LETTER = {"system": "s", "user": "u", "assistant": "a", "tool": "t"}
+#: The automaton reads one letter a message: s(ystem), u(ser), a(ssistant), o(ther, tools included). A first request ends in OPENED, a later one in TURNED.
+_LETTER = {"system": "s", "user": "u", "assistant": "a"}
+START, SYSTEM, OPENED, ANSWERED, TURNED, REJECTED = range(6)
+_NEXT = {
+    START: {"s": SYSTEM},
+    SYSTEM: {"u": OPENED},
+    OPENED: {"s": OPENED, "u": OPENED, "o": OPENED, "a": ANSWERED},
+    ANSWERED: {"s": TURNED, "u": TURNED, "o": TURNED},
+    TURNED: {"s": TURNED, "u": TURNED, "o": TURNED, "a": ANSWERED},
+    REJECTED: {},
+}
 
 _STEP = StructType(
     [
@@ -27,9 +33,12 @@ _STEP = StructType(
         StructField("episode", StringType()),
         StructField("seq", LongType()),
         StructField("key", LongType()),
-        StructField("roles", StringType()),
-        StructField("prefix", ArrayType(LongType())),
-        StructField("content", ArrayType(LongType())),
+        StructField("state", IntegerType()),
+        StructField("n", LongType()),
+        StructField("answered", LongType()),
+        StructField("before", LongType()),
+        StructField("said", LongType()),
+        StructField("held", LongType()),
         StructField("reply", LongType()),
         StructField("whole", BooleanType()),
     ]
@@ -44,40 +53,43 @@ def _step(request_id: int, episode: str | None, seq: int | None, request: str |
     messages = messages_of(request)
     if messages is None or len(messages) < 2 or seq is None:
         return
-    whole, prefix, content, roles, chain = True, [], [], [], 0
-    for m in messages:
-        chain = _signed(f"{chain}\n" + json.dumps(m, sort_keys=True, ensure_ascii=False, separators=(",", ":")))
-        prefix.append(chain)
-        letter = _LETTER.get(m.get("role"), "o") if isinstance(m.get("role"), str) else "o"
-        roles.append(letter)
+    whole, state, chain, key, answered, before, said = True, START, 0, 0, -1, 0, 0
+    for i, m in enumerate(messages):
+        role = m.get("role")
+        letter = _LETTER.get(role, "o") if isinstance(role, str) else "o"
+        state = _NEXT[state].get(letter, REJECTED)
         text = text_of(m.get("content"))
-        content.append(_signed(text) if letter == "a" else 0)
+        if letter == "a":
+            answered, before, said = i, chain, _signed(text)
+        chain = _signed(f"{chain}\n" + json.dumps(m, sort_keys=True, ensure_ascii=False, separators=(",", ":")))
+        if i == 1:
+            key = chain
         whole &= bool(m.get("tool_calls")) or not is_blank(text)
     reply, _, _ = reply_of(response)
     answer = text_of(reply.get("content")) if reply else ""
     whole &= reply is not None and (bool(reply.get("tool_calls")) or not is_blank(answer))
-    yield request_id, episode, seq, prefix[1], "".join(roles), prefix, content, _signed(answer), whole
+    yield request_id, episode, seq, key, state, len(messages), answered, before, said, chain, _signed(answer), whole
 
 
 def conversation_steps(requests: DataFrame) -> DataFrame:
-    """One row per answered chat request with at least two messages: key, role letters and hashes, no texts.
+    """One row of fixed size per answered chat request with at least two messages, however long its history is.
 
-    ``prefix[i]`` hashes messages 0..i in canonical JSON, so "holds all messages
-    of the one before, unchanged" is one comparison; ``key`` hashes the first two.
+    ``held`` hashes all messages in canonical JSON and ``key`` the first two;
+    ``answered`` is the position of the last assistant message, ``before`` the
+    hash of what precedes it and ``said`` that of its content. So "holds all
+    messages of the one before, unchanged, then its reply" compares numbers.
     """
     rows = chat_rows(requests, ["request_id", "episode", "seq", "request", "response"], only_ok=True)
     return map_rows(rows, _step, _STEP).dropDuplicates(["request_id"])
 
 
-def _follows(before: str, now: str) -> F.Column:
-    """Whether the transition from the step ``before`` to the step ``now`` is allowed."""
-    n = F.size(F.col(f"{before}.prefix"))
-    turn = F.substring(F.col(f"{now}.roles"), n + 1, F.length(f"{now}.roles"))
+def _follows(earlier: str, now: str) -> F.Column:
+    """Whether the transition from the step ``earlier`` to the step ``now`` is allowed: the same history, its reply, and at least one message more."""
     return (
-        F.col(f"{now}.roles").rlike(CONTINUATION)
-        & turn.rlike(TURN)
-        & (F.try_element_at(F.col(f"{now}.prefix"), n) == F.element_at(F.col(f"{before}.prefix"), -1))
-        & (F.try_element_at(F.col(f"{now}.content"), n + 1) == F.col(f"{before}.reply"))
+        (F.col(f"{now}.state") == TURNED)
+        & (F.col(f"{now}.answered") == F.col(f"{earlier}.n"))
+        & (F.col(f"{now}.before") == F.col(f"{earlier}.held"))
+        & (F.col(f"{now}.said") == F.col(f"{earlier}.reply"))
     )
 
 
@@ -99,21 +111,21 @@ def _accepted(rows: DataFrame) -> DataFrame:
     """(episode, key, first_id, last_id, n_messages) of the conversations of these steps that are sound."""
     steps = rows.withColumn("stretch", F.floor(F.col("seq") / STRETCH))
     keys = ["episode", "key"]
-    now = F.struct("roles", "prefix", "content", "reply").alias("now")
+    now = F.struct("state", "n", "answered", "before", "said", "held", "reply").alias("now")
     inside = Window.partitionBy(*keys, "stretch").orderBy("seq", "request_id")
-    lagged = steps.select(*keys, "stretch", "seq", "request_id", "whole", now).withColumn("before", F.lag("now").over(inside))
-    accepted = F.coalesce(F.col("whole") & F.when(F.col("before").isNull(), F.lit(True)).otherwise(_follows("before", "now")), F.lit(False))
+    lagged = steps.select(*keys, "stretch", "seq", "request_id", "whole", now).withColumn("earlier", F.lag("now").over(inside))
+    accepted = F.coalesce(F.col("whole") & F.when(F.col("earlier").isNull(), F.lit(True)).otherwise(_follows("earlier", "now")), F.lit(False))
     stretches = lagged.withColumn("ok", accepted).groupBy(*keys, "stretch").agg(
         F.bool_and("ok").alias("ok"),
         F.min_by(F.struct("request_id", "now"), F.struct("seq", "request_id")).alias("head"),
         F.max_by(F.struct("request_id", "now"), F.struct("seq", "request_id")).alias("tail"),
     )
     along = Window.partitionBy(*keys).orderBy("stretch")
-    joined = stretches.withColumn("before", F.lag("tail").over(along)).select(
+    joined = stretches.withColumn("earlier", F.lag("tail").over(along)).select(
         *keys, "stretch", "ok", F.col("head.request_id").alias("first_id"), F.col("tail.request_id").alias("last_id"),
-        F.col("head.now").alias("now"), F.col("before.now").alias("before"), F.size("tail.now.prefix").alias("n"),
+        F.col("head.now").alias("now"), F.col("earlier.now").alias("earlier"), F.col("tail.now.n").alias("n"),
     )
-    seam = F.when(F.col("before").isNull(), F.col("now.roles").rlike(OPENING)).otherwise(_follows("before", "now"))
+    seam = F.when(F.col("earlier").isNull(), F.col("now.state") == OPENED).otherwise(_follows("earlier", "now"))
     return (
         joined.withColumn("ok", F.coalesce(F.col("ok") & seam, F.lit(False)))
         .groupBy(*keys)
@@ -156,10 +168,10 @@ def conversation_messages(requests: DataFrame) -> DataFrame:
     it; in a sound conversation these pieces make up the whole, and every text
     is shuffled once.
     """
-    steps = materialize(conversation_steps(requests), "steps")
+    steps = materialize(conversation_steps(requests), "steps")  # numbers only
     sound = _accepted(steps).select("episode", "key", "first_id")
-    joined = steps.select("episode", "key", "request_id").join(sound, steps["episode"].eqNullSafe(sound["episode"]) & (steps["key"] == sound["key"]))
+    joined = steps.select("episode", "key", "request_id").join(sound.hint("merge"), steps["episode"].eqNullSafe(sound["episode"]) & (steps["key"] == sound["key"]))
     members = joined.select("request_id", "first_id")
     rows = chat_rows(requests, ["request_id", "request", "response"], only_ok=True)
-    turns = map_rows(rows, _new_turns, _TURNS, batch=10_000).join(members, "request_id").dropDuplicates(["request_id", "position"])
+    turns = map_rows(rows, _new_turns, _TURNS, batch=10_000).join(members.hint("merge"), "request_id").dropDuplicates(["request_id", "position"])
     return turns.select("first_id", "position", "role", "text", "n_tool_calls")
