@@ -333,5 +333,5 @@ def residue_records(requests: DataFrame, run_status: DataFrame) -> DataFrame:
     return (
         scored.where("found")
         .select(F.lit("api_requests").alias("origin"), F.col("request_id").alias("record_id"))
-        .unionByName(runs.join(last, "episode", "left_semi").select(F.lit("run_status").alias("origin"), F.col("status_id").alias("record_id")))
+        .unionByName(runs.join(last.hint("merge"), "episode", "left_semi").select(F.lit("run_status").alias("origin"), F.col("status_id").alias("record_id")))
     )
