@@ -108,7 +108,7 @@ def condition_tasks(spark: SparkSession, d: str) -> DataFrame:
 _WINDOW, _OVERLAP = 2400, 400
 
 
-@_query(f"""
+_PACK = f"""
 WITH RECURSIVE uniq AS MATERIALIZED (SELECT DISTINCT ON (block_id) block_id, episode, thread, segment::BIGINT AS segment, block_no::BIGINT AS block_no, coalesce(is_query, FALSE) AS q,
     coalesce(len(ids), 0)::BIGINT AS n, CASE WHEN len(mask) = coalesce(len(ids), 0) THEN coalesce(list_sum(mask), 0) ELSE 0 END::BIGINT AS loss FROM blocks
     WHERE block_id IS NOT NULL AND episode IS NOT NULL AND thread IS NOT NULL AND segment IS NOT NULL AND block_no IS NOT NULL),
@@ -131,15 +131,54 @@ chain AS (
   UNION ALL
   SELECT * FROM (SELECT p.episode, p.thread, p.segment, p.window_no + 1, (SELECT min(y.idx) FROM cand y WHERE y.episode = p.episode AND y.thread = p.thread AND y.segment = p.segment AND y.idx > k.last) AS idx
     FROM chain p JOIN cand k ON k.episode = p.episode AND k.thread = p.thread AND k.segment = p.segment AND k.idx = p.idx) WHERE idx IS NOT NULL)
-SELECT p.episode, p.thread, p.segment, p.window_no, k.block_no AS first_block, e.block_no + 1 AS end_block, k.n_context::BIGINT AS n_context, k.has_query,
+"""
+_PACKED = """FROM chain p JOIN cand k ON k.episode = p.episode AND k.thread = p.thread AND k.segment = p.segment AND k.idx = p.idx
+JOIN body e ON e.episode = k.episode AND e.thread = k.thread AND e.idx = k.last"""
+
+
+@_query(_PACK + f"""SELECT p.episode, p.thread, p.segment, p.window_no, k.block_no AS first_block, e.block_no + 1 AS end_block, k.n_context::BIGINT AS n_context, k.has_query,
   ({_WINDOW} - k.room + k.used + e.c - (k.c - k.n))::BIGINT AS n_tokens,
   (SELECT sum(x.loss) FROM body x WHERE x.episode = k.episode AND x.thread = k.thread AND x.idx BETWEEN k.idx AND k.last)::BIGINT AS n_loss_tokens
-FROM chain p JOIN cand k ON k.episode = p.episode AND k.thread = p.thread AND k.segment = p.segment AND k.idx = p.idx
-JOIN body e ON e.episode = k.episode AND e.thread = k.thread AND e.idx = k.last""")
+{_PACKED}""")
 def sft_window_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_windows(T(spark, d, "blocks"), _WINDOW, _OVERLAP)
 
 
+@_query(
+    _PACK
+    + f""", full_ AS MATERIALIZED (SELECT DISTINCT ON (block_id) block_id, episode, thread, block_no, coalesce(ids, []::INTEGER[]) AS ids, CASE WHEN len(mask) = len(coalesce(ids, []::INTEGER[])) THEN mask END AS mask FROM blocks
+  WHERE block_id IS NOT NULL AND episode IS NOT NULL AND thread IS NOT NULL AND segment IS NOT NULL AND block_no IS NOT NULL),
+w AS MATERIALIZED (SELECT p.episode, p.thread, p.segment, p.window_no, k.idx, k.last, {_WINDOW} - k.room AS header_tokens,
+  CASE WHEN u0 + k.n <= k.room THEN (CASE WHEN ahead AND qi < k.idx - nc THEN [qi] ELSE []::BIGINT[] END) || range(k.idx - nc, k.idx) WHEN ahead AND qn + k.n <= k.room THEN [qi] ELSE []::BIGINT[] END AS ctx {_PACKED}),
+part AS MATERIALIZED (SELECT episode, thread, segment, window_no, pos, FALSE AS own, pos AS block_no FROM w, (SELECT unnest([0, 1]) AS pos)
+  UNION ALL SELECT z.episode, z.thread, z.segment, z.window_no, 2 + z.k, FALSE, b.block_no FROM (SELECT *, unnest(ctx) AS idx_, unnest(range(len(ctx))) AS k FROM w) z JOIN body b ON b.episode = z.episode AND b.thread = z.thread AND b.idx = z.idx_
+  UNION ALL SELECT w.episode, w.thread, w.segment, w.window_no, 1000000 + b.idx, TRUE, b.block_no FROM w JOIN body b ON b.episode = w.episode AND b.thread = w.thread AND b.idx BETWEEN w.idx AND w.last),
+piece AS MATERIALIZED (SELECT part.*, f.ids, list_transform(range(1, len(f.ids) + 1), lambda i: CASE WHEN own AND f.mask[i] <> 0 THEN f.ids[i] ELSE -100 END) AS labels, b.loss FROM part
+  JOIN full_ f ON f.episode = part.episode AND f.thread = part.thread AND f.block_no = part.block_no LEFT JOIN body b ON b.episode = part.episode AND b.thread = part.thread AND b.block_no = part.block_no)
+SELECT episode, thread, segment, window_no, md5(array_to_string(flatten(list(ids ORDER BY pos)), ',')) AS input_ids, md5(array_to_string(flatten(list(labels ORDER BY pos)), ',')) AS labels, sum(len(ids))::BIGINT AS n_tokens,
+  coalesce(string_agg(block_no::VARCHAR, ',' ORDER BY pos) FILTER (WHERE NOT own AND pos > 1), '') AS ctx_blocks, string_agg(block_no::VARCHAR, ',' ORDER BY pos) FILTER (WHERE own AND loss > 0) AS loss_blocks, sum(len(ids)) FILTER (WHERE pos < 2)::BIGINT AS header_tokens
+FROM piece GROUP BY episode, thread, segment, window_no"""
+)
+def window_tokens(spark: SparkSession, d: str) -> DataFrame:
+    windows, _ = packing.rendered(T(spark, d, "blocks"), _WINDOW, _OVERLAP)
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return windows.select("episode", "thread", "segment", "window_no", F.md5(joined("input_ids")).alias("input_ids"), F.md5(joined("labels")).alias("labels"), "n_tokens", joined("ctx_blocks").alias("ctx_blocks"), joined("loss_blocks").alias("loss_blocks"), "header_tokens")
+
+
+@_query(
+    _PACK
+    + f""", w AS MATERIALIZED (SELECT p.episode, p.thread, ({_WINDOW} - k.room + k.used + e.c - (k.c - k.n))::BIGINT AS n_tokens,
+  (SELECT sum(x.loss) FROM body x WHERE x.episode = k.episode AND x.thread = k.thread AND x.idx BETWEEN k.idx AND k.last)::BIGINT AS n_loss {_PACKED}),
+head AS MATERIALIZED (SELECT episode, thread, count(*) FILTER (WHERE block_no < 2) AS h, coalesce(sum(n) FILTER (WHERE block_no < 2), 0) AS t, count(*) FILTER (WHERE block_no >= 2) AS b FROM uniq GROUP BY episode, thread),
+row_ AS (SELECT episode, thread, 'window' AS kind, n_tokens, n_loss FROM w UNION ALL SELECT episode, thread, 'skipped', n, loss FROM body WHERE loss > 0 AND n > room
+  UNION ALL SELECT episode, thread, 'error', t, 0 FROM head WHERE h <> 2 OR t > 0.9 * {_WINDOW})
+SELECT episode, count(DISTINCT episode || chr(0) || thread)::BIGINT AS threads, count(*) FILTER (WHERE kind = 'window')::BIGINT AS windows, coalesce(sum(n_tokens) FILTER (WHERE kind = 'window'), 0)::BIGINT AS total_tokens,
+  coalesce(sum(n_loss) FILTER (WHERE kind = 'window'), 0)::BIGINT AS loss_tokens, count(*) FILTER (WHERE kind = 'skipped')::BIGINT AS skipped_blocks, count(*) FILTER (WHERE kind = 'error')::BIGINT AS errors FROM row_ GROUP BY GROUPING SETS ((episode), ())"""
+)
+def window_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return packing.render_statistics(packing.plan_windows(T(spark, d, "blocks"), _WINDOW, _OVERLAP))
+
+
 @_query("""SELECT DISTINCT ON (block_id) block_id, least(64, len(ids))::BIGINT AS n_kept, ids[greatest(len(ids) - 63, 1)] AS first_id,
   len(list_filter((mask[greatest(len(ids) - 63, 1):])[2:], lambda x: x = 1)) > 0 AS trainable FROM blocks WHERE block_id IS NOT NULL AND len(ids) > 0 AND len(ids) = len(mask)""")
 def tail_crop(spark: SparkSession, d: str) -> DataFrame:

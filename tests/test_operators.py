@@ -119,6 +119,24 @@ def test_windows_dirt(spark):
     df = spark.createDataFrame(good + headless, schema)
     assert [(r.first_block, r.end_block, r.n_loss_tokens) for r in packing.pack_windows(df, 10, 3).collect()] == [(2, 3, 2)]
     assert packing.pack_windows(df.limit(0), 10, 3).count() == 0
+    plan = packing.plan_windows(df, 10, 3)
+    assert [(r.thread, r.n_tokens) for r in plan.where("kind = 'error'").collect()] == [("u", 0)]
+    assert packing.plan_windows(df, 2, 1).where("kind = 'error'").count() == 2  # the header alone is too long
+    assert [(r.first_block, r.n_tokens) for r in packing.plan_windows(df, 3, 1).where("kind = 'skipped'").collect()] == [(2, 2)]
+    got = packing.render_windows(df, plan).collect()
+    assert [(r.input_ids, r.labels, r.ctx_blocks, r.loss_blocks) for r in got] == [([1, 1, 1, 2], [-100, -100, 1, 2], [], [2])]
+    totals = {r.episode: r for r in packing.render_statistics(plan).collect()}
+    assert (totals["e"].windows, totals["e"].errors, totals[None].loss_tokens, totals[None].threads) == (1, 1, 2, 2)
+
+
+def test_every_loss_token_is_learned_once(spark):
+    kinds = [([1, 2], 0), ([3, 4], 0), ([10, 11, 12], 1), ([20, 21], 0), ([30, 31, 32], 1)]
+    rows = [(k, "e", "t", 0, k, False, ids, [m] * len(ids)) for k, (ids, m) in enumerate(kinds)]
+    df = spark.createDataFrame(rows, "block_id long, episode string, thread string, segment int, block_no int, is_query boolean, ids array<int>, mask array<int>")
+    windows, _ = packing.rendered(df, 10, 3)
+    got = windows.orderBy("window_no").collect()
+    assert len(got) == 2 and [x for r in got for x in r.labels if x != packing.IGNORE] == [10, 11, 12, 30, 31, 32]
+    assert all(len(r.input_ids) == r.n_tokens <= 10 and len(r.labels) == r.n_tokens for r in got) and got[1].ctx_blocks == [3]
 
 
 @pytest.mark.parametrize("baseline,rounds,want", [
