@@ -52,6 +52,7 @@ MULTI = ("utf-8", "gb18030", "cp932", "euc_jp", "big5", "euc_kr")
 READ_AS = (*SINGLE, "gb18030", "big5", "cp932", "euc_kr")
 LOST = "lost"
 CHAINS = [(w, t) for w in READ_AS for t in (*MULTI, *SINGLE) if w != t]
+_WAYS = {w: [(i, t) for i, (x, t) in enumerate(CHAINS) if x == w] for w in READ_AS}
 
 _TOKEN = re.compile(r"[A-Za-z'\u0080-\U0010ffff]*[\u0080-\U0010ffff][A-Za-z'\u0080-\U0010ffff]*")
 _C1 = re.compile("[\u0080-\u0084\u0086-\u009f]")
@@ -167,6 +168,17 @@ class CharacterModel:
             last = c
         return total
 
+    def score_above(self, text: str, floor: float) -> float:
+        """The score, or minus infinity as soon as it can only end below ``floor``: no character adds to it."""
+        get, last, total = self._log.get, " ", 0.0
+        for c in text + " ":
+            got = get((last, c))
+            total += self.pair(last, c) if got is None else got
+            if total <= floor:
+                return -math.inf
+            last = c
+        return total
+
     def undo(self, token: str) -> list[tuple[int, float, str]]:
         """(chain index, log-likelihood ratio against "not garbled", undone token) of the chains that improve the token."""
         got = self._token.get(token)
@@ -180,25 +192,24 @@ class CharacterModel:
     def _undo(self, token: str) -> list[tuple[int, float, str]]:
         own = self.score(token)
         out: list[tuple[int, float, str]] = []
-        data, last = None, None
         seen: dict[str, float] = {token: own}
-        for i, (w, t) in enumerate(CHAINS):
-            if w != last:
-                data, last = _encode(token, w), w
+        for w, ways in _WAYS.items():
+            data = _encode(token, w)
             if data is None:
                 continue
-            text = _decode(data, t)
-            if text is None or t != "utf-8" and not self.known.issuperset(text):
-                continue
-            value = seen.get(text)
-            if value is None:
-                value = seen[text] = self.score(text)
-            value -= 2.0 * max(0, len(text) - len(token))
-            if t == "utf-8":
-                value += SEQUENCE * (len(data) - len(text) if w in SINGLE else 1)
-                text, value = self._again(text, value, w, seen)
-            if value > own:
-                out.append((i, min(STRETCH_BOUND if t == "utf-8" else _bound(token, text), value - own), text))
+            for i, t in ways:
+                text = _decode(data, t)
+                if text is None or t != "utf-8" and not self.known.issuperset(text):
+                    continue
+                value = seen.get(text)
+                if value is None or value == -math.inf and t == "utf-8":
+                    value = seen[text] = self.score(text) if t == "utf-8" else self.score_above(text, own)
+                value -= 2.0 * max(0, len(text) - len(token))
+                if t == "utf-8":
+                    value += SEQUENCE * (len(data) - len(text) if w in SINGLE else 1)
+                    text, value = self._again(text, value, w, seen)
+                if value > own:
+                    out.append((i, min(STRETCH_BOUND if t == "utf-8" else _bound(token, text), value - own), text))
         if "\ufffd" in token:
             out.append((len(CHAINS), STRETCH_BOUND, token))
         elif not out and _C1.search(token):
@@ -237,7 +248,7 @@ class CharacterModel:
                 more = _decode(data, "utf-8") if data is not None else None
                 if more is not None and "\ufffd" not in more and len(more) < len(text):
                     known = seen.get(more)
-                    if known is None:
+                    if known is None or known == -math.inf:
                         known = seen[more] = self.score(more)
                     total = value - seen[text] + known + SEQUENCE * (len(data) - len(more))
                     if total > value:
@@ -346,12 +357,35 @@ _EVIDENCE = StructType(
 )
 
 
-def _posterior(chains: np.ndarray, weight: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """Posteriors of the given chains; what is missing to 1 is "not garbled" (last entry of prior)."""
-    z = np.log(prior[chains]) + weight
-    top = max(0.0, z.max() if len(z) else 0.0, math.log(prior[-1]))
-    e = np.exp(z - top)
-    return e / (e.sum() + math.exp(math.log(prior[-1]) - top))
+class _Odds:
+    """The chains of a batch of documents, one after the other, with their log odds against "not garbled" under the priors of their sources."""
+
+    def __init__(self, b: pa.RecordBatch, pooled: np.ndarray) -> None:
+        chains = b.column("chain")
+        counts = np.diff(chains.offsets.to_numpy())
+        self.starts = np.cumsum(counts) - counts
+        self.row = np.repeat(np.arange(b.num_rows), counts)
+        self.chain = chains.flatten().to_numpy()
+        names = b.column("source").dictionary_encode()
+        self.names, self.source = names.dictionary.to_pylist(), names.indices.to_numpy()
+        first = np.unique(self.source, return_index=True)[1]
+        prior = np.tile(STRENGTH * pooled, (len(first), 1))
+        for k, (size, seen, n) in enumerate(zip(*(b.column(c).take(pa.array(first)).to_pylist() for c in ("size", "seen", "n")))):
+            prior[k, seen] += n
+            prior[k, -1] += max(0.0, size - sum(n))
+        own = self.source[self.row]
+        self.odds = np.log(prior[own, self.chain]) - np.log(prior[own, -1]) + b.column("weight").flatten().to_numpy()
+
+    def posterior(self, taken: np.ndarray | None = None) -> np.ndarray:
+        """Of each chain, against the others (of those ``taken``) of its document and "not garbled"."""
+        odds = self.odds if taken is None else np.where(taken, self.odds, -np.inf)
+        top = np.maximum(0.0, np.maximum.reduceat(odds, self.starts)) if len(odds) else odds
+        e = np.exp(odds - top[self.row])
+        return e / (np.add.reduceat(e, self.starts) + np.exp(-top))[self.row] if len(odds) else e
+
+    def alone(self) -> np.ndarray:
+        """Of each chain, against "not garbled" only."""
+        return 1 / (1 + np.exp(-np.clip(self.odds, -700, 700)))
 
 
 def chain_posteriors(documents: DataFrame, model: CharacterModel | None = None, small_sources: int = SMALL_SOURCES) -> DataFrame:
@@ -381,42 +415,28 @@ def chain_posteriors(documents: DataFrame, model: CharacterModel | None = None,
 
     evidence = materialize(odd.mapInArrow(weigh, _EVIDENCE), "chains")
     pooled, weighed = _fit_priors(evidence, rows.groupBy("source").agg(F.count("*").alias("size")), small_sources)
-    prior_of = _prior_reader(spark, pooled)
+    shared_shares = spark.sparkContext.broadcast(pooled)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f"{w}<{t}" for w, t in CHAINS] + [LOST]
+        names = np.array([f"{w}<{t}" for w, t in CHAINS] + [LOST])
         for b in batches:
-            post, best, undoable, share, alone = [], [], [], [], []
-            for chain, weight, size, seen, n in zip(*(b.column(c).to_pylist() for c in ("chain", "weight", "size", "seen", "n"))):
-                prior, at, z = prior_of(size, seen, n), np.array(chain), np.array(weight)
-                p = _posterior(at, z, prior)
-                post.append(float(p.sum()))
-                best.append(names[chain[int(p.argmax())]])
-                kept = at < len(CHAINS)
-                undoable.append(at[kept].tolist())
-                share.append(_posterior(at[kept], z[kept], prior).tolist())
-                alone.append([float(_posterior(at[k : k + 1], z[k : k + 1], prior)[0]) for k in np.nonzero(kept)[0]])
+            if not b.num_rows:
+                continue
+            o = _Odds(b, shared_shares.value)
+            p = o.posterior()
+            kept = o.chain < len(CHAINS)
+            ends = pa.array(np.r_[0, np.cumsum(np.bincount(o.row[kept], minlength=b.num_rows))].astype(np.int32))
+            top = np.maximum.reduceat(p, o.starts)
+            at = np.flatnonzero(p == top[o.row])
+            best = at[np.unique(o.row[at], return_index=True)[1]]
+            lists = (o.chain[kept].astype(np.int32), o.posterior(kept)[kept], o.alone()[kept])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(post, pa.float64()), pa.array(best, pa.string()), pa.array(undoable, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float64())), pa.array(alone, pa.list_(pa.float64()))],
-                ["doc_id", "posterior", "chain", "undoable", "share", "alone"],
+                [b.column("doc_id"), pa.array(np.add.reduceat(p, o.starts)), pa.array(names[o.chain[best]].tolist()), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in lists)], ["doc_id", "posterior", "chain", "undoable", "share", "alone"]
             )
 
     return weighed.mapInArrow(decide, "doc_id long, posterior double, chain string, undoable array<int>, share array<double>, alone array<double>")
 
 
-def _prior_reader(spark: SparkSession, pooled: np.ndarray) -> Callable[[float, list[int], list[float]], np.ndarray]:
-    """From a source's number of documents and its expected numbers by chain to its prior: the pooled shares count like STRENGTH documents."""
-    shared = spark.sparkContext.broadcast(pooled)
-
-    def prior(size: float, seen: list[int], n: list[float]) -> np.ndarray:
-        out = STRENGTH * shared.value
-        out[seen] += n
-        out[-1] += max(0.0, size - sum(n))
-        return out / out.sum()
-
-    return prior
-
-
 def _with_priors(evidence: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
     """The evidence with size, seen and n of its source; a source may hold any share of the rows."""
     if small:
@@ -441,16 +461,15 @@ def _fit_priors(evidence: DataFrame, sizes: DataFrame, small_sources: int = SMAL
     empty = (F.array().cast("array<int>").alias("seen"), F.array().cast("array<double>").alias("n"))
     pooled, state, before = base, sizes.select("source", F.lit(0).cast("long").alias("size"), *empty), None
     for _ in range(ROUNDS):
-        prior_of = _prior_reader(spark, pooled)
+        shared = spark.sparkContext.broadcast(pooled)
 
-        def expect(batches: Iterator[pa.RecordBatch], prior_of=prior_of) -> Iterator[pa.RecordBatch]:
-            sums: dict[tuple[str, int], float] = {}
+        def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for source, chain, weight, size, seen, n in zip(*(b.column(c).to_pylist() for c in ("source", "chain", "weight", "size", "seen", "n"))):
-                    for c, v in zip(chain, _posterior(np.array(chain), np.array(weight), prior_of(size, seen, n))):
-                        sums[source, c] = sums.get((source, c), 0.0) + float(v)
-            out = [(s, c, v) for (s, c), v in sums.items() if v > 1e-6]
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in ((0, pa.string()), (1, pa.int32()), (2, pa.float64()))], ["source", "chain", "n"])
+                if b.num_rows:
+                    o = _Odds(b, shared.value)
+                    n = np.bincount(o.source[o.row] * k + o.chain, o.posterior(), len(o.names) * k)
+                    at = np.flatnonzero(n > 1e-9)
+                    yield pa.RecordBatch.from_arrays([pa.array([o.names[i] for i in (at // k).tolist()], pa.string()), pa.array((at % k).astype(np.int32)), pa.array(n[at])], ["source", "chain", "n"])
 
         joined = _with_priors(evidence.select("doc_id", "source", "chain", "weight"), state, small)
         got = joined.mapInArrow(expect, "source string, chain int, n double").groupBy("source", "chain").agg(F.sum("n").alias("n"))
