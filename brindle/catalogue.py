@@ -617,22 +617,30 @@ def any_or_last_success(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sse_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as event streams: pieces of 40 characters, one bad chunk after the first, an end mark."""
-    docs = T(spark, d, "documents").where(F.length("text") > 0).select(F.col("doc_id").alias("stream_id"), "text")
+    """Documents as event streams: pieces of 40 characters, one bad chunk after the first, a reasoning, a call in two pieces, an end mark."""
+    docs = T(spark, d, "documents").where(F.length("text") > 0).select(F.col("doc_id").alias("stream_id"), "text", "source")
     pieces = docs.select("stream_id", F.posexplode(F.sequence(F.lit(1), F.length("text"), F.lit(40))).alias("k", "at"), "text")
     delta = F.struct(F.substr(F.col("text"), F.col("at"), F.lit(40)).alias("content"))
     body = F.to_json(F.struct(F.concat(F.lit("s"), F.col("stream_id").cast("string")).alias("id"), F.array(F.struct(F.lit(0).alias("index"), delta.alias("delta"))).alias("choices")))
     chunks = pieces.select("stream_id", (F.col("k") * 2).cast("long").alias("ord"), F.concat(F.lit("data: "), body).alias("line"))
-    bad = docs.select("stream_id", F.lit(1).cast("long").alias("ord"), F.lit('data: {"choices": [').alias("line"))
-    stop = F.lit('data: {"choices": [{"index": 0, "delta": {}, "finish_reason": "stop"}]}')
-    ends = docs.select("stream_id", F.lit(1 << 40).cast("long").alias("ord"), stop.alias("line")).unionByName(docs.select("stream_id", F.lit((1 << 40) + 1).cast("long").alias("ord"), F.lit("data: [DONE]").alias("line")))
-    return chunks.unionByName(bad).unionByName(ends)
-
-
-@_query("SELECT doc_id AS stream_id, md5(text) AS h, (ceil(length(text) / 40.0) + 1)::BIGINT AS n_chunks, 1::BIGINT AS n_bad, 'stop' AS finish_reason, 's' || doc_id AS id FROM documents WHERE length(text) > 0")
+    call = lambda args, **more: F.to_json(F.struct(F.array(F.struct(F.struct(*(v.alias(k) for k, v in more.items()), F.array(F.struct(*((F.concat(F.lit("c"), F.col("stream_id").cast("string")).alias("id"),) if more else ()), F.struct(*((F.lit("save").alias("name"),) if more else ()), args.alias("arguments")).alias("function"))).alias("tool_calls")).alias("delta"))).alias("choices")))
+    late = F.array(
+        F.struct(F.lit(1).alias("ord"), F.lit('data: {"choices": [').alias("line")),
+        F.struct(F.lit(0).alias("ord"), F.concat(F.lit("data: "), call(F.lit('{"doc": '), reasoning=F.coalesce("source", F.lit("")))).alias("line")),
+        F.struct(F.lit(1).alias("ord"), F.concat(F.lit("data: "), call(F.concat(F.col("stream_id").cast("string"), F.lit("}")))).alias("line")),
+        F.struct(F.lit(2).alias("ord"), F.lit('data: {"choices": [{"index": 0, "delta": {}, "finish_reason": "stop", "stop_reason": 7}], "usage": {"prompt_tokens": 5}}').alias("line")),
+        F.struct(F.lit(3).alias("ord"), F.lit("data: [DONE]").alias("line")),
+    )
+    rest = docs.select("stream_id", F.posexplode(late).alias("k", "x")).select("stream_id", (F.when(F.col("k") > 0, F.lit(1 << 40)).otherwise(F.lit(0).cast("long")) + F.col("x.ord")).alias("ord"), "x.line")
+    return chunks.unionByName(rest)
+
+
+@_query("""SELECT doc_id AS stream_id, md5(text) AS h, (ceil(length(text) / 40.0) + 3)::BIGINT AS n_chunks, 1::BIGINT AS n_bad, 'stop' AS finish_reason, '7' AS stop_reason, 's' || doc_id AS id, nullif(source, '') AS reasoning,
+  'c' || doc_id || '|function|save|{"doc": ' || doc_id || '}' AS call, 5::BIGINT AS prompt_tokens FROM documents WHERE length(text) > 0""")
 def sse_reassemble(spark: SparkSession, d: str) -> DataFrame:
     got = traces.assemble_streams(sse_lines(spark, d))
-    return got.select("stream_id", F.md5("content").alias("h"), "n_chunks", "n_bad", "finish_reason", "id")
+    call = F.concat_ws("|", *(F.get("tool_calls", F.lit(0))[c] for c in ("id", "type", "name", "arguments")))
+    return got.select("stream_id", F.md5("content").alias("h"), "n_chunks", "n_bad", "finish_reason", "stop_reason", "id", "reasoning", call.alias("call"), "usage.prompt_tokens")
 
 
 @_query("SELECT task, (3100000 + 1000 * (row_number() OVER (ORDER BY task) - 1))::BIGINT AS seed FROM (SELECT DISTINCT task FROM episodes WHERE task IS NOT NULL)")

@@ -223,8 +223,12 @@ def test_stream_reassembly(spark):
     got = {r["index"]: r for r in traces.assemble_streams(df.repartition(3)).collect()}
     assert got[0].content == "Hello" and got[0].finish_reason == "stop" and got[0].role == "assistant" and got[0].tool_calls is None
     assert got[1].content == "B" and [(c["name"], c["arguments"]) for c in got[1].tool_calls] == [("f", "{}"), ("g", "[]")]
+    assert [(c["id"], c["type"]) for c in got[1].tool_calls] == [("c0", "function"), ("c1", "function")] and got[0].reasoning is None and got[0].stop_reason is None
     assert got[0].n_bad == 1 and got[0].n_chunks == 6 and got[0].id == "i" and got[0].usage.prompt_tokens == 3
     assert traces.assemble_streams(df.limit(0)).count() == 0
+    more = ['data: {"choices": [{"delta": {"reasoning": "why ", "content": ""}}]}', 'data: {"choices": [{"delta": {"reasoning_content": "not"}, "stop_reason": ""}], "usage": {}}', 'data: {"choices": null}\r', "data: 5"]
+    only = traces.assemble_streams(spark.createDataFrame([(1, k, x) for k, x in enumerate(more)], "stream_id long, ord long, line string")).first()
+    assert (only.content, only.reasoning, only.stop_reason, only.usage, only.role, only.n_chunks) == (None, "why not", "", None, "assistant", 3)
 
 
 LINE = StructType([StructField("k", LongType()), StructField("v", StringType())])
