@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import chat_json as J
 from brindle.functions import text as X
-from brindle.operators import checks, evidence, history, matches, packing, replies, report, selection, threads, traces, training, validation
+from brindle.operators import checks, evidence, history, matches, packing, prompts, replies, report, selection, threads, traces, training, validation
 from brindle.plans.materialize import materialize, shared_dir
 from brindle.sources.tables import table as T
 from brindle.streaming import ledgers
@@ -54,9 +54,11 @@ cut AS (SELECT request_id, episode, seq, unnest(range(json_array_length(request,
 msg AS MATERIALIZED (SELECT request_id, episode, seq, pos, m->>'$.role' AS role,
   coalesce(CASE WHEN json_type(m, '$.content') = 'ARRAY'
     THEN array_to_string(list_transform(list_filter(json_extract(m, '$.content[*]'), lambda p: p->>'$.type' = 'text'), lambda p: p->>'$.text'), ' ')
-    ELSE m->>'$.content' END, '') AS text, coalesce(json_array_length(m, '$.tool_calls'), 0)::BIGINT AS calls FROM cut),
+    ELSE m->>'$.content' END, '') AS text, coalesce(json_array_length(m, '$.tool_calls'), 0)::BIGINT AS calls,
+  CASE WHEN json_type(m, '$.content') = 'ARRAY' THEN '[' || array_to_string(list_transform(json_extract(m, '$.content[*]'), lambda p: '{"type": "text", "text": ' || to_json(coalesce(p->>'$.text', ''))::VARCHAR || '}'), ', ') || ']' ELSE to_json(coalesce(m->>'$.content', ''))::VARCHAR END AS content,
+  md5(concat_ws(chr(1), m->>'$.role', m->>'$.content', m->>'$.reasoning_content', m->>'$.tool_call_id', json_extract(m, '$.tool_calls[*].id')::VARCHAR, json_extract(m, '$.tool_calls[*].function.name')::VARCHAR, json_extract(m, '$.tool_calls[*].function.arguments')::VARCHAR)) AS stamp FROM cut),
 head AS MATERIALIZED (SELECT request_id, any_value(episode) AS episode, any_value(seq) AS seq, count(*)::BIGINT AS n, coalesce(any_value(text) FILTER (WHERE pos = 0), '') AS sys,
-  substr(md5(coalesce(any_value(text) FILTER (WHERE pos = 0), '') || chr(1) || coalesce(any_value(text) FILTER (WHERE pos = 1), '')), 1, 10) AS thread_key FROM msg GROUP BY request_id)
+  substr(md5(coalesce(any_value(text) FILTER (WHERE pos = 0), '') || chr(0) || coalesce(any_value(content) FILTER (WHERE pos = 1), '""')), 1, 10) AS thread_key FROM msg GROUP BY request_id)
 """
 
 
@@ -89,7 +91,7 @@ def query_segments(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     _CHAT
-    + """, stamp AS (SELECT request_id, list(md5(role || chr(1) || text || chr(1) || calls) ORDER BY pos) AS now FROM msg GROUP BY request_id),
+    + """, stamp AS (SELECT request_id, list(stamp ORDER BY pos) AS now FROM msg GROUP BY request_id),
 l AS (SELECT h.request_id, h.episode, h.seq, h.thread_key, now, lag(now) OVER (PARTITION BY h.episode, h.thread_key ORDER BY h.seq, h.request_id) AS before FROM head h JOIN stamp USING (request_id)),
 b AS (SELECT *, CASE WHEN before IS NOT NULL AND (len(before) > len(now) OR now[1:len(before)] <> before) THEN 1 ELSE 0 END AS x FROM l)
 SELECT request_id, thread_key, sum(x) OVER (PARTITION BY episode, thread_key ORDER BY seq, request_id)::BIGINT AS segment FROM b"""
@@ -514,12 +516,46 @@ def prompt_substitute(spark: SparkSession, d: str) -> DataFrame:
     return T(spark, d, "documents").where("text is not null").select("doc_id", X.occurrences(t, n).alias("n"), F.md5(X.replace_first(t, n, F.lit(" THE "))).alias("h"))
 
 
-@_query("""SELECT d.doc_id, e.episode, ((length(d.text) - length(replace(d.text, e.w, ''))) / length(e.w))::BIGINT AS n FROM documents d
-JOIN (SELECT episode, string_split(teacher_prompt, ' ')[1] AS w FROM episodes WHERE length(string_split(teacher_prompt, ' ')[1]) > 0) e ON e.episode = d.episode AND contains(d.text, e.w)""")
+def _prompts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Adapter: the prompt of an episode is that of its first request, kept exactly, with blanks around it, or under another form that an index resolves; a quarter of the episodes has none."""
+    rows = threads.answered(T(spark, d, "api_requests")).select("request_id", "episode", "seq", prompts.first_user_texts(F.col("messages")).alias("texts")).dropDuplicates(["request_id"])
+    first = rows.groupBy("episode").agg(F.min_by(F.array_join("texts", " "), F.struct("seq", "request_id")).alias("p"))
+    kind = F.substring(F.md5("episode"), 1, 1)
+    form = F.when(kind < "4", F.col("p")).when(kind < "8", F.concat(F.lit("  "), "p", F.lit("\n"))).when(kind < "c", F.upper("p"))
+    return rows, first.select("episode", "p", form.alias("prompt"))
+
+
+_FIRST_USER = """, item AS MATERIALIZED (SELECT request_id, any_value(episode) AS episode, any_value(seq) AS seq, arg_min(CASE WHEN json_type(m, '$.content') = 'ARRAY' THEN list_transform(json_extract(m, '$.content[*]'), lambda p: coalesce(p->>'$.text', '')) ELSE [coalesce(m->>'$.content', '')] END, pos) AS texts
+  FROM (SELECT cut.*, m->>'$.role' AS role FROM cut) WHERE role = 'user' GROUP BY request_id),
+first_ AS MATERIALIZED (SELECT episode, arg_min(array_to_string(texts, ' '), {'s': seq, 'r': request_id}) AS p, substr(md5(episode), 1, 1) AS k FROM item GROUP BY episode),
+asked AS MATERIALIZED (SELECT episode, CASE WHEN k < '4' THEN p WHEN k < '8' THEN '  ' || p || chr(10) WHEN k < 'c' THEN upper(p) END AS prompt, CASE WHEN k >= '8' AND k < 'c' THEN p END AS sent FROM first_),
+form AS MATERIALIZED (SELECT episode, 0 AS o, 'exact' AS mode, prompt AS v FROM asked UNION ALL SELECT episode, 1, 'sent', sent FROM asked UNION ALL SELECT episode, 2, 'strip', regexp_replace(prompt, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g') FROM asked)"""
+
+
+@_query(
+    _CHAT
+    + _FIRST_USER
+    + """, hit AS MATERIALIZED (SELECT i.request_id, i.texts, f.o, f.mode, f.v, list_sum(list_transform(texts, lambda t: ((length(t) - length(replace(t, v, ''))) / length(v))::BIGINT))::BIGINT AS hits FROM item i JOIN form f ON f.episode = i.episode WHERE length(v) > 0),
+best AS (SELECT request_id, min(o) AS o FROM hit WHERE hits > 0 GROUP BY request_id)
+SELECT h.request_id, h.mode, h.hits, md5(array_to_string(CASE WHEN hits = 1 THEN list_transform(texts, lambda t: CASE WHEN instr(t, v) > 0 THEN substr(t, 1, instr(t, v) - 1) || 'Do the task.' || substr(t, instr(t, v) + length(v)) ELSE t END) ELSE texts END, chr(1))) AS h FROM hit h JOIN best USING (request_id, o)"""
+)
 def prompt_match(spark: SparkSession, d: str) -> DataFrame:
-    word = F.get(F.split("teacher_prompt", " "), F.lit(0))
-    asked = T(spark, d, "episodes").select("episode", word.alias("w")).where(F.length("w") > 0)
-    return T(spark, d, "documents").join(asked, "episode").where(F.contains("text", F.col("w"))).select("doc_id", "episode", X.occurrences(F.col("text"), F.col("w")).alias("n"))
+    rows, asked = _prompts(spark, d)
+    index = prompts.sent_index(asked.where(F.col("prompt") == F.upper("p")), "prompt", "p")
+    forms = prompts.with_sent(asked.where("prompt is not null"), "prompt", index).select("episode", prompts.variants(F.col("prompt"), F.col("sent")).alias("forms"))
+    found = rows.join(forms, "episode").withColumn("found", prompts.match(F.col("texts"), F.col("forms"))).where("found is not null")
+    bare = F.lit("Do the task.")
+    changed = prompts.substitute(F.col("texts"), F.col("found"), bare, F.lit(None).cast("string"))
+    return found.select("request_id", "found.mode", "found.hits", F.md5(F.array_join(changed, "\u0001")).alias("h"))
+
+
+@_query("""SELECT e.episode, CASE WHEN e.condition_name LIKE '%bare' THEN coalesce(m.p, 'default') WHEN teacher_prompt IS NOT NULL THEN coalesce(m.p, teacher_prompt) ELSE m.p END AS prompt
+FROM episodes e LEFT JOIN (SELECT condition_name, min(workspace) AS p FROM episodes WHERE condition_name LIKE 't2%' GROUP BY condition_name) m ON m.condition_name = e.condition_name
+WHERE e.condition_name LIKE '%bare' OR teacher_prompt IS NOT NULL OR m.p IS NOT NULL""")
+def condition_prompts(spark: SparkSession, d: str) -> DataFrame:
+    e = T(spark, d, "episodes")
+    own = e.where("condition_name like 't2%'").select(F.col("condition_name").alias("condition"), F.col("workspace").alias("prompt"))
+    return prompts.prompts_by_condition(e, own, F.when(F.endswith("condition_name", F.lit("bare")), "default").otherwise(F.col("teacher_prompt")))
 
 
 @_query("""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '([A-Za-z0-9_-]+/[A-Za-z0-9_/-]+\\.[a-z]+)', 1))), '|') AS paths,
@@ -680,6 +716,20 @@ def replay_messages(spark: SparkSession, d: str) -> DataFrame:
     return replies.replay_form(T(spark, d, "api_requests")).withColumn("content", F.md5("content"))
 
 
+@_query(
+    _REPLY
+    + """, k AS MATERIALIZED (SELECT request_id, unnest(json_extract(c, '$.message.tool_calls[*]')) AS t, unnest(range(json_array_length(c, '$.message.tool_calls')::BIGINT)) AS i FROM c WHERE json_type(c, '$.message.tool_calls') = 'ARRAY'),
+g AS (SELECT request_id, string_agg(concat_ws('/', t->>'$.id', coalesce(nullif(t->>'$.type', ''), 'function'), t->>'$.function.name',
+  CASE WHEN json_valid(t->>'$.function.arguments') THEN array_to_string(list_sort(json_keys(t->>'$.function.arguments')), ',') ELSE t->>'$.function.arguments' END), '|' ORDER BY i) AS calls FROM k GROUP BY request_id)
+SELECT c.request_id, c->>'$.finish_reason' AS finish_reason, md5(coalesce(c->>'$.message.content', '')) AS content, md5(nullif(c->>'$.message.reasoning_content', '')) AS reasoning, calls FROM c LEFT JOIN g ON g.request_id = c.request_id"""
+)
+def replay_forms(spark: SparkSession, d: str) -> DataFrame:
+    m = replies.replayed(T(spark, d, "api_requests"))
+    text = lambda c: F.coalesce(F.array_join(F.array_sort(F.json_object_keys(c["arguments"].cast("string"))), ","), c["arguments"].cast("string"))
+    calls = F.transform("message.tool_calls", lambda c: F.concat_ws("/", c["id"], c["type"], c["name"], text(c)))
+    return m.select("request_id", "finish_reason", F.md5("message.content").alias("content"), F.md5("message.reasoning_content").alias("reasoning"), F.array_join(calls, "|").alias("calls"))
+
+
 @_query("""SELECT DISTINCT request_id, try_cast(response->>'$.usage.prompt_tokens' AS BIGINT) AS input, try_cast(response->>'$.usage.completion_tokens' AS BIGINT) AS output,
   try_cast(response->>'$.usage.prompt_tokens' AS BIGINT) + try_cast(response->>'$.usage.completion_tokens' AS BIGINT) AS total FROM (SELECT request_id, CASE WHEN json_valid(response) THEN response END AS response FROM api_requests)""")
 def usage_shapes(spark: SparkSession, d: str) -> DataFrame:
@@ -749,13 +799,12 @@ def version_siblings(spark: SparkSession, d: str) -> DataFrame:
 # ---- prompts and evidence
 
 
-@_query("""WITH v AS (SELECT d.doc_id, d.text, [p, trim(p, ' '), string_split(p, '. ')[1], string_split(p, ' ')[1]] AS vs FROM documents d JOIN (SELECT episode, teacher_prompt AS p FROM episodes WHERE teacher_prompt IS NOT NULL) e ON e.episode = d.episode WHERE d.text IS NOT NULL)
-SELECT doc_id, x AS variant, ((length(text) - length(replace(text, x, ''))) / length(x))::BIGINT AS hits FROM (SELECT doc_id, text, list_filter(vs, lambda x: length(x) > 0 AND contains(text, x))[1] AS x FROM v) WHERE x IS NOT NULL""")
+@_query(_CHAT + _FIRST_USER + """ SELECT episode, mode, md5(v) AS h FROM (SELECT *, row_number() OVER (PARTITION BY episode, v ORDER BY o) AS k FROM form WHERE length(v) > 0) WHERE k = 1""")
 def prompt_variants(spark: SparkSession, d: str) -> DataFrame:
-    p = F.col("teacher_prompt")
-    rows = T(spark, d, "documents").where("text is not null").select("doc_id", "episode", "text").join(T(spark, d, "episodes").where("teacher_prompt is not null").select("episode", "teacher_prompt"), "episode")
-    hit = X.first_contained(F.col("text"), [p, F.trim(p), F.get(F.split(p, r"\. "), F.lit(0)), F.get(F.split(p, " "), F.lit(0))])
-    return rows.select("doc_id", hit.alias("h")).where("h is not null").select("doc_id", "h.variant", "h.hits")
+    _, asked = _prompts(spark, d)
+    index = prompts.sent_index(asked.where(F.col("prompt") == F.upper("p")), "prompt", "p")
+    forms = prompts.with_sent(asked.where("prompt is not null"), "prompt", index).select("episode", F.explode(prompts.variants(F.col("prompt"), F.col("sent"))).alias("v"))
+    return forms.select("episode", "v.mode", F.md5("v.text").alias("h"))
 
 
 @_query("""WITH r AS (SELECT doc_id, text, instr(reverse(text), reverse('.')) AS b FROM documents WHERE text IS NOT NULL), s AS (SELECT *, CASE WHEN b > 0 THEN length(text) - b - 1 + 2 ELSE 0 END AS e FROM r)

@@ -29,6 +29,38 @@ def replay_form(requests: DataFrame, drop_cut: bool = True) -> DataFrame:
     ).dropDuplicates(["request_id"])
 
 
+def replay_message(choice: Column) -> Column:
+    """struct<role, content, reasoning_content, tool_calls array<struct<id, type, name, arguments variant>>>: a choice's message in the form it is replayed in.
+
+    Null content is empty; an empty reasoning, and no calls, are null; a call
+    without type is a function; arguments that are a text which parses become
+    the object it holds, others stay the text.
+    """
+    get = lambda path, kind="string": F.try_variant_get(choice, path, kind)
+    calls = get("$.message.tool_calls", "array<variant>")
+
+    def call(c: Column) -> Column:
+        text = F.try_variant_get(c, "$.function.arguments", "string")
+        whole = F.try_variant_get(c, "$.function.arguments", "variant")
+        of = lambda path: F.try_variant_get(c, path, "string")
+        is_text = F.schema_of_variant(whole) == "STRING"
+        arguments = F.when(is_text, F.coalesce(F.try_parse_json(text), whole)).otherwise(whole)
+        return F.struct(of("$.id").alias("id"), F.coalesce(F.nullif(of("$.type"), F.lit("")), F.lit("function")).alias("type"), of("$.function.name").alias("name"), arguments.alias("arguments"))
+
+    return F.struct(
+        F.lit("assistant").alias("role"), F.coalesce(get("$.message.content"), F.lit("")).alias("content"), F.nullif(get("$.message.reasoning_content"), F.lit("")).alias("reasoning_content"),
+        F.when(F.size(calls) > 0, F.transform(calls, call)).alias("tool_calls"),
+    )
+
+
+def replayed(requests: DataFrame) -> DataFrame:
+    """(request_id, finish_reason, message): the replies of answered chat requests as they are replayed, each once."""
+    rows = requests.where((F.col("path") == "/v1/chat/completions") & (F.col("status") == 200) & F.col("request_id").isNotNull()).select("request_id", J.chat_variant("response").alias("p"))
+    choice = F.try_variant_get("p", "$.choices[0]", "variant")
+    # A variant cannot be compared, so repeated rows are dropped by their id.
+    return rows.where(choice.isNotNull()).select("request_id", F.try_variant_get(choice, "$.finish_reason", "string").alias("finish_reason"), replay_message(choice).alias("message")).dropDuplicates(["request_id"])
+
+
 # Where different services put their token counts.
 INPUT_PATHS = ("$.usage.input_tokens", "$.usage.prompt_tokens", "$.usageMetadata.promptTokenCount")
 OUTPUT_PATHS = ("$.usage.output_tokens", "$.usage.completion_tokens", "$.usageMetadata.candidatesTokenCount")

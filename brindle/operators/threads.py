@@ -29,11 +29,22 @@ def message_rows(requests: DataFrame) -> DataFrame:
     ).dropDuplicates(["request_id", "pos"])
 
 
+def _quoted(text: Column) -> Column:
+    """The text as a JSON string, other than ASCII characters as they are."""
+    for plain, written in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    return F.concat(F.lit('"'), text, F.lit('"'))
+
+
 def thread_key(messages: Column) -> Column:
-    """Ten hexadecimal digits that name the thread: md5 of system text, NUL and text of the first user message."""
+    """Ten hexadecimal digits that name the thread: md5 of the system text, NUL and the content of the next message as JSON (a string, or a list of text parts)."""
     head = F.coalesce(J.text(F.get(messages, F.lit(0))), F.lit(""))
-    ask = F.coalesce(J.text(F.get(messages, F.lit(1))), F.lit(""))
-    return F.substring(F.md5(F.concat(head, F.lit("\u0001"), ask)), 1, 10)
+    ask = F.get(messages, F.lit(1))
+    parts = F.try_variant_get(ask, "$.content", "array<variant>")
+    part = lambda p: F.concat(F.lit('{"type": "text", "text": '), _quoted(F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit(""))), F.lit("}"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform(parts, part), ", "), F.lit("]"))
+    content = F.when(parts.isNotNull(), listed).otherwise(_quoted(F.coalesce(F.try_variant_get(ask, "$.content", "string"), F.lit(""))))
+    return F.substring(F.md5(F.concat(head, F.lit("\u0000"), content)), 1, 10)
 
 
 def role_of_thread(system: Column, is_main: Column | None = None) -> Column:
@@ -75,15 +86,20 @@ def query_segments(messages: DataFrame, key: str = "request_id") -> DataFrame:
     )
 
 
+def canonical(message: Column) -> Column:
+    """The message as JSON with sorted keys: equal for messages that differ in the order of keys or in spacing only."""
+    return message.cast("string")
+
+
 def prefix_segments(requests: DataFrame) -> DataFrame:
     """(request_id, thread_key, segment): within a thread ordered by seq, a segment breaks where the messages before are no prefix.
 
-    Messages count as equal when role, text and number of tool calls are.
-    Only hashes of messages are shuffled.
+    Messages are equal when their canonical JSON is: role, content, reasoning,
+    calls with ids and arguments, and all else. A request is shuffled as the
+    hashes of its messages, 8 bytes each.
     """
     m = F.col("messages")
-    stamp = lambda x: F.md5(F.concat_ws("\u0001", F.coalesce(J.role(x), F.lit("")), F.coalesce(J.text(x), F.lit("")), J.n_tool_calls(x).cast("string")))
-    rows = answered(requests).select("request_id", "episode", "seq", thread_key(m).alias("thread_key"), F.transform(m, stamp).alias("now")).dropDuplicates(["request_id"])
+    rows = answered(requests).select("request_id", "episode", "seq", thread_key(m).alias("thread_key"), F.transform(m, lambda x: F.xxhash64(canonical(x))).alias("now")).dropDuplicates(["request_id"])
     w = Window.partitionBy("episode", "thread_key").orderBy("seq", "request_id")
     lagged = rows.withColumn("before", F.lag("now").over(w))
     broken = F.col("before").isNotNull() & ((F.size("before") > F.size("now")) | (F.slice("now", F.lit(1), F.greatest(F.size("before"), F.lit(0))) != F.col("before")))

@@ -139,3 +139,61 @@ def test_streams_are_held_until_complete(spark, tmp_path):
     spark.createDataFrame(second, schema).coalesce(1).write.mode("append").parquet(source)
     assert run() == {(1, "ab")}
     assert run() == {(1, "ab")}
+
+
+def test_prompt_variants_and_matches(spark):
+    from brindle.operators import prompts as P
+
+    def forms(prompt, sent=None):
+        return [(v["mode"], v["text"]) for v in one(spark, P.variants(F.lit(prompt).cast("string"), F.lit(sent).cast("string")))]
+
+    assert forms("do it") == [("exact", "do it")] and forms(None) == [] and forms("") == []
+    assert forms(" do it\n", "doit") == [("exact", " do it\n"), ("sent", "doit"), ("strip", "do it")]
+    assert forms("use precision@k ") == [("exact", "use precision@k "), ("strip", "use precision@k"), ("metric", "use precision @k")]
+
+    def found(texts, prompt, sent=None):
+        return one(spark, P.match(F.array(*map(F.lit, texts)), P.variants(F.lit(prompt), F.lit(sent).cast("string"))))
+
+    assert tuple(found(["a task here"], "task")) == ("task", "exact", 1) and found(["nothing"], "task") is None
+    assert tuple(found(["use recall @k now", "x"], "use recall@k "))[1:] == ("metric", 1)
+    twice = found(["task", "a task"], "task")
+    assert twice.hits == 2
+    texts, m = F.array(F.lit("task"), F.lit("a task")), P.match(F.array(F.lit("task"), F.lit("a task")), P.variants(F.lit("task"), F.lit(None).cast("string")))
+    with pytest.raises(Exception, match="ambiguous prompt match: 2"):
+        spark.range(1).select(P.unambiguous(m)["text"]).collect()
+    assert one(spark, P.substitute(texts, m, F.lit("bare"), F.lit(None).cast("string"))) == ["task", "a task"]
+    once = P.match(F.array(F.lit("x"), F.lit("my TASK.")), P.variants(F.lit("task"), F.lit("TASK")))
+    assert one(spark, P.substitute(F.array(F.lit("x"), F.lit("my TASK.")), once, F.lit("bare"), F.lit("BARE"))) == ["x", "my BARE."]
+    docs = spark.createDataFrame([("a", "A"), ("a", "B"), (None, "C")], "original string, sent string")
+    got = P.with_sent(spark.createDataFrame([("a",), ("b",), (None,)], "p string"), "p", P.sent_index(docs, "original", "sent"))
+    assert {(r.p, r.sent) for r in got.collect()} == {("a", "A"), ("b", None), (None, None)}
+
+
+def test_replay_message(spark):
+    call = {"id": "c1", "type": "", "function": {"name": "f", "arguments": '{"b": 1, "a": [2]}'}}
+    bad = {"id": None, "function": {"name": "g", "arguments": "{cut"}}
+    body = json.dumps({"choices": [{"finish_reason": "stop", "message": {"content": None, "reasoning_content": "", "tool_calls": [call, bad]}}]})
+    rows = [(1, "/v1/chat/completions", 200, body), (1, "/v1/chat/completions", 200, body), (2, "/v1/chat/completions", 200, "{"), (3, "/v1/chat/completions", 200, None), (4, "/v1/chat/completions", 200, '{"choices": [{"message": {}}]}')]
+    got = {r.request_id: r for r in replies.replayed(spark.createDataFrame(rows, "request_id long, path string, status int, response string")).collect()}
+    assert set(got) == {1, 4} and got[4].message.tool_calls is None and got[4].message.content == ""
+    m = got[1].message
+    assert (m.role, m.content, m.reasoning_content) == ("assistant", "", None)
+    assert [(c.id, c.type, c["name"], c.arguments.toPython()) for c in m.tool_calls] == [("c1", "function", "f", {"b": 1, "a": [2]}), (None, "function", "g", "{cut")]
+
+
+def test_messages_equal_up_to_the_order_of_keys_only(spark):
+    from brindle.operators import threads
+
+    def row(i, *messages):
+        return (i, "e", i, "/v1/chat/completions", 200, messages if isinstance(messages, str) else '{"messages": [' + ", ".join(messages) + "]}", '{"choices": [{}]}')
+
+    a, b = '{"role": "system", "content": "s"}', '{"content": "u", "role": "user"}'
+    rows = [row(1, a, b), row(2, a, '{"role": "user",  "content": "u"}', '{"role": "assistant", "content": "x", "reasoning_content": "r"}'), row(3, a, b, '{"role": "assistant", "content": "x", "reasoning_content": "other"}', b)]
+    df = spark.createDataFrame(rows, "request_id long, episode string, seq long, path string, status int, request string, response string")
+    assert {r.request_id: r.segment for r in threads.prefix_segments(df).collect()} == {1: 0, 2: 0, 3: 1}
+    import hashlib
+
+    asked = [["plain \"quoted\"\nü", json.dumps("plain \"quoted\"\nü", ensure_ascii=False)], [[{"type": "text", "text": "é"}], json.dumps([{"type": "text", "text": "é"}], ensure_ascii=False)]]
+    for content, written in asked:
+        df2 = spark.createDataFrame([row(1, a, json.dumps({"role": "user", "content": content}))], df.schema)
+        assert threads.thread_keys(df2).first().thread_key == hashlib.md5(("s\x00" + written).encode()).hexdigest()[:10]
