@@ -17,6 +17,7 @@ from brindle.functions import chat_json as J
 from brindle.functions import text as X
 from brindle.operators import checks, evidence, history, matches, packing, prompts, replies, report, selection, threads, traces, training, validation
 from brindle.plans.materialize import materialize, shared_dir
+from brindle.sources import json_lines, sinks
 from brindle.sources.tables import table as T
 from brindle.streaming import ledgers
 
@@ -434,12 +435,12 @@ def champion_baseline_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("""WITH v AS MATERIALIZED (SELECT provider, w.version, CASE WHEN s > 0 THEN 'B' WHEN s < 0 THEN 'A' ELSE 'tie' END AS winner FROM (
-    SELECT provider, w.version, sum(CASE upper(trim(winner)) WHEN 'A' THEN 1 WHEN 'B' THEN -1 ELSE 0 END) AS s FROM (SELECT DISTINCT ON (match_id) * FROM pairwise_judge_result) p JOIN workflows w ON w.workflow = p.a WHERE w.version <> 3 GROUP BY ALL) w),
+    SELECT provider, w.version, sum(CASE upper(trim(winner)) WHEN 'A' THEN 1 WHEN 'B' THEN -1 ELSE 0 END) AS s FROM (SELECT DISTINCT ON (match_id) * FROM pairwise_judge_result) p JOIN workflows w ON w.workflow = p.a GROUP BY ALL) w),
 g AS (SELECT provider, unnest(range(max(version) + 1)) AS version FROM v GROUP BY provider)
 SELECT g.provider, string_agg('v' || g.version || ' ' || CASE v.winner WHEN 'B' THEN 'W' WHEN 'A' THEN 'L' WHEN 'tie' THEN 'T' ELSE '?' END, ' · ' ORDER BY g.version) AS board FROM g LEFT JOIN v ON v.provider = g.provider AND v.version = g.version WHERE g.provider IS NOT NULL GROUP BY g.provider""")
 def scoreboard(spark: SparkSession, d: str) -> DataFrame:
     label = matches.clean_label(F.col("winner"))
-    rows = T(spark, d, "pairwise_judge_result").dropDuplicates(["match_id"]).join(T(spark, d, "workflows").where("version <> 3").select(F.col("workflow").alias("a"), "version"), "a")
+    rows = T(spark, d, "pairwise_judge_result").dropDuplicates(["match_id"]).join(T(spark, d, "workflows").select(F.col("workflow").alias("a"), "version"), "a")
     net = rows.where("provider is not null").groupBy("provider", "version").agg(F.sum(F.when(label == "A", 1).when(label == "B", -1).otherwise(0)).alias("s"))
     return history.scoreboards(net.withColumn("winner", F.when(F.col("s") > 0, "B").when(F.col("s") < 0, "A").otherwise("tie")), "provider")
 
@@ -609,24 +610,40 @@ def manifest_check(spark: SparkSession, d: str) -> DataFrame:
 @_query("""WITH RECURSIVE i AS MATERIALIZED (SELECT source, doc_id, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE source IS NOT NULL),
 f AS (SELECT source, doc_id, k, CASE WHEN coalesce(n <= 20000, FALSE) THEN n ELSE 0 END AS used, coalesce(n <= 20000, FALSE) AS kept FROM i WHERE k = 1
   UNION ALL SELECT i.source, i.doc_id, i.k, CASE WHEN coalesce(f.used + i.n <= 20000, FALSE) THEN f.used + i.n ELSE f.used END, coalesce(f.used + i.n <= 20000, FALSE) FROM f JOIN i ON i.source = f.source AND i.k = f.k + 1)
-SELECT doc_id, used::BIGINT AS used, kept FROM f""")
+SELECT doc_id, used::BIGINT AS used FROM f WHERE kept""")
 def skip_greedy_budget(spark: SparkSession, d: str) -> DataFrame:
     return evidence.skip_greedy(T(spark, d, "documents").where("source is not null").withColumn("n", F.length("text")), "source", "doc_id", "n", 20000)
 
 
-@_query("""WITH p AS MATERIALIZED (SELECT DISTINCT source, unnest(regexp_extract_all(text, '([A-Za-z0-9_-]+/[A-Za-z0-9_/-]+\\.[a-z]+)', 1)) AS path FROM documents WHERE source IS NOT NULL),
-c AS MATERIALIZED (SELECT source, path, regexp_replace(path, '/[^/]*$', '') AS folder FROM p WHERE len(string_split(path, '/')) <= 6),
-n AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY source, folder) AS n FROM c),
-l AS MATERIALIZED (SELECT source, path, row_number() OVER (PARTITION BY source ORDER BY lower(path), path) AS line FROM n WHERE n <= 100)
-SELECT source, path, line::BIGINT AS line, FALSE AS marker FROM l WHERE line <= 400 UNION ALL SELECT DISTINCT source, folder, 0::BIGINT, TRUE FROM n WHERE n > 100""")
+@_query(f"""WITH p AS MATERIALIZED (SELECT DISTINCT episode, string_split(unnest(regexp_extract_all(text, '([A-Za-z0-9_-]+/[A-Za-z0-9_/-]+\\.[a-z]+)', 1)), '/') AS p FROM documents WHERE episode IS NOT NULL),
+q AS MATERIALIZED (SELECT episode, list_filter(p, lambda x: length(x) > 0) AS p FROM p),
+e AS MATERIALIZED (SELECT episode, parts, bool_or(dir) AS dir FROM (SELECT episode, p[1:d] AS parts, d < len(p) AS dir FROM (SELECT episode, p, unnest(range(1, least(len(p), 6) + 1)) AS d FROM q)) GROUP BY episode, parts),
+seen AS MATERIALIZED (SELECT * FROM e WHERE len(list_intersect(CASE WHEN dir THEN parts ELSE parts[1:len(parts) - 1] END, {list(evidence.SKIPPED_FOLDERS)})) = 0),
+crowd AS MATERIALIZED (SELECT episode, parts[1:len(parts) - 1] AS folder, count(*) AS n FROM seen GROUP BY ALL HAVING count(*) > 12),
+kept AS MATERIALIZED (SELECT * FROM seen s WHERE NOT EXISTS (SELECT 1 FROM crowd c WHERE c.episode = s.episode AND len(c.folder) < len(s.parts) AND s.parts[1:len(c.folder)] = c.folder)),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY list_transform(range(1, len(parts) + 1), lambda i: (CASE WHEN i < len(parts) OR dir THEN '0' ELSE '1' END) || lower(parts[i]) || chr(1) || parts[i])) AS rank FROM kept),
+line AS (
+  SELECT episode, rank, 0 AS k, array_to_string(parts, '/') AS path, CASE WHEN dir THEN 'dir' ELSE 'file' END AS kind,
+    repeat('  ', len(parts)) || parts[-1] || CASE WHEN dir THEN '/' WHEN list_contains({list(evidence.BINARY_SUFFIXES)}, lower(regexp_extract(parts[-1], '[^.](\\.[^.]+)$', 1))) THEN '  [' || lower(regexp_extract(parts[-1], '[^.](\\.[^.]+)$', 1)) || ' binary/large]' ELSE '' END AS text FROM r WHERE rank <= 40
+  UNION ALL SELECT c.episode, coalesce(r.rank, 0), 1, array_to_string(folder, '/'), 'omitted', repeat('  ', len(folder) + 1) || '... [contents omitted: ' || n || ' entries exceed per-directory limit 12]' FROM crowd c LEFT JOIN r ON r.episode = c.episode AND r.parts = c.folder WHERE r.rank < 40 OR len(folder) = 0
+  UNION ALL SELECT DISTINCT episode, 41, 2, '', 'truncated', '... (tree truncated)' FROM r WHERE rank > 40 OR (rank = 40 AND dir))
+SELECT episode, row_number() OVER (PARTITION BY episode ORDER BY rank, k)::BIGINT AS line, path, kind, text FROM line""")
 def tree_budget(spark: SparkSession, d: str) -> DataFrame:
-    paths = T(spark, d, "documents").where("source is not null").select("source", F.explode(X.file_paths(F.col("text"))).alias("path"))
-    return evidence.tree_listing(paths, "source")
+    paths = T(spark, d, "documents").where("episode is not null").select("episode", F.explode(X.file_paths(F.col("text"))).alias("path"))
+    return evidence.tree_listing(paths, "episode", entries=40, children=12)
 
 
 @_query()
 def design_diff(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.version_diffs(T(spark, d, "documents").where("source = 'design_block'").select("episode", "doc_id", "text"), "episode", "doc_id")
+    return evidence.version_diffs(T(spark, d, "documents").where("episode is not null").select("episode", "doc_id", "text"), "episode", "doc_id")
+
+
+@_query(f"""SELECT episode, min(path) AS path FROM (SELECT episode, 'tests/test_' || regexp_extract(path, '([^/]*)\\.[a-z]+$', 1) || '.py' AS path FROM (SELECT episode, unnest(regexp_extract_all(text, '([A-Za-z0-9_-]+/[A-Za-z0-9_/-]+\\.[a-z]+)', 1)) AS path FROM documents WHERE episode IS NOT NULL) WHERE NOT starts_with(path, 'data/')) GROUP BY episode""")
+def first_test_files(spark: SparkSession, d: str) -> DataFrame:
+    paths = T(spark, d, "documents").where("episode is not null").select("episode", F.explode(X.file_paths(F.col("text"))).alias("path"))
+    name = F.regexp_extract("path", r"([^/]*)\.[a-z]+$", 1)
+    moved = F.concat(F.when(F.startswith("path", F.lit("data/")), "data/").otherwise("tests/test_"), name, F.lit(".py"))
+    return evidence.first_test_file(paths.select("episode", moved.alias("path")), "episode")
 
 
 # ---- traces
@@ -685,9 +702,37 @@ def seed_map(spark: SparkSession, d: str) -> DataFrame:
     return tasks.select("task", (F.lit(3100000) + 1000 * (F.row_number().over(Window.orderBy("task")) - 1)).cast("long").alias("seed"))
 
 
+@_query("SELECT condition_name, min(seed)::BIGINT AS min, max(seed)::BIGINT AS max, count(seed)::BIGINT AS n FROM episodes GROUP BY condition_name")
+def seed_registry(spark: SparkSession, d: str) -> DataFrame:
+    return report.seed_registry(T(spark, d, "episodes"), ["condition_name"])
+
+
+@_query("SELECT 9::BIGINT AS n, round(sum(target_share) / 9, 9) AS share, round(sum(max_repeats) / 9.0, 9)::DOUBLE AS repeats FROM mix_targets")
+def complete_means(spark: SparkSession, d: str) -> DataFrame:
+    got = report.complete_means(T(spark, d, "mix_targets"), {"target_share": "share", "max_repeats": "repeats"}, 9)
+    return got.select("n", *(F.round(c, 9).alias(c) for c in ("share", "repeats")))
+
+
 # ---- checks
 
 
+@_query("SELECT DISTINCT episode FROM episodes WHERE episode NOT IN (SELECT episode FROM run_status WHERE episode IS NOT NULL) ORDER BY episode LIMIT 5")
+def first_differences(spark: SparkSession, d: str) -> DataFrame:
+    return checks.outside(T(spark, d, "episodes"), T(spark, d, "run_status").where("episode is not null"), "episode", 5)
+
+
+@_query("""WITH u AS (SELECT episode FROM run_status WHERE episode IS NOT NULL UNION SELECT episode FROM blocks WHERE episode IS NOT NULL), w AS (SELECT DISTINCT episode FROM episodes)
+SELECT episode, 'left' AS side FROM u WHERE episode NOT IN (SELECT episode FROM w) UNION ALL SELECT episode, 'right' FROM w WHERE episode NOT IN (SELECT episode FROM u)""")
+def union_equality(spark: SparkSession, d: str) -> DataFrame:
+    part = lambda name: T(spark, d, name).where("episode is not null")
+    return checks.unions_differ([part("run_status"), part("blocks")], part("episodes"), "episode")
+
+
+@_query("SELECT doc_id, md5(trim(replace(string_split(text, 'Use ')[1], chr(92) || 'n', chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS h FROM documents WHERE text IS NOT NULL")
+def text_before_marker(spark: SparkSession, d: str) -> DataFrame:
+    return T(spark, d, "documents").where("text is not null").select("doc_id", F.md5(X.before_marker(F.col("text"), "Use ")).alias("h"))
+
+
 @_query("SELECT episode, CASE WHEN min(s) = max(s) THEN min(s) ELSE 'both' END AS side FROM (SELECT DISTINCT episode, 'left' AS s FROM run_status WHERE episode IS NOT NULL UNION ALL SELECT DISTINCT episode, 'right' FROM blocks WHERE episode IS NOT NULL) GROUP BY episode")
 def split_isolation(spark: SparkSession, d: str) -> DataFrame:
     a, b = T(spark, d, "run_status").where("episode is not null"), T(spark, d, "blocks").where("episode is not null")
@@ -854,11 +899,17 @@ def rounded_means(spark: SparkSession, d: str) -> DataFrame:
 _PATHS = "regexp_extract_all(text, '([A-Za-z0-9_-]+/[A-Za-z0-9_/-]+\\.[a-z]+)', 1)"
 
 
-@_query(f"""WITH m AS (SELECT DISTINCT episode, unnest({_PATHS}) AS path FROM documents WHERE source = 'task_prompt'), f AS (SELECT DISTINCT episode, unnest({_PATHS}) AS path FROM documents WHERE source = 'run_log')
-SELECT m.episode, count(*)::BIGINT AS mentioned, count(f.path)::BIGINT AS found FROM m LEFT JOIN f ON f.episode = m.episode AND f.path = m.path WHERE m.episode IS NOT NULL GROUP BY m.episode""")
+@_query(
+    _CHAT
+    + _FIRST_USER
+    + """, m AS (SELECT DISTINCT episode, unnest(regexp_extract_all(array_to_string(texts, ' '), '([A-Za-z0-9_-]+/[A-Za-z0-9_/-]+\\.[a-z]+)', 1)) AS path FROM item),
+f AS (SELECT DISTINCT episode, unnest(regexp_extract_all(text, '([A-Za-z0-9_-]+/[A-Za-z0-9_/-]+\\.[a-z]+)', 1)) AS path FROM documents)
+SELECT m.episode, count(*)::BIGINT AS mentioned, count(f.path)::BIGINT AS found FROM m LEFT JOIN f ON f.episode = m.episode AND f.path = m.path WHERE m.episode IS NOT NULL GROUP BY m.episode"""
+)
 def deliverables(spark: SparkSession, d: str) -> DataFrame:
-    of = lambda source: T(spark, d, "documents").where((F.col("source") == source) & F.col("episode").isNotNull()).select("episode", F.explode(X.file_paths(F.col("text"))).alias("path"))
-    return evidence.deliverables(of("task_prompt"), of("run_log"), "episode")
+    asked = threads.answered(T(spark, d, "api_requests")).where("episode is not null").select("episode", F.array_join(prompts.first_user_texts(F.col("messages")), " ").alias("text"))
+    of = lambda rows: rows.select("episode", F.explode(X.file_paths(F.col("text"))).alias("path"))
+    return evidence.deliverables(of(asked), of(T(spark, d, "documents")), "episode")
 
 
 @_query("""WITH RECURSIVE i AS MATERIALIZED (SELECT episode, doc_id, text, source, length(text) AS n, row_number() OVER (PARTITION BY episode ORDER BY doc_id) AS k FROM documents WHERE episode IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL),
@@ -867,7 +918,7 @@ f AS (SELECT episode, doc_id, k, CASE WHEN n <= 5000 THEN n ELSE 0 END AS used,
 SELECT i.episode, md5(string_agg('## ' || i.source || chr(10) || chr(10) || i.text, chr(10) || chr(10) ORDER BY i.doc_id)) AS h FROM f JOIN i ON i.episode = f.episode AND i.k = f.k WHERE f.kept GROUP BY i.episode""")
 def evidence_bundle(spark: SparkSession, d: str) -> DataFrame:
     docs = T(spark, d, "documents").where("episode is not null and source is not null and text is not null")
-    kept = evidence.skip_greedy(docs.withColumn("n", F.length("text")), "episode", "doc_id", "n", 5000).where("kept").select("doc_id")
+    kept = evidence.skip_greedy(docs.withColumn("n", F.length("text")), "episode", "doc_id", "n", 5000).select("doc_id")
     parts = docs.join(kept, "doc_id", "left_semi")
     return evidence.assemble(parts, "episode", "doc_id", "source", "text").select("episode", F.md5("text").alias("h"))
 
@@ -908,6 +959,35 @@ def rank_select(spark: SparkSession, d: str) -> DataFrame:
     return selection.rank_and_select(pool, _verdicts(spark, d), 4, 7, 3, 4)
 
 
+# ---- files
+
+
+@_query("SELECT status_id, episode, model, FALSE AS bad FROM run_status UNION ALL SELECT NULL, NULL, NULL, TRUE")
+def json_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """A ledger written compressed, with one line that is cut, and read again in counting mode."""
+    path = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    rows = T(spark, d, "run_status").select("status_id", "episode", "model")
+    sinks.append(rows, path, compressed=True)
+    spark.createDataFrame([('{"status_id": 1, "epi',)], "line string").coalesce(1).write.mode("append").text(path)
+    got = json_lines.read_lines(spark, path, rows.schema, "count")
+    return got.select("status_id", "episode", "model", F.col(json_lines.BAD).isNotNull().alias("bad"))
+
+
+@_query("SELECT doc_id, CASE WHEN length(text) > 1000 THEN 'long' ELSE coalesce(lang, 'none') END AS kind FROM documents")
+def manifest_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest of all documents, in which the long ones are replaced."""
+    path = f"{shared_dir(spark)}/manifest-{uuid.uuid4().hex}"
+    docs = T(spark, d, "documents")
+    sinks.upsert(docs.select("doc_id", F.coalesce("lang", F.lit("none")).alias("kind")), path, ["doc_id"])
+    sinks.upsert(docs.where(F.length("text") > 1000).select("doc_id", F.lit("long").alias("kind")), path, ["doc_id"])
+    return sinks.read_table(spark, path)
+
+
+@_query("SELECT workflow, version, beats_reference FROM workflows")
+def counted_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    return json_lines.expect_count(T(spark, d, "workflows").select("workflow", "version", "beats_reference"), 24, "workflows")
+
+
 # ---- streams
 
 
@@ -917,7 +997,7 @@ def ledger_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = T(spark, d, "events").schema
     rows = ledgers.file_stream(spark, d, schema, "events.parquet").select("event_id", "user_id", "event_type")
     ledgers.ledger_stream(rows, f"{out}/rows", ["event_id"], f"{out}/checkpoint").awaitTermination()
-    return spark.read.schema(rows.schema).json(f"{out}/rows")
+    return spark.read.schema(rows.schema).json(f"{out}/rows/batch=*")
 
 
 @_query("SELECT doc_id AS stream_id, md5(text) AS h FROM documents WHERE length(text) > 0")

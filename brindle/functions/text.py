@@ -158,6 +158,11 @@ def band(number: Column) -> Column:
     return F.when(number.between(1, 99), "first").when(number.between(200, 299), "second").when(number.between(300, 399), "third").otherwise("other")
 
 
+def before_marker(text: Column, marker: str) -> Column:
+    """The text before the first ``marker`` (all of it without one), written line breaks as real ones, trimmed."""
+    return F.btrim(F.replace(F.split_part(text, F.lit(marker), F.lit(1)), F.lit("\\n"), F.lit("\n")), F.lit(" \t\n\r\x0b\x0c"))
+
+
 def first_contained(text: Column, variants: list[Column]) -> Column:
     """(variant, hits) of the first distinct variant that occurs in the text; null where none does."""
     each = F.array_distinct(F.filter(F.array(*variants), lambda v: v.isNotNull() & (F.length(v) > 0)))

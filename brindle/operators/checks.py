@@ -19,6 +19,20 @@ def unequal(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return x.join(y, key, "left_anti").select(key, F.lit("left").alias("side")).unionByName(y.join(x, key, "left_anti").select(key, F.lit("right").alias("side")))
 
 
+def outside(a: DataFrame, b: DataFrame, key: str, first: int | None = None) -> DataFrame:
+    """(key): distinct keys of ``a`` that ``b`` lacks, sorted, or the ``first`` of them; empty where ``a`` is a subset."""
+    got = a.select(key).distinct().join(b.select(key).distinct().hint("merge"), key, "left_anti").orderBy(key)
+    return got if first is None else got.limit(first)
+
+
+def unions_differ(parts: list[DataFrame], whole: DataFrame, key: str) -> DataFrame:
+    """(key, side): what distinguishes the union of ``parts`` (left) from ``whole`` (right); empty where they are equal."""
+    union = parts[0].select(key)
+    for p in parts[1:]:
+        union = union.unionByName(p.select(key))
+    return unequal(union, whole, key)
+
+
 def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n): keys that occur more than once."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from brindle.functions.text import action_items, shorten
 from brindle.plans.folds import fold_by_key
+from brindle.plans.ranges import numbered
 
 
 def champions(rounds: DataFrame, key: str, baseline: bool) -> DataFrame:
@@ -54,14 +55,15 @@ def scoreboards(verdicts: DataFrame, key: str) -> DataFrame:
 
 
 def version_deltas(texts: DataFrame, key: str, order: str, newest: int = 3, long: int = 1500, short: int = 400) -> DataFrame:
-    """(order, version, delta, kept): position within the key, change of length against the predecessor, text cut by recency."""
-    w = Window.partitionBy(key).orderBy(order)
-    back = Window.partitionBy(key).orderBy(F.col(order).desc())
-    recent = F.row_number().over(back) <= newest
-    return texts.select(
-        order, F.row_number().over(w).cast("long").alias("version"), (F.length("text") - F.lag(F.length("text")).over(w)).cast("long").alias("delta"),
-        F.length(F.when(recent, shorten(F.col("text"), long)).otherwise(shorten(F.col("text"), short))).cast("long").alias("kept"),
-    )
+    """(order, version, delta, kept): position within the key, change of length against the predecessor, length of the text cut by recency.
+
+    The lengths are taken before anything is shuffled; texts stay in the scan.
+    """
+    length = F.length("text").cast("long")
+    sizes = texts.select(key, order, length.alias("n"), F.length(shorten(F.col("text"), long)).cast("long").alias("long"), F.length(shorten(F.col("text"), short)).cast("long").alias("short"))
+    placed = numbered(sizes, key, order, ("n",))
+    recent = F.col("total") - F.col("position") < newest
+    return placed.select(order, F.col("position").cast("long").alias("version"), (F.col("n") - F.col("before_n")).alias("delta"), F.when(recent, F.col("long")).otherwise(F.col("short")).alias("kept"))
 
 
 # Recurring issues and the patterns that speak of them.
@@ -76,9 +78,10 @@ ISSUES = (
 
 
 def issue_counts(texts: DataFrame, order: str) -> DataFrame:
-    """(bucket, n, example): texts that speak of each issue, each counted once, with the first action item of the earliest of them that has one; one pass, no cross join."""
+    """(bucket, n, example), most frequent first, of equal counts in the order of ``ISSUES``: texts that speak of each issue, each counted once, with the first action item of the earliest of them that has one; one pass, no cross join."""
     low = F.lower("text")
-    hits = F.filter(F.array(*(F.when(low.rlike(p), F.lit(name)) for name, p in ISSUES)), lambda x: x.isNotNull())
+    hits = F.filter(F.array(*(F.when(low.rlike(p), F.struct(F.lit(k).alias("k"), F.lit(name).alias("bucket"))) for k, (name, p) in enumerate(ISSUES))), lambda x: x.isNotNull())
     item = F.get(action_items(F.col("text"), 1), F.lit(0))
-    rows = texts.where(F.length(F.trim("text")) > 0).select(order, F.explode(hits).alias("bucket"), item.alias("item"))
-    return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("item", order).alias("_first"), F.min(F.when(F.col("item").isNotNull(), F.struct(F.col(order), F.col("item")))).alias("e")).select("bucket", "n", F.col("e.item").alias("example"))
+    rows = texts.where(F.length(F.trim("text")) > 0).select(order, F.explode(hits).alias("hit"), item.alias("item"))
+    counted = rows.groupBy("hit").agg(F.count("*").alias("n"), F.min(F.when(F.col("item").isNotNull(), F.struct(F.col(order), F.col("item")))).alias("e"))
+    return counted.orderBy(F.desc("n"), "hit.k").select("hit.bucket", "n", F.col("e.item").alias("example"))

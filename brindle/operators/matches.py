@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -56,30 +55,28 @@ def win_counts(matches: DataFrame, by: str) -> DataFrame:
     return sides.groupBy(by, "r.i", "r.j").agg(F.sum("r.wins").alias("wins"))
 
 
-def strengths(wins: np.ndarray, rounds: int = 500, prior: float = 0.5) -> np.ndarray:
-    """Log strengths by minorisation-maximisation; every item has ``prior`` wins against strength 1; the mean strength is 1."""
-    games = wins + wins.T
-    gained = wins.sum(axis=1) + prior
-    p = np.ones(len(wins))
+def strengths(one: np.ndarray, other: np.ndarray, wins: np.ndarray, n: int, rounds: int = 500, prior: float = 0.5) -> np.ndarray:
+    """Log strengths of n items by minorisation-maximisation, from wins of ``one`` over ``other``; every item has ``prior`` wins against strength 1; the mean strength is 1.
+
+    Only pairs that met are held, so memory follows the pairs and not the square of the items.
+    """
+    a, b, games = np.r_[one, other], np.r_[other, one], np.r_[wins, wins]
+    gained = np.bincount(one, wins, n) + prior
+    p = np.ones(n)
     for _ in range(rounds):
-        p = gained / (prior / (p + 1.0) + (games / (p[:, None] + p[None, :])).sum(axis=1))
+        p = gained / (prior / (p + 1.0) + np.bincount(a, games / (p[a] + p[b]), n))
         p = p / p.mean()
     return np.log(p)
 
 
 def ratings(matches: DataFrame, by: str) -> DataFrame:
-    """(by, item, rating): one fit per group, over counts that were aggregated before.
-
-    A group's matrix holds its items squared, not its matches.
-    """
+    """(by, item, rating): one fit per group, over counts by pair that were aggregated before."""
     kind = matches.schema[by].dataType.simpleString()
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        items = sorted(set(rows["i"]) | set(rows["j"]))
-        at = {x: k for k, x in enumerate(items)}
-        wins = np.zeros((len(items), len(items)))
-        np.add.at(wins, ([at[x] for x in rows["i"]], [at[x] for x in rows["j"]]), rows["wins"].to_numpy())
-        return pd.DataFrame({by: [key[0]] * len(items), "item": items, "rating": np.round(strengths(wins), 6) + 0.0})
+        items, at = np.unique(np.r_[rows["i"].to_numpy(str), rows["j"].to_numpy(str)], return_inverse=True)
+        got = strengths(at[: len(rows)], at[len(rows) :], rows["wins"].to_numpy(float), len(items))
+        return pd.DataFrame({by: [key[0]] * len(items), "item": items.tolist(), "rating": np.round(got, 6) + 0.0})
 
     return win_counts(matches, by).where(F.col(by).isNotNull()).groupBy(by).applyInPandas(fit, f"{by} {kind}, item string, rating double")
 
@@ -89,5 +86,3 @@ def rank_bands(scored: DataFrame, by: str, name: str, score: str, train: int = 1
     w = Window.partitionBy(by).orderBy(F.col(score).desc(), name)
     r = F.col("rank")
     return scored.select(by, name, F.row_number().over(w).cast("long").alias("rank")).withColumn("band", F.when(r <= train, "train").when(r == validation, "validation").otherwise("none"))
-
-

@@ -103,3 +103,16 @@ def norm_errors(vectors: DataFrame, original: str, other: str) -> DataFrame:
     pairs = vectors.select(F.explode(F.arrays_zip(F.col(original).alias("x"), F.col(other).alias("y"))).alias("p")).select(F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"))
     d = F.col("x") - F.col("y")
     return pairs.agg(F.round(F.sqrt(F.sum(d * d)) / F.sqrt(F.sum(F.col("x") * F.col("x"))), 6).alias("relative_error"), F.round(F.avg((d == 0).cast("int")), 6).alias("identical"))
+
+
+def seed_registry(seeds: DataFrame, by: list[str]) -> DataFrame:
+    """(by, min, max, n): the range of the seeds of each file and their number."""
+    return seeds.groupBy(*by).agg(F.min("seed").alias("min"), F.max("seed").alias("max"), F.count("seed").alias("n"))
+
+
+def complete_means(rows: DataFrame, columns: dict[str, str], n: int) -> DataFrame:
+    """One row with the mean of every column of ``columns`` (under its new name) and n; an error at run time where there are not exactly ``n`` rows. Flags count as 0 and 1; a null counts as 0 in the sum."""
+    means = [(F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)) / n).alias(name) for c, name in columns.items()]
+    got = rows.agg(F.count("*").alias("n"), *means)
+    checked = F.when(F.col("n") == n, F.col("n")).otherwise(F.raise_error(F.concat(F.lit(f"expected {n} rows, found "), F.col("n").cast("string"))).cast("long"))
+    return got.withColumn("n", checked)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import md5_uniform
+from brindle.plans.materialize import materialize
 
 
 def stratified_draws(windows: DataFrame, draws: DataFrame, p_first: float, seed: int, first: str = "orch", second: str = "nonmain") -> DataFrame:
@@ -18,7 +19,7 @@ def stratified_draws(windows: DataFrame, draws: DataFrame, p_first: float, seed:
     """
     numbered = windows.select("window_id", "task", "role_group").withColumn("k", F.row_number().over(Window.partitionBy("task", "role_group").orderBy("window_id")))
     sizes = windows.groupBy("task").agg(F.count_if(F.col("role_group") == first).alias("n1"), F.count_if(F.col("role_group") == second).alias("n2"))
-    tasks = sizes.withColumn("t", F.row_number().over(Window.orderBy("task")))
+    tasks = sizes.withColumn("t", F.row_number().over(Window.orderBy("task")))  # one task, over one row a task
     u = lambda salt: md5_uniform(F.lit(str(seed)), F.col("rank").cast("string"), F.col("step").cast("string"), F.lit(salt))
     n_tasks = sizes.agg(F.count("*")).scalar()
     picked = draws.withColumn("t", (F.floor(u("task") * n_tasks) + 1).cast("int")).join(tasks, "t")
@@ -30,16 +31,23 @@ def stratified_draws(windows: DataFrame, draws: DataFrame, p_first: float, seed:
 def weighted_draws(windows: DataFrame, weights: DataFrame, draws: DataFrame, seed: int) -> DataFrame:
     """(rank, step, window_id): a condition by weight (1 where it has none), then a window of it uniformly.
 
-    The running weights of the conditions are one small value, looked up by every draw.
+    The conditions are intervals of running weight. The axis is cut into as
+    many cells as there are conditions; an interval is listed in every cell it
+    touches and a draw looks into its own cell, so the join is by equality. The
+    running sum takes one task, over one row a condition.
     """
-    numbered = windows.select("window_id", "condition").withColumn("k", F.row_number().over(Window.partitionBy("condition").orderBy("window_id")))
+    numbered_windows = windows.select("window_id", "condition").withColumn("k", F.row_number().over(Window.partitionBy("condition").orderBy("window_id")))
     sizes = windows.groupBy("condition").agg(F.count("*").alias("n")).join(weights, "condition", "left").withColumn("w", F.coalesce("weight", F.lit(1.0)))
-    along = Window.orderBy("condition").rowsBetween(Window.unboundedPreceding, 0)
-    edges = sizes.select(F.struct(F.sum("w").over(along).alias("hi"), "condition", "n").alias("e")).agg(F.array_sort(F.collect_list("e"))).scalar()
+    along = Window.orderBy("condition")
+    summed = sizes.withColumn("hi", F.sum("w").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = materialize(summed.select("condition", "n", "hi", F.coalesce(F.lag("hi").over(along), F.lit(0.0)).alias("lo")), "edges")
+    total, cells = edges.agg(F.max("hi"), F.count("*")).first()
+    cell = lambda x: F.least(F.floor(x * F.lit(cells / (total or 1.0))).cast("long"), F.lit(max(0, cells - 1)).cast("long"))
+    listed = edges.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
     u = lambda salt: md5_uniform(F.lit(str(seed)), F.col("rank").cast("string"), F.col("step").cast("string"), F.lit(salt))
-    at = draws.withColumn("edges", edges).withColumn("at", u("condition") * F.element_at("edges", -1)["hi"])
-    drawn = at.withColumn("e", F.get(F.filter("edges", lambda e: e["hi"] > F.col("at")), F.lit(0))).select("rank", "step", "e.condition", "e.n")
-    return drawn.withColumn("k", (F.floor(u("window") * F.col("n")) + 1).cast("int")).join(numbered, ["condition", "k"]).select("rank", "step", "window_id")
+    at = draws.withColumn("at", u("condition") * F.lit(total or 0.0)).withColumn("cell", cell(F.col("at")))
+    drawn = at.join(listed.hint("merge"), "cell").where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
+    return drawn.withColumn("k", (F.floor(u("window") * F.col("n")) + 1).cast("int")).join(numbered_windows.hint("merge"), ["condition", "k"]).select("rank", "step", "window_id")
 
 
 def total_steps(n: int, epochs: float, batch: int) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -66,16 +66,25 @@ def combine_files(files: DataFrame, suffixes: tuple[str, ...], per_file: int = 2
     return rows.groupBy("folder").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "content"))), lambda r: r["content"]), "\n").alias("text"))
 
 
+def excluding(files: DataFrame, *names: set[str] | tuple[str, ...]) -> DataFrame:
+    """The files whose last name is in none of the sets; ``files`` has the column path."""
+    union = sorted(set().union(*names))
+    return files.where(~F.element_at(F.split("path", "/"), -1).isin(union)) if union else files
+
+
+def _guarded(df: DataFrame, holds: Column, message: str) -> DataFrame:
+    """The same rows, or an error at run time where ``holds`` is false; the test is made even if there are no rows, and nothing is broadcast but its one value."""
+    test = F.when(holds, F.lit(False)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
+    guard = df.sparkSession.range(1).where(test).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema))
+    return df.unionByName(guard)
+
+
 def expect_count(df: DataFrame, n: int, what: str) -> DataFrame:
     """The same rows, or an error at run time where there are not exactly ``n``."""
-    found = df.agg(F.count("*").alias("_n"))
-    checked = found.where(F.when(F.col("_n") == n, True).otherwise(F.raise_error(F.lit(f"{what}: expected {n} rows")).cast("boolean")))
-    return checked.join(df, F.lit(True), "left").drop("_n")  # one row on the left, so the check always runs
+    return _guarded(df, df.agg(F.count("*")).scalar() == n, f"{what}: expected {n} rows")
 
 
 def lookup(catalogue: DataFrame, key: str, value: str) -> DataFrame:
     """The rows of a catalogue with this key, or an error at run time where there are none."""
     rows = catalogue.where(F.col(key) == value)
-    found = rows.agg(F.count("*").alias("_n"))
-    checked = found.where(F.when(F.col("_n") > 0, True).otherwise(F.raise_error(F.lit(f"unknown {key}: {value}")).cast("boolean")))
-    return checked.join(rows, F.lit(True), "left").drop("_n")
+    return _guarded(rows, rows.agg(F.count("*")).scalar() > 0, f"unknown {key}: {value}")

@@ -141,6 +141,45 @@ def test_streams_are_held_until_complete(spark, tmp_path):
     assert run() == {(1, "ab")}
 
 
+def test_idle_streams_are_handed_over_as_incomplete(spark, tmp_path):
+    import time
+
+    from brindle.streaming import ledgers
+
+    schema = "stream_id long, ord long, line string"
+    source, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    spark.createDataFrame([(5, 0, 'data: {"choices": [{"delta": {"content": "a"}}]}')], schema).coalesce(1).write.parquet(source)
+    lines = ledgers.file_stream(spark, source, spark.createDataFrame([], schema).schema, "*.parquet", 1)
+    query = ledgers.reassembly_stream(lines, out, f"file://{tmp_path}/cp", idle_ms=400)
+    try:
+        for _ in range(60):
+            time.sleep(0.5)
+            if any(p.stat().st_size for p in tmp_path.glob("out/batch=*/part-*.json")):
+                break
+    finally:
+        query.stop()
+    got = {(r.stream_id, r.content, r.complete) for r in spark.read.schema("stream_id long, content string, complete boolean").json(f"{out}/batch=*").collect()}
+    assert got == {(5, "a", False)}
+
+
+def test_ledger_takes_every_key_once(spark, tmp_path):
+    from brindle.streaming import ledgers
+
+    source, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    for rows in ([(1, "a"), (2, "b"), (1, "a")], [(2, "b"), (3, "c")]):
+        spark.createDataFrame(rows, "k long, v string").coalesce(1).write.mode("append").parquet(source)
+        lines = ledgers.file_stream(spark, source, spark.createDataFrame([], "k long, v string").schema, "*.parquet")
+        ledgers.ledger_stream(lines, out, ["k"], f"file://{tmp_path}/cp").awaitTermination()
+    assert sorted(map(tuple, spark.read.schema("k long, v string").json(f"{out}/batch=*").collect())) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_means_need_all_rows(spark):
+    df = spark.createDataFrame([(True, 1.0), (False, None)], "ok boolean, s double").withColumn("ok", F.col("ok").cast("int"))
+    assert tuple(report.complete_means(df, {"ok": "SR", "s": "CBS"}, 2).first()) == (2, 0.5, 0.5)
+    with pytest.raises(Exception, match="expected 3 rows, found 2"):
+        report.complete_means(df, {"ok": "SR"}, 3).collect()
+
+
 def test_prompt_variants_and_matches(spark):
     from brindle.operators import prompts as P
 

@@ -32,11 +32,19 @@ def test_tournament_is_regular_and_connected(spark):
 
 
 def test_ratings_order_and_ties():
-    wins = np.array([[0, 3, 3], [0, 0, 3], [0, 0, 0]], dtype=float)
-    a, b, c = matches.strengths(wins)
+    a, b, c = matches.strengths(np.array([0, 0, 1]), np.array([1, 2, 2]), np.array([3.0, 3.0, 3.0]), 3)
     assert a > b > c
-    x, y = matches.strengths(np.array([[0, 0.5], [0.5, 0]]))
+    x, y = matches.strengths(np.array([0, 1]), np.array([1, 0]), np.array([0.5, 0.5]), 2)
     assert x == pytest.approx(y)
+    rng = np.random.default_rng(0)
+    wins = rng.integers(0, 5, (6, 6)).astype(float)
+    np.fill_diagonal(wins, 0)
+    p, games = np.ones(6), wins + wins.T
+    for _ in range(500):  # the same rule on the whole matrix
+        p = (wins.sum(axis=1) + 0.5) / (0.5 / (p + 1) + (games / (p[:, None] + p[None])).sum(axis=1))
+        p /= p.mean()
+    i, j = np.nonzero(wins)
+    assert np.allclose(matches.strengths(i, j, wins[i, j], 6), np.log(p))
 
 
 def test_rating_table(spark):
@@ -164,8 +172,66 @@ def test_scoreboard(spark):
 
 def test_skip_greedy(spark):
     df = spark.createDataFrame([("a", 1, 6), ("a", 2, 9), ("a", 3, 4), ("a", 4, None), ("b", 1, 11)], "key string, at long, n long")
-    got = {(r.at, r.used, r.kept) for r in evidence.skip_greedy(df, "key", "at", "n", 10).collect()}
-    assert got == {(1, 6, True), (2, 6, False), (3, 10, True), (4, 10, False), (1, 0, False)}
+    assert {(r.at, r.used) for r in evidence.skip_greedy(df, "key", "at", "n", 10).collect()} == {(1, 6), (3, 10)}
+
+
+def brute_tree(paths, entries, depth, children):
+    """The tree walked folder by folder, as an independent check."""
+    root = {}
+    for p in paths:
+        node = root
+        for x in [x for x in p.split("/") if x]:
+            node = node.setdefault(x, {})
+    lines, left, cut = [], [entries], [False]
+
+    def walk(node, level):
+        if left[0] <= 0:
+            cut[0] = True
+            return
+        if level > depth:
+            return
+        subs = sorted(((x, n) for x, n in node.items() if not (n and x in evidence.SKIPPED_FOLDERS)), key=lambda s: (not s[1], s[0].lower(), s[0]))
+        if len(subs) > children:
+            lines.append(f"{'  ' * level}... [contents omitted: {len(subs)} entries exceed per-directory limit {children}]")
+            return
+        for name, sub in subs:
+            if left[0] <= 0:
+                cut[0] = True
+                return
+            left[0] -= 1
+            ext = ("." + name.rsplit(".", 1)[1].lower()) if "." in name[1:] else ""
+            lines.append("  " * level + name + ("/" if sub else f"  [{ext} binary/large]" if ext in evidence.BINARY_SUFFIXES else ""))
+            if sub:
+                walk(sub, level + 1)
+
+    walk(root, 1)
+    return lines + (["... (tree truncated)"] if cut[0] else [])
+
+
+def test_tree_equals_a_walk(spark):
+    rng = random.Random(11)
+    trees = {}
+    for t in range(30):
+        names = ["a", "B", "c.py", "D.PNG", "e.md", ".git", "venv", "f", "Z.txt"][: rng.randint(3, 9)]
+        trees[f"k{t}"] = {"/".join(rng.choice(names) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 40))}
+    df = spark.createDataFrame([(k, p) for k, v in trees.items() for p in v for _ in range(rng.randint(1, 2))] + [("none", None), ("none", "")], "key string, path string")
+    got = {}
+    for r in evidence.tree_listing(df, "key", entries=12, depth=3, children=5).orderBy("key", "line").collect():
+        got.setdefault(r.key, []).append(r.text)
+    assert got == {k: brute_tree(v, 12, 3, 5) for k, v in trees.items() if brute_tree(v, 12, 3, 5)}
+    assert any("truncated" in x for v in got.values() for x in v) and any("omitted" in x for v in got.values() for x in v)
+    assert evidence.first_test_file(spark.createDataFrame([("k", "tests/test_b.py"), ("k", "tests/test_a.py"), ("k", "tests/x/test_0.py"), ("l", "main.py")], "key string, path string"), "key").collect() == [("k", "tests/test_a.py")]
+
+
+def test_numbering_splits_keys(spark):
+    from brindle.plans.ranges import numbered
+
+    rows = [(k, i, i * i) for k, n in (("hot", 400), ("b", 3), (None, 5)) for i in range(n)]
+    df = spark.createDataFrame(rows, "key string, at long, v long").repartition(7)
+    got = {(r.key, r["at"]): (r.position, r.total, r.before_v) for r in numbered(df, "key", "at", ("v",)).collect()}
+    size = {"hot": 400, "b": 3, None: 5}
+    assert got == {(k, i): (i + 1, size[k], (i - 1) ** 2 if i else None) for k, i, _ in rows}
+    assert numbered(df.limit(0), "key", "at").count() == 0
 
 
 def test_win_rate_without_decision_is_null(spark):
@@ -265,6 +331,40 @@ def test_sinks(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(f"{base}/table").orderBy("k").collect()] == [(1, "a"), (2, "new"), (5, "e")]
     sinks.write_json_file(df.limit(1), f"{base}/one.json")
     assert (tmp_path / "one.json").read_text().strip() == '{"k":1,"v":"a"}'
+    sinks.write_json_file(spark.createDataFrame([(7, "z")], LINE), f"{base}/one.json")
+    assert (tmp_path / "one.json").read_text().strip() == '{"k":7,"v":"z"}'
+
+
+def test_a_crash_between_the_renames_loses_nothing(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/table"
+    sinks.upsert(spark.createDataFrame([(1, "a"), (2, "b")], LINE), path, ["k"])
+    done = []
+
+    def once(fs, p, source, target):
+        if done:
+            raise OSError("lost")
+        done.append(rename(fs, p, source, target))
+
+    rename = sinks._rename
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_rename", once)
+        with pytest.raises(OSError, match="lost"):
+            sinks.upsert(spark.createDataFrame([(2, "new")], LINE), path, ["k"])
+    assert not (tmp_path / "table").exists()
+    assert sorted(map(tuple, sinks.read_table(spark, path).collect())) == [(1, "a"), (2, "b")]
+    sinks.upsert(spark.createDataFrame([(2, "new")], LINE), path, ["k"])
+    assert sorted(map(tuple, sinks.read_table(spark, path).collect())) == [(1, "a"), (2, "new")]
+    (tmp_path / "table").rename(tmp_path / "table.old")
+    sinks.replace_table(spark.createDataFrame([(9, "x")], LINE), path)
+    assert [tuple(r) for r in sinks.read_table(spark, path).collect()] == [(9, "x")] and not (tmp_path / "table.old").exists()
+
+
+def test_guards_broadcast_no_table(spark):
+    df = spark.range(1000).withColumn("v", F.lit("x"))
+    for got in (json_lines.expect_count(df, 1000, "rows"), json_lines.lookup(df, "v", "x")):
+        assert got.count() == 1000
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "BroadcastExchange" not in plan
 
 
 def test_texts(spark):
@@ -287,6 +387,10 @@ def test_checks(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(2,), (3,)], "k int")
     assert [r.k for r in checks.overlap(a, b, "k").collect()] == [2]
     assert {tuple(r) for r in checks.unequal(a, b, "k").collect()} == {(1, "left"), (3, "right")}
+    assert [r.k for r in checks.outside(a, b, "k").collect()] == [1] and checks.outside(a.limit(0), b, "k", 5).count() == 0
+    assert checks.unions_differ([a, b], spark.range(1, 4).withColumnRenamed("id", "k"), "k").count() == 0
+    files = spark.createDataFrame([("r/a.json",), ("r/raw.json",), ("b.json",)], "path string")
+    assert {r.path for r in json_lines.excluding(files, {"raw.json"}, ("b.json",)).collect()} == {"r/a.json"} and json_lines.excluding(files).count() == 3
 
 
 def test_longest_prefix_takes_the_longest(spark):
