@@ -78,7 +78,7 @@ b AS (SELECT *, sum(fresh) OVER (PARTITION BY request_id ORDER BY pos) - 1 AS bl
 SELECT request_id, block_no::BIGINT AS block_no, arg_min(role, pos) AS kind, min(pos)::BIGINT AS msg_start, (max(pos) + 1)::BIGINT AS msg_end FROM b GROUP BY request_id, block_no"""
 )
 def block_plan(spark: SparkSession, d: str) -> DataFrame:
-    return threads.run_length_blocks(threads.message_rows(T(spark, d, "api_requests")))
+    return threads.run_length_blocks(threads.message_roles(T(spark, d, "api_requests")))
 
 
 @_query(
@@ -87,7 +87,7 @@ def block_plan(spark: SparkSession, d: str) -> DataFrame:
 SELECT request_id, segment, min(pos)::BIGINT AS msg_start, (max(pos) + 1)::BIGINT AS msg_end, count(*) FILTER (WHERE role = 'assistant')::BIGINT AS n_assistant FROM s GROUP BY request_id, segment"""
 )
 def query_segments(spark: SparkSession, d: str) -> DataFrame:
-    return threads.query_segments(threads.message_rows(T(spark, d, "api_requests")))
+    return threads.query_segments(threads.message_roles(T(spark, d, "api_requests")))
 
 
 @_query(
@@ -522,14 +522,14 @@ def _prompts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = threads.answered(T(spark, d, "api_requests")).select("request_id", "episode", "seq", prompts.first_user_texts(F.col("messages")).alias("texts")).dropDuplicates(["request_id"])
     first = rows.groupBy("episode").agg(F.min_by(F.array_join("texts", " "), F.struct("seq", "request_id")).alias("p"))
     kind = F.substring(F.md5("episode"), 1, 1)
-    form = F.when(kind < "4", F.col("p")).when(kind < "8", F.concat(F.lit("  "), "p", F.lit("\n"))).when(kind < "c", F.upper("p"))
+    form = F.when(kind < "4", F.col("p")).when(kind < "8", F.concat(F.lit("  "), "p", F.lit("\n"))).when(kind < "c", F.concat(F.lit("@"), "p"))
     return rows, first.select("episode", "p", form.alias("prompt"))
 
 
 _FIRST_USER = """, item AS MATERIALIZED (SELECT request_id, any_value(episode) AS episode, any_value(seq) AS seq, arg_min(CASE WHEN json_type(m, '$.content') = 'ARRAY' THEN list_transform(json_extract(m, '$.content[*]'), lambda p: coalesce(p->>'$.text', '')) ELSE [coalesce(m->>'$.content', '')] END, pos) AS texts
   FROM (SELECT cut.*, m->>'$.role' AS role FROM cut) WHERE role = 'user' GROUP BY request_id),
 first_ AS MATERIALIZED (SELECT episode, arg_min(array_to_string(texts, ' '), {'s': seq, 'r': request_id}) AS p, substr(md5(episode), 1, 1) AS k FROM item GROUP BY episode),
-asked AS MATERIALIZED (SELECT episode, CASE WHEN k < '4' THEN p WHEN k < '8' THEN '  ' || p || chr(10) WHEN k < 'c' THEN upper(p) END AS prompt, CASE WHEN k >= '8' AND k < 'c' THEN p END AS sent FROM first_),
+asked AS MATERIALIZED (SELECT episode, CASE WHEN k < '4' THEN p WHEN k < '8' THEN '  ' || p || chr(10) WHEN k < 'c' THEN '@' || p END AS prompt, CASE WHEN k >= '8' AND k < 'c' THEN p END AS sent FROM first_),
 form AS MATERIALIZED (SELECT episode, 0 AS o, 'exact' AS mode, prompt AS v FROM asked UNION ALL SELECT episode, 1, 'sent', sent FROM asked UNION ALL SELECT episode, 2, 'strip', regexp_replace(prompt, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g') FROM asked)"""
 
 
@@ -542,7 +542,7 @@ SELECT h.request_id, h.mode, h.hits, md5(array_to_string(CASE WHEN hits = 1 THEN
 )
 def prompt_match(spark: SparkSession, d: str) -> DataFrame:
     rows, asked = _prompts(spark, d)
-    index = prompts.sent_index(asked.where(F.col("prompt") == F.upper("p")), "prompt", "p")
+    index = prompts.sent_index(asked.where(F.col("prompt") == F.concat(F.lit("@"), "p")), "prompt", "p")
     forms = prompts.with_sent(asked.where("prompt is not null"), "prompt", index).select("episode", prompts.variants(F.col("prompt"), F.col("sent")).alias("forms"))
     found = rows.join(forms, "episode").withColumn("found", prompts.match(F.col("texts"), F.col("forms"))).where("found is not null")
     bare = F.lit("Do the task.")
@@ -847,7 +847,7 @@ def version_siblings(spark: SparkSession, d: str) -> DataFrame:
 @_query(_CHAT + _FIRST_USER + """ SELECT episode, mode, md5(v) AS h FROM (SELECT *, row_number() OVER (PARTITION BY episode, v ORDER BY o) AS k FROM form WHERE length(v) > 0) WHERE k = 1""")
 def prompt_variants(spark: SparkSession, d: str) -> DataFrame:
     _, asked = _prompts(spark, d)
-    index = prompts.sent_index(asked.where(F.col("prompt") == F.upper("p")), "prompt", "p")
+    index = prompts.sent_index(asked.where(F.col("prompt") == F.concat(F.lit("@"), "p")), "prompt", "p")
     forms = prompts.with_sent(asked.where("prompt is not null"), "prompt", index).select("episode", F.explode(prompts.variants(F.col("prompt"), F.col("sent"))).alias("v"))
     return forms.select("episode", "v.mode", F.md5("v.text").alias("h"))
 

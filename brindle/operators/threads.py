@@ -21,12 +21,14 @@ def answered(requests: DataFrame) -> DataFrame:
     return kept.select("request_id", "episode", "seq", J.messages(F.col("q")).alias("messages")).where(F.size("messages") > 0)
 
 
-def message_rows(requests: DataFrame) -> DataFrame:
-    """(request_id, episode, seq, pos, role, text, calls): one row per message, repeated requests removed."""
-    rows = answered(requests).select("request_id", "episode", "seq", F.posexplode("messages").alias("pos", "m"))
-    return rows.select(
-        "request_id", "episode", "seq", F.col("pos").cast("long").alias("pos"), J.role(F.col("m")).alias("role"), F.coalesce(J.text(F.col("m")), F.lit("")).alias("text"), J.n_tool_calls(F.col("m")).cast("long").alias("calls"),
-    ).dropDuplicates(["request_id", "pos"])
+def message_roles(requests: DataFrame) -> DataFrame:
+    """(request_id, pos, role): one row per message of every answered request, each request once.
+
+    Requests are shuffled as their lists of roles, without any text, and what
+    is windowed by request afterwards needs no further shuffle.
+    """
+    rows = answered(requests).select("request_id", F.transform("messages", J.role).alias("roles")).dropDuplicates(["request_id"])
+    return rows.select("request_id", F.posexplode("roles").alias("pos", "role")).select("request_id", F.col("pos").cast("long").alias("pos"), "role")
 
 
 def _quoted(text: Column) -> Column:

@@ -236,3 +236,17 @@ def test_messages_equal_up_to_the_order_of_keys_only(spark):
     for content, written in asked:
         df2 = spark.createDataFrame([row(1, a, json.dumps({"role": "user", "content": content}))], df.schema)
         assert threads.thread_keys(df2).first().thread_key == hashlib.md5(("s\x00" + written).encode()).hexdigest()[:10]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from brindle.__main__ import main
+
+    main(["list"])
+    assert "window_tokens" in capsys.readouterr().out.split()
+    args = ["render", "/root/testdata/sf0.001", f"file://{tmp_path}/out", "--window", "2400", "--overlap", "400"]
+    main(args)
+    assert spark.read.parquet(f"file://{tmp_path}/out/windows").count() > 0 and "loss_tokens" in capsys.readouterr().out
+    with pytest.raises(Exception, match="already exists"):
+        main(args)
+    with pytest.raises(SystemExit):
+        main(["run", "no_such_query", "a", "b"])
