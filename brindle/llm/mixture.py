@@ -41,7 +41,7 @@ def source_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """
     held = sizes.where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("held"), F.avg("n_tokens").alias("length"))
     wanted = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").cast("long").alias("max_repeats"))
-    got = wanted.join(held, "source", "left").select(
+    got = wanted.join(held.hint("merge"), "source", "left").select(
         "source", "target_share", "max_repeats", F.coalesce("held", F.lit(0).cast("long")).alias("held"), F.coalesce("length", F.lit(0.0)).alias("length"),
         ((F.coalesce("held", F.lit(0)) > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)).alias("usable"),
     )
@@ -111,7 +111,7 @@ def mixture_shares(mixed: DataFrame, sizes: DataFrame, targets: DataFrame) -> Da
     wanted = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"))
     zero = F.lit(0).cast("long")
     return (
-        wanted.join(used, "source", "left")
+        wanted.join(used.hint("merge"), "source", "left")
         .select(
             "source", "target_share", F.coalesce(F.col("tokens") / all_tokens, F.lit(0.0)).alias("actual_share"),
             F.coalesce("tokens", zero).alias("tokens"), F.coalesce("documents", zero).alias("documents"), F.coalesce("most_copies", zero).alias("most_copies"),

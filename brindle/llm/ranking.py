@@ -31,8 +31,8 @@ def win_matrix(judgments: DataFrame, items: DataFrame, name: str = "workflow") -
         .dropDuplicates(["match_id"])
         .groupBy("a", "b")
         .agg(F.sum("score").alias("won"), F.count("*").alias("n"))
-        .join(known.select(F.col("item").alias("a")), "a", "left_semi")
-        .join(known.select(F.col("item").alias("b")), "b", "left_semi")
+        .join(known.select(F.col("item").alias("a")).hint("merge"), "a", "left_semi")
+        .join(known.select(F.col("item").alias("b")).hint("merge"), "b", "left_semi")
     )
     there = matches.select(F.col("a").alias("item"), F.col("b").alias("other"), F.col("won").alias("wins"), "n")
     back = matches.select(F.col("b").alias("item"), F.col("a").alias("other"), (F.col("n") - F.col("won")).alias("wins"), "n")

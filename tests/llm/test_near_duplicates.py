@@ -64,6 +64,24 @@ def test_hot_group(spark):
     assert set(map(tuple, N.near_duplicate_openings(table(spark, rows)).collect())) == brute(prompts)
 
 
+def test_small_blocks_give_the_same_pairs(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 4)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(30)]
+    prompts = {i: " ".join(base if i % 3 else [*base, f"v{rng.randrange(25)}"]) for i in range(60)}
+    prompts |= {100 + i: " ".join(rng.sample(base, 26)) for i in range(20)}
+    got = N.near_duplicate_openings(table(spark, [(i, request(p)) for i, p in prompts.items()])).collect()
+    assert len(got) == len(set(got)) and set(map(tuple, got)) == brute(prompts)
+
+
+def test_no_join_of_growing_tables_is_a_broadcast(spark):
+    words = [f"w{i}" for i in range(30)]
+    df = table(spark, [(i, request(" ".join(words[i % 7 : 20 + i % 7]))) for i in range(40)])
+    for got in (N.near_duplicate_openings(df), N.duplicate_classes(df), N.similar_sets(N._members_and_sets(N.opening_sets(df))[1])):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("shared", [0.2, 0.5, 0.8])
 def test_signature_estimates_weighted_similarity(shared):
     rng = np.random.default_rng(1)
