@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from brindle.functions import chat_json as J
 from brindle.functions import text as X
@@ -988,6 +989,55 @@ def counted_catalogue(spark: SparkSession, d: str) -> DataFrame:
     return json_lines.expect_count(T(spark, d, "workflows").select("workflow", "version", "beats_reference"), 24, "workflows")
 
 
+@_query("SELECT string_agg(workflow, chr(10) ORDER BY workflow) || chr(10) AS content FROM workflows")
+def file_texts(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
+    T(spark, d, "workflows").select("workflow").repartition(1).sortWithinPartitions("workflow").write.text(path)
+    return json_lines.read_texts(spark, path, "part-*").select("content")
+
+
+_SCRIPTS = "CASE WHEN doc_id % 3 = 0 THEN 'run_' || doc_id || '.py' WHEN doc_id % 3 = 1 THEN source || '/' || CASE WHEN n_chars > 500 THEN 'main.py' ELSE 'domain.py' END ELSE '../' || source || '/a..b' END"
+
+
+@_query(f"SELECT DISTINCT path FROM (SELECT {_SCRIPTS} AS path FROM documents) WHERE regexp_matches(path, '(^|/)(run_[^/]*\\.py|main\\.py|pipeline\\.py)$')")
+def entry_scripts(spark: SparkSession, d: str) -> DataFrame:
+    return json_lines.entry_scripts(T(spark, d, "documents").select(F.expr(_SCRIPTS).alias("path")))
+
+
+@_query(f"SELECT doc_id, starts_with(path, '/') OR list_contains(string_split(path, '/'), '..') AS unsafe FROM (SELECT doc_id, {_SCRIPTS} AS path FROM documents)")
+def unsafe_paths(spark: SparkSession, d: str) -> DataFrame:
+    return T(spark, d, "documents").select("doc_id", X.unsafe_path(F.expr(_SCRIPTS)).alias("unsafe"))
+
+
+_MAGIC = "CASE doc_id % 4 WHEN 0 THEN '89504E470D0A1A0A' WHEN 1 THEN '25504446' WHEN 2 THEN 'FFD8FF' ELSE '00' END"
+
+
+@_query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'pdf' WHEN 2 THEN 'jpeg' END AS kind FROM documents")
+def media_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return T(spark, d, "documents").select("doc_id", validation.media_kind(F.unhex(F.expr(_MAGIC))).alias("kind"))
+
+
+@_query("SELECT count(*)::BIGINT AS n, count(DISTINCT source)::BIGINT AS sources FROM documents")
+def json_file(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/one-{uuid.uuid4().hex}.json"
+    for _ in range(2):  # the second replaces the first
+        sinks.write_json_file(T(spark, d, "documents").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources")), path)
+    return json_lines.read_document(spark, path, StructType([StructField("n", LongType()), StructField("sources", LongType())]))
+
+
+@_query("SELECT kind, max_tokens, overlap_tokens FROM split_limits")
+def written_once(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/frozen-{uuid.uuid4().hex}"
+    for _ in range(2):  # the same rows again change nothing
+        sinks.write_once(T(spark, d, "split_limits"), path)
+    return spark.read.parquet(path)
+
+
+@_query("SELECT kind, max_tokens FROM split_limits WHERE kind = 'tool'")
+def catalogue_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return json_lines.lookup(T(spark, d, "split_limits").select("kind", "max_tokens"), "kind", "tool")
+
+
 # ---- streams
 
 

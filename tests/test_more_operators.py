@@ -250,3 +250,34 @@ def test_command_line(spark, tmp_path, capsys):
         main(args)
     with pytest.raises(SystemExit):
         main(["run", "no_such_query", "a", "b"])
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from brindle.plans.materialize import shared_dir
+
+    def session(master, named=None):
+        conf = SimpleNamespace(get=lambda key, default=None: named or default)
+        sc = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda key, default=None: default), getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None, master=master)
+        return SimpleNamespace(conf=conf, sparkContext=sc)
+
+    assert shared_dir(session("spark://host:7077", "hdfs:///shared/")) == "hdfs:///shared"
+    assert shared_dir(session("local[4]")).startswith("file:///")
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))
+
+
+def test_finished_rounds_are_deleted(spark):
+    from brindle.plans.materialize import discard, materialize
+
+    df = materialize(spark.range(5), "round")
+    path = df._brindle_path.removeprefix("file://")
+    import os
+
+    assert os.path.exists(path) and df.count() == 5
+    discard(df)
+    discard(df)
+    discard(None)
+    assert not os.path.exists(path)
