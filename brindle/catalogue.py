@@ -240,10 +240,12 @@ def bt_ratings(spark: SparkSession, d: str) -> DataFrame:
     return matches.ratings(T(spark, d, "pairwise_judge_result"), "provider")
 
 
-@_query("""SELECT c_nationkey, c_custkey, r::BIGINT AS rank, CASE WHEN r <= 15 THEN 'train' WHEN r = 16 THEN 'validation' ELSE 'none' END AS band
-FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer)""")
+@_query("""WITH m AS (SELECT DISTINCT ON (match_id) provider, a, b, CASE upper(trim(winner)) WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.0 ELSE 0.5 END::DOUBLE AS s FROM pairwise_judge_result WHERE provider IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL AND a <> b),
+w AS (SELECT provider, i, sum(w) AS won FROM (SELECT provider, a AS i, s AS w FROM m UNION ALL SELECT provider, b, 1 - s FROM m) GROUP BY provider, i)
+SELECT provider, i, r::BIGINT AS rank, CASE WHEN r <= 15 THEN 'train' WHEN r = 16 THEN 'validation' ELSE 'none' END AS band FROM (SELECT provider, i, row_number() OVER (PARTITION BY provider ORDER BY won DESC, i) AS r FROM w)""")
 def rank_bands(spark: SparkSession, d: str) -> DataFrame:
-    return matches.rank_bands(T(spark, d, "customer"), "c_nationkey", "c_custkey", "c_acctbal")
+    won = matches.win_counts(T(spark, d, "pairwise_judge_result").where("provider is not null"), "provider").groupBy("provider", "i").agg(F.sum("wins").alias("won"))
+    return matches.rank_bands(won, "provider", "i", "won")
 
 
 @_query("SELECT DISTINCT match_id, a, b FROM pairwise_judge_result WHERE a IN (SELECT workflow FROM workflows WHERE beats_reference) AND b IN (SELECT workflow FROM workflows WHERE beats_reference)")
@@ -256,17 +258,18 @@ def eligible_semi(spark: SparkSession, d: str) -> DataFrame:
 # ---- keyed joins, usage, trials
 
 
-@_query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+@_query("SELECT episode, task FROM episodes WHERE episode NOT IN (SELECT episode FROM run_status WHERE episode IS NOT NULL AND coalesce(exit_code = 0 AND coalesce(trace_has_success_result, FALSE), FALSE))")
 def resume_antijoin(spark: SparkSession, d: str) -> DataFrame:
-    return report.remaining(T(spark, d, "orders").select("o_orderkey", "o_orderpriority"), T(spark, d, "lineitem").where("l_returnflag = 'R'").withColumnRenamed("l_orderkey", "o_orderkey"), ["o_orderkey"])
+    done = T(spark, d, "run_status").where(traces.completed(F.col("exit_code"), F.col("trace_has_success_result")))
+    return report.remaining(T(spark, d, "episodes").select("episode", "task"), done, ["episode"])
 
 
-@_query("""SELECT o_orderkey AS task, cast(1 AS INTEGER) AS replicate, o_totalprice AS price, n AS n_lines FROM orders JOIN (SELECT l_orderkey, count(*)::BIGINT AS n FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
+@_query("""SELECT r.episode, n_runs, n_blocks FROM (SELECT episode, count(DISTINCT status_id)::BIGINT AS n_runs FROM run_status WHERE episode IS NOT NULL GROUP BY episode) r
+JOIN (SELECT episode, count(DISTINCT block_id)::BIGINT AS n_blocks FROM blocks WHERE episode IS NOT NULL GROUP BY episode) b ON b.episode = r.episode""")
 def keyed_pairs(spark: SparkSession, d: str) -> DataFrame:
-    lines = T(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("task")).agg(F.count("*").alias("n_lines")).withColumn("replicate", F.lit(1))
-    orders = T(spark, d, "orders").select(F.col("o_orderkey").alias("task"), F.lit(1).alias("replicate"), F.col("o_totalprice").alias("price"))
-    both = orders.join(lines.select("task"), "task", "left_semi")
-    return report.keyed_pairs(both, lines.join(orders.select("task"), "task", "left_semi"), ["task", "replicate"]).select("task", "replicate", "price", "n_lines")
+    runs = T(spark, d, "run_status").where("episode is not null").groupBy("episode").agg(F.countDistinct("status_id").alias("n_runs"))
+    blocks = T(spark, d, "blocks").where("episode is not null").groupBy("episode").agg(F.countDistinct("block_id").alias("n_blocks"))
+    return report.keyed_pairs(runs.join(blocks.select("episode"), "episode", "left_semi"), blocks.join(runs.select("episode"), "episode", "left_semi"), ["episode"])
 
 
 @_query("""WITH u AS (SELECT DISTINCT ON (request_id) episode, path, CASE WHEN json_valid(response) THEN try_cast(response->>'$.usage.prompt_tokens' AS BIGINT) END AS p,
@@ -292,11 +295,15 @@ def cost_rollup(spark: SparkSession, d: str) -> DataFrame:
     return report.cost_rollup(rated.withColumn("cost", F.col("p_retailprice") * F.col("rate")), "p_brand")
 
 
-_SCORES = "SELECT l_returnflag AS grp, l_linenumber AS trial, l_suppkey AS task, l_linestatus AS judge, l_discount AS score FROM lineitem"
+_SCORES = """SELECT model AS grp, seed % 3 AS trial, task, provider AS judge, CASE upper(trim(winner)) WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.0 ELSE 0.5 END::DOUBLE AS score FROM (SELECT DISTINCT ON (match_id) * FROM pairwise_judge_result WHERE match_id IS NOT NULL)"""
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return T(spark, d, "lineitem").selectExpr("l_returnflag AS grp", "l_linenumber AS trial", "l_suppkey AS task", "l_linestatus AS judge", "l_discount AS score")
+    """Adapter: the verdicts of a judge on a task as scores, three trials by seed."""
+    label = matches.clean_label(F.col("winner"))
+    score = F.when(label == "A", 1.0).when(label == "B", 0.0).otherwise(0.5)
+    rows = T(spark, d, "pairwise_judge_result").where("match_id is not null").dropDuplicates(["match_id"])
+    return rows.select(F.col("model").alias("grp"), (F.col("seed") % 3).alias("trial"), "task", F.col("provider").alias("judge"), score.alias("score"))
 
 
 @_query(f"""WITH s AS ({_SCORES}), t AS (SELECT grp, trial, task, avg(score) AS s FROM s GROUP BY ALL), r AS (SELECT grp, trial, avg(s) AS s FROM t GROUP BY ALL)
@@ -306,9 +313,9 @@ def trial_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(f"""WITH s AS ({_SCORES}), j AS (SELECT grp, trial, task, list(DISTINCT judge) AS js FROM s GROUP BY grp, trial, task)
-SELECT grp, trial, task, array_to_string(list_filter(['F', 'O', 'P'], lambda x: NOT list_contains(js, x)), ',') AS missing FROM j""")
+SELECT grp, trial, task, array_to_string(list_filter(['ext_a', 'ext_b', 'other', 'self'], lambda x: NOT list_contains(js, x)), ',') AS missing FROM j""")
 def missing_judges(spark: SparkSession, d: str) -> DataFrame:
-    return report.missing_judges(_scores(spark, d), ["F", "O", "P"]).withColumn("missing", F.array_join("missing", ","))
+    return report.missing_judges(_scores(spark, d), ["ext_a", "ext_b", "other", "self"]).withColumn("missing", F.array_join("missing", ","))
 
 
 @_query("""WITH l AS (SELECT episode, arg_max(text, {'c': created_at, 'd': doc_id}) AS t FROM documents WHERE length(trim(text, ' ')) > 0 AND created_at IS NOT NULL GROUP BY episode)
