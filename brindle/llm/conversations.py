@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from brindle.llm.chat import chat_rows, is_blank, map_rows, messages_of, reply_of, text_of
 from brindle.plans.materialize import materialize
@@ -51,8 +51,11 @@ def _signed(text: str) -> int:
 
 def _step(request_id: int, episode: str | None, seq: int | None, request: str | None, response: str | None) -> Iterator[tuple]:
     messages = messages_of(request)
-    if messages is None or len(messages) < 2 or seq is None:
-        return
+    if messages is not None and len(messages) >= 2 and seq is not None:
+        yield _step_of(request_id, episode, seq, messages, reply_of(response)[0])
+
+
+def _step_of(request_id: int, episode: str | None, seq: int, messages: list[dict], reply: dict | None) -> tuple:
     whole, state, chain, key, answered, before, said = True, START, 0, 0, -1, 0, 0
     for i, m in enumerate(messages):
         role = m.get("role")
@@ -65,10 +68,9 @@ def _step(request_id: int, episode: str | None, seq: int | None, request: str |
         if i == 1:
             key = chain
         whole &= bool(m.get("tool_calls")) or not is_blank(text)
-    reply, _, _ = reply_of(response)
     answer = text_of(reply.get("content")) if reply else ""
     whole &= reply is not None and (bool(reply.get("tool_calls")) or not is_blank(answer))
-    yield request_id, episode, seq, key, state, len(messages), answered, before, said, chain, _signed(answer), whole
+    return request_id, episode, seq, key, state, len(messages), answered, before, said, chain, _signed(answer), whole
 
 
 def conversation_steps(requests: DataFrame) -> DataFrame:
@@ -140,38 +142,43 @@ def _accepted(rows: DataFrame) -> DataFrame:
     )
 
 
-_TURNS = StructType(
+_TURN = StructType(
     [
-        StructField("request_id", LongType()),
         StructField("position", LongType()),
         StructField("role", StringType()),
         StructField("text", StringType()),
         StructField("n_tool_calls", LongType()),
     ]
 )
+_STEP_AND_TURNS = StructType([*_STEP.fields, StructField("turns", ArrayType(_TURN))])
 
 
-def _new_turns(request_id: int, request: str | None, response: str | None) -> Iterator[tuple]:
-    """What a step of a sound conversation adds: the messages after the last assistant message, and the reply."""
-    messages = messages_of(request) or []
+def _step_and_turns(request_id: int, episode: str | None, seq: int | None, request: str | None, response: str | None) -> Iterator[tuple]:
+    """The step, and what it adds if its conversation is sound: the messages after the last assistant message, and the reply."""
+    messages = messages_of(request)
+    if messages is None or len(messages) < 2 or seq is None:
+        return
+    reply = reply_of(response)[0]
     start = max((i + 1 for i, m in enumerate(messages) if m.get("role") == "assistant"), default=0)
-    reply, _, _ = reply_of(response)
+    turns = []
     for i, m in [*enumerate(messages[start:], start), *([(len(messages), {"role": "assistant", **reply})] if reply else [])]:
         calls = m.get("tool_calls")
-        yield request_id, i, str(m.get("role")), text_of(m.get("content")), len(calls) if isinstance(calls, list) else 0
+        turns.append({"position": i, "role": str(m.get("role")), "text": text_of(m.get("content")), "n_tool_calls": len(calls) if isinstance(calls, list) else 0})
+    yield *_step_of(request_id, episode, seq, messages, reply), turns
 
 
 def conversation_messages(requests: DataFrame) -> DataFrame:
     """(first_id, position, role, text, n_tool_calls): every message of the sound conversations, in order.
 
     A request repeats the history, so each step only contributes what is new in
-    it; in a sound conversation these pieces make up the whole, and every text
-    is shuffled once.
+    it; in a sound conversation these pieces make up the whole. Bodies are
+    parsed once, and every text is shuffled once.
     """
-    steps = materialize(conversation_steps(requests), "steps")  # numbers only
+    rows = chat_rows(requests, ["request_id", "episode", "seq", "request", "response"], only_ok=True)
+    parsed = materialize(map_rows(rows, _step_and_turns, _STEP_AND_TURNS), "steps")
+    steps = parsed.drop("turns").dropDuplicates(["request_id"])  # numbers only
     sound = _accepted(steps).select("episode", "key", "first_id")
     joined = steps.select("episode", "key", "request_id").join(sound.hint("merge"), steps["episode"].eqNullSafe(sound["episode"]) & (steps["key"] == sound["key"]))
     members = joined.select("request_id", "first_id")
-    rows = chat_rows(requests, ["request_id", "request", "response"], only_ok=True)
-    turns = map_rows(rows, _new_turns, _TURNS, batch=10_000).join(members.hint("merge"), "request_id").dropDuplicates(["request_id", "position"])
-    return turns.select("first_id", "position", "role", "text", "n_tool_calls")
+    own = parsed.select("request_id", "turns").join(members.hint("merge"), "request_id").dropDuplicates(["request_id"])
+    return own.select("first_id", F.explode("turns").alias("t")).select("first_id", "t.*")
