@@ -192,17 +192,15 @@ def split_blocks(blocks: DataFrame, limits: DataFrame, boundary_tokens: DataFram
 
 
 def boundary_weights(big: DataFrame, stops: np.ndarray) -> dict[int, float]:
-    """Weight of each kind of boundary: the rarer over all oversized blocks, the heavier. One number a boundary token reaches the driver."""
+    """Weight of each kind of boundary: the rarer over all oversized blocks, each counted once, the heavier. One number a boundary token reaches the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
         for b in batches:
-            for _, _, kinds in _marked(b.column(0), b.column(1), stops):
-                for k, n in zip(*(x.tolist() for x in np.unique(kinds, return_counts=True))):
-                    seen[k] = seen.get(k, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], ["kind", "n"])
+            rows = [(i, *x) for i, (_, _, kinds) in zip(b.column(0).to_pylist(), _marked(b.column(1), b.column(2), stops)) for x in zip(*(x.tolist() for x in np.unique(kinds, return_counts=True)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 3)], ["block_id", "kind", "n"])
 
-    rows = big.select("ids", "mask").mapInArrow(count, "kind long, n long").groupBy("kind").agg(F.sum("n").alias("n")).collect()
+    seen = big.select("block_id", "ids", "mask").mapInArrow(count, "block_id long, kind long, n long").distinct()
+    rows = seen.groupBy("kind").agg(F.sum("n").alias("n")).collect()
     total = sum(r["n"] for r in rows)
     return {r["kind"]: round(float(-np.log(r["n"] / total)), 6) + 1.0 for r in rows}
 
@@ -213,7 +211,7 @@ def split_blocks_by_weight(blocks: DataFrame, limits: DataFrame, boundary_tokens
     Paragraph ends and changes of the mask, which are rare, thereby outlast
     blanks and full stops. Nulls and repeated rows as in ``split_blocks``.
     """
-    big = _oversized(blocks, limits).dropDuplicates(["block_id"])
+    big = _oversized(blocks, limits)
     stops = _stops(boundary_tokens)
     weights = boundary_weights(big, stops)
 
