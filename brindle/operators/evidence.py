@@ -64,7 +64,9 @@ def tree_listing(paths: DataFrame, key: str, entries: int = 400, depth: int = 6,
     kept = seen.join(lost.hint("merge"), [key, "parts"], "left_anti")
     # A folder sorts before files, and before what it holds.
     level = lambda x, d: F.concat(F.when((d + 1 < F.size("parts")) | F.col("dir"), "0").otherwise("1"), F.lower(x), F.lit("\u0001"), x)
-    ranked = kept.select(key, "parts", "dir", F.transform("parts", level).alias("sort")).withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("sort"))).where(F.col("rank") <= entries + 1)
+    sorted_ = kept.select(key, "parts", "dir", F.transform("parts", level).alias("sort"))
+    first = sorted_.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("sort"))).where(F.col("rank") <= entries + 1)
+    ranked = materialize(first.drop("sort"), "tree-lines")
     name = F.element_at("parts", -1)
     suffix = F.lower(F.regexp_extract(name, r"[^.](\.[^.]+)$", 1))
     text = F.concat(F.repeat(F.lit("  "), F.size("parts")), name, F.when(F.col("dir"), "/").when(suffix.isin(*BINARY_SUFFIXES), F.concat(F.lit("  ["), suffix, F.lit(" binary/large]"))).otherwise(""))
