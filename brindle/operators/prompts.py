@@ -31,7 +31,7 @@ def metric_form(prompt: Column) -> Column:
 
 
 def variants(prompt: Column, sent: Column) -> Column:
-    """array<struct<text, mode>>: the forms under which a prompt may appear, in order, each text once; null and empty forms are left out, the exact one excepted by its null only."""
+    """array<struct<text, mode>>: the forms under which a prompt may appear, in order, each text once; null and empty forms are left out."""
     trim = lambda c: F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
     forms = [("exact", prompt), ("sent", sent), ("strip", trim(prompt)), ("metric", metric_form(prompt)), ("metric_strip", trim(metric_form(prompt)))]
     known = F.filter(F.array(*(F.struct(t.alias("text"), F.lit(m).alias("mode")) for m, t in forms)), lambda v: F.length(v["text"]) > 0)

@@ -16,8 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
     Only where the setting is absent and everything runs on one machine
-    (``local[...]``, as in tests) a temporary folder is used; elsewhere its
-    absence is an error, since executors could not see such a folder.
+    (``local[...]`` or ``local-cluster[...]``, as in tests) a temporary folder is
+    used; elsewhere its absence is an error, since executors could not see such a folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     set_dir = spark.sparkContext.getCheckpointDir()
     if set_dir:
         return set_dir.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+    if not re.fullmatch(r"local(-cluster)?(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     local = "file://" + tempfile.mkdtemp(prefix="brindle-")
     spark.sparkContext.setCheckpointDir(local)

@@ -263,8 +263,8 @@ def test_a_cluster_needs_a_shared_folder():
         return SimpleNamespace(conf=conf, sparkContext=sc)
 
     assert shared_dir(session("spark://host:7077", "hdfs:///shared/")) == "hdfs:///shared"
-    assert shared_dir(session("local[4]")).startswith("file:///")
-    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1000]"):
+    assert all(shared_dir(session(m)).startswith("file:///") for m in ("local", "local[4]", "local-cluster[3,2,1000]"))
+    for master in ("spark://host:7077", "yarn", "k8s://https://host"):
         with pytest.raises(RuntimeError):
             shared_dir(session(master))
 

@@ -176,36 +176,31 @@ def test_skip_greedy(spark):
 
 
 def brute_tree(paths, entries, depth, children):
-    """The tree walked folder by folder, as an independent check."""
+    """All lines of the whole tree first, as (text, takes an entry, is a folder), cut to the budget afterwards."""
     root = {}
     for p in paths:
         node = root
-        for x in [x for x in p.split("/") if x]:
+        for x in filter(None, p.split("/")):
             node = node.setdefault(x, {})
-    lines, left, cut = [], [entries], [False]
-
-    def walk(node, level):
-        if left[0] <= 0:
-            cut[0] = True
-            return
-        if level > depth:
-            return
-        subs = sorted(((x, n) for x, n in node.items() if not (n and x in evidence.SKIPPED_FOLDERS)), key=lambda s: (not s[1], s[0].lower(), s[0]))
-        if len(subs) > children:
-            lines.append(f"{'  ' * level}... [contents omitted: {len(subs)} entries exceed per-directory limit {children}]")
-            return
-        for name, sub in subs:
-            if left[0] <= 0:
-                cut[0] = True
-                return
-            left[0] -= 1
-            ext = ("." + name.rsplit(".", 1)[1].lower()) if "." in name[1:] else ""
-            lines.append("  " * level + name + ("/" if sub else f"  [{ext} binary/large]" if ext in evidence.BINARY_SUFFIXES else ""))
-            if sub:
-                walk(sub, level + 1)
-
-    walk(root, 1)
-    return lines + (["... (tree truncated)"] if cut[0] else [])
+
+    def below(node, level):
+        names = [x for x in node if not (node[x] and x in evidence.SKIPPED_FOLDERS)] if level <= depth else []
+        if len(names) > children:
+            return [("  " * level + f"... [contents omitted: {len(names)} entries exceed per-directory limit {children}]", False, False)]
+        out = []
+        for x in sorted(names, key=lambda x: (not node[x], x.lower(), x)):
+            ext = "." + x.rpartition(".")[2].lower()
+            mark = "/" if node[x] else f"  [{ext} binary/large]" if x.rpartition(".")[0] and ext in evidence.BINARY_SUFFIXES else ""
+            out += [("  " * level + x + mark, True, bool(node[x])), *below(node[x], level + 1)]
+        return out
+
+    lines = below(root, 1)
+    at = [k for k, (_, counts, _) in enumerate(lines) if counts]
+    if len(at) < entries:
+        return [t for t, *_ in lines]
+    last = at[entries - 1]
+    cut = len(at) > entries or lines[last][2]
+    return [t for t, *_ in lines[: last + 1]] + ["... (tree truncated)"] * cut
 
 
 def test_tree_equals_a_walk(spark):
